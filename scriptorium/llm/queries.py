@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, language_id, token_counts
+from scriptorium.llm import byte_bpe, chat_format, language_id, quality_model, quality_rules, token_counts, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,23 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    added = spark.sql(
+        r"""SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text
+            FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"""
+    )
+    both = turns.select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat_format.digest(chat_format.format_windows(both))
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.fit(docs, labels.filter(~held_out()), label_col="quality")
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN)
     return byte_bpe.decode(ids, BYTE_RANKS).select(
@@ -41,13 +58,33 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grammar = toxicity.learn(docs, labels.filter(~held_out()), label_col="toxic")
+    scored = toxicity.score(docs, grammar)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("clauses").alias("n_clauses"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_byte_bpe": op5_byte_bpe, "op6_language_id": op6_language_id, "op8_token_counts": op8_token_counts}
+    return {
+        "op1_chat_format": op1_chat_format,
+        "op4_quality_model": op4_quality_model,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op6_language_id": op6_language_id,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_token_counts": op8_token_counts,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
