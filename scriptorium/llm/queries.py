@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat_format, language_id, quality_model, quality_rules, token_counts, toxicity
+from scriptorium.llm import byte_bpe, chat_format, language_id, quality_model, quality_rules, set_join, token_counts, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +35,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_windows(both))
 
 
+def op3_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_classes(table(spark, sf_dir, "documents"), width=4, pct=85)
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_model.fit(docs, labels.filter(~held_out()), label_col="quality")
@@ -78,6 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op3_set_join": op3_set_join,
         "op4_quality_model": op4_quality_model,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_language_id": op6_language_id,
