@@ -56,8 +56,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(flat: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of each text's first word (one more at the end)."""
-    inside = ~breaks[flat]
-    edge = np.zeros(len(flat) + 1, dtype=bool)
+    return runs(~breaks[flat], at)
+
+
+def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words``, given which bytes stand inside one."""
+    edge = np.zeros(len(inside) + 1, dtype=bool)
     edge[at] = True
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1] | edge[1:-1]
