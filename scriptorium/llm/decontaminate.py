@@ -2,7 +2,8 @@
 
 Words of documents and of benchmark items are brought to a canonical form:
 numbers, names (capitalised words that do not open a sentence) and units after a
-number become typed placeholders, other words are lower-cased. Windows of
+number become typed placeholders, other words are lower-cased (A-Z and the capital
+letters of Latin-1). Windows of
 ``width`` canonical words with ``min_plain`` plain words at least are hashed and
 joined. So a question whose numbers or names were exchanged meets its template.
 
@@ -59,6 +60,11 @@ def _unit_hashes() -> np.ndarray:
 
 def canonical(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical hash and slot value of each word (0 for plain words), and each text's first word."""
+    if (flat == 0xC3).any():
+        # Capital letters of Latin-1 are two bytes, the second less by 32 than the small letter's.
+        flat = flat.copy()
+        large = np.flatnonzero((flat[:-1] == 0xC3) & (flat[1:] >= 0x80) & (flat[1:] <= 0x9E) & (flat[1:] != 0x97)) + 1
+        flat[large] += 32
     inside = ~textbatch.NON_WORD[flat]
     digit = _DIGIT[flat]
     if len(flat) > 2:
@@ -74,7 +80,9 @@ def canonical(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     opens[1:] = stops[starts[1:]] > stops[ends[:-1]]
     heads = first[:-1]
     opens[heads[heads < len(starts)]] = True
-    kind[_UPPER[flat[starts]] & ~opens] = NAME
+    # Words in capitals throughout are no names.
+    second = np.minimum(starts + 1, len(flat) - 1)
+    kind[_UPPER[flat[starts]] & ~_UPPER[flat[second]] & (ends - starts > 1) & ~opens] = NAME
     after = np.zeros(len(starts), bool)
     after[1:] = kind[:-1] == NUMBER
     after &= kind == PLAIN
