@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat_format, decontaminate, language_id, quality_model, quality_rules, set_join, token_counts, toxicity
+from scriptorium.llm import byte_bpe, chat_format, decontaminate, language_id, pii, quality_model, quality_rules, set_join, token_counts, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +35,19 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_windows(both))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"),
+        pii.span_list(F.col("spans")).alias("spans"),
+        count(pii.TERM).alias("n_term"),
+    )
+
+
 def op3_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_classes(table(spark, sf_dir, "documents"), width=4, pct=85)
 
@@ -86,6 +99,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_pii": op2_pii,
         "op3_set_join": op3_set_join,
         "op4_quality_model": op4_quality_model,
         "op5_byte_bpe": op5_byte_bpe,
