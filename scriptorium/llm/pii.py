@@ -132,23 +132,26 @@ def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Returns (kind, value, term, disclosure) and, for each row of ``docs`` that holds
     such an entity, (_id, _hash, terms).
     """
-    spans = base_spans(docs.select(id_col, text_col), text_col, "_spans").filter(F.size("_spans") > 0)
-    entity = spans.select(*_row_key(spans, id_col, text_col), F.col(text_col).alias("_text"), F.explode("_spans").alias("s"))
+    own = docs.select(*_row_key(docs, id_col, text_col), docs[text_col].cast("string").alias("_text"))
+    entity = base_spans(own, "_text", "_spans").filter(F.size("_spans") > 0).select("_id", "_hash", "_text", F.explode("_spans").alias("s"))
     entity = entity.select("_id", "_hash", "s.kind", F.lower("s.value").alias("value"), _context(F.col("_text"), F.col("s"), reach).alias("words")).filter("_id is not null").distinct()
     entity = checkpoint(entity)
     near = entity.select("_id", "_hash", "kind", "value", F.xxhash64("words").alias("context"), F.explode(F.array_distinct("words")).alias("term")).filter((F.length("term") >= min_letters) & ~F.col("term").rlike("[0-9]"))
     together = near.groupBy("kind", "value", "term").agg(F.count_distinct("_id").alias("n_both"), F.count_distinct("context").alias("n_contexts")).filter("n_both > 1 and n_contexts > 1")
-    together = checkpoint(together)
-    terms = together.select("term").distinct()
-    n_terms = terms.count()
-    small = n_terms <= BROADCAST_ROWS
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(docs[text_col].cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
-    seen = words.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     held = entity.groupBy("kind", "value").agg(F.count_distinct("_id").alias("n_entity"))
+    beside = near.groupBy("term").agg(F.count_distinct("_id").alias("n_beside"))
     total = docs.select(F.count(F.lit(1)).alias("n_all"))
-    rated = together.join(seen, "term").join(held, ["kind", "value"]).crossJoin(F.broadcast(total))
     rare = F.greatest(-F.log(F.col("n_entity") / F.col("n_all")), F.lit(1e-9))
-    rated = rated.withColumn("disclosure", 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / rare)
+    disclosure = lambda n: 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / n)) / rare
+    rated = together.join(held, ["kind", "value"]).join(beside, "term").crossJoin(F.broadcast(total))
+    # A term stands in at least as many documents as it stands beside entities in, which bounds its disclosure
+    # and spares the corpus count of terms that cannot reach the threshold.
+    rated = checkpoint(rated.filter(disclosure(F.col("n_beside")) >= threshold))
+    terms = rated.select("term").distinct()
+    small = terms.count() <= BROADCAST_ROWS
+    words = own.select("_id", "_hash", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("_text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
+    seen = words.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("term").agg(F.count_distinct(F.struct("_id", "_hash")).alias("n_term"))
+    rated = rated.join(seen, "term").withColumn("disclosure", disclosure(F.col("n_term")))
     rated = checkpoint(rated.filter(F.col("disclosure") >= threshold).select("kind", "value", "term", "disclosure"))
     where = entity.select("_id", "_hash", "kind", "value").distinct().join(rated, ["kind", "value"])
     where = where.groupBy("_id", "_hash", "term").agg(F.max(F.struct("disclosure", "kind")).alias("best"))
@@ -162,10 +165,10 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spa
     _, where = disclosing_terms(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     where = checkpoint(where)
     small = where.count() <= BROADCAST_ROWS
-    rows = base_spans(docs, text_col, "_base")
-    rows = rows.withColumns(dict(zip(("_id", "_hash"), _row_key(rows, id_col, text_col), strict=True)))
-    rows = rows.join(F.broadcast(where) if small else where, ["_id", "_hash"], "left")
-    text = F.coalesce(rows[text_col].cast("string"), F.lit(""))
+    # The given columns travel in one struct, so none of their names can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), *_row_key(docs, id_col, text_col))
+    rows = base_spans(rows, "_text", "_base").join(F.broadcast(where) if small else where, ["_id", "_hash"], "left")
+    text = F.col("_text")
     known = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], F.struct(t["kind"].alias("kind"), t["disclosure"].alias("disclosure")))))
 
     def term_spans(by: Column) -> Column:
@@ -177,7 +180,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spa
     kind = "array<struct<kind:string,start:int,end:int,value:string,mark:string>>"
     marked = F.transform("_base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), F.concat(F.lit("["), b["kind"], F.lit("]")).alias("mark")))
     more = F.when(F.col("terms").isNotNull(), let(known, term_spans)).otherwise(F.array().cast(kind))
-    return rows.select(*[rows[c] for c in docs.columns], F.concat(marked, more).alias(spans_col))
+    return rows.select("_row.*", F.concat(marked, more).alias(spans_col))
 
 
 def replace(text: Column, spans: Column) -> Column:
