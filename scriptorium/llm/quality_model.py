@@ -58,14 +58,19 @@ def encode(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = int(begin[-1])
     counts = np.zeros((total, _CLASSES * _CLASSES), np.float32)
     if len(flat) > 1:
-        # A passage's bytes run from its first word to the next passage's.
-        opens = np.zeros(len(flat), np.int64)
+        # A passage's bytes run from its first word to the next passage's, a text's first from the text's start.
         heads = np.flatnonzero(np.diff(of_word, prepend=-1))
-        opens[starts[heads]] = np.diff(of_word[heads], prepend=0)
-        of_byte = np.cumsum(opens)
+        heads = heads[of_word[heads] > begin[doc[heads]]]
+        opens = np.zeros(len(flat) + 1, np.int64)
+        opens[starts[heads] + 1] = 1
+        opens = np.cumsum(opens)
+        size = np.diff(at)
+        of_byte = opens[1:] + np.repeat(begin[:-1] - opens[at[:-1]], size)
         kind = BYTE_CLASS[flat].astype(np.int64)
-        pair = kind[:-1] * _CLASSES + kind[1:]
-        counts += np.bincount(of_byte[:-1] * _CLASSES**2 + pair, minlength=total * _CLASSES**2).reshape(total, -1)[:total]
+        pair = of_byte[:-1] * _CLASSES**2 + kind[:-1] * _CLASSES + kind[1:]
+        inside = np.ones(len(flat), bool)
+        inside[at[1:][size > 0] - 1] = False
+        counts += np.bincount(pair[inside[:-1]], minlength=total * _CLASSES**2).reshape(total, -1)
     size = counts.sum(axis=1, keepdims=True)
     words = np.bincount(of_word, minlength=total).astype(np.float32)
     hashed = textbatch.word_hashes(flat, starts, ends) if len(starts) else np.zeros(0, np.uint64)
