@@ -95,7 +95,7 @@ def window_hashes(word: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(len(word), dtype=np.uint64)
     with np.errstate(over="ignore"):
         factor = np.uint64(1)
-        for k in range(width):
+        for k in range(min(width, len(word))):
             factor = factor * _BASE + np.uint64(2 * k + 2)
             out[: len(word) - k] += word[k:] * (factor | np.uint64(1))
         return mix(out)
