@@ -111,5 +111,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SPACES = r"[\x20\x09-\x0D]+"
+
+SET_JOIN_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACES}'), lambda x: x <> '') AS ws FROM documents),
+  sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) AS s FROM w WHERE len(ws) >= 4
+    UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3)),
+  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+  both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  link AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+  reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.r)
+SELECT reach.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY 1"""
+
+QUALITY_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_SPACES}'), lambda x: x <> '') AS ws FROM d),
+  win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+  rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+  cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 8) AS r(k) GROUP BY 1),
+  ln AS (SELECT doc_id, l, length(regexp_replace(l, '{_SPACES}', '', 'g')) AS c, length(regexp_replace(l, '[^!]+', '', 'g')) AS shouts, lower(l) AS low
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+  judged AS (SELECT *, regexp_matches(l, '[.!?"'')»”…][\x20\x09-\x0D]*$') AND length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) * 10 <= c AND length(regexp_replace(l, '[^|]+', '', 'g')) < 3
+    AND (shouts < 4 OR shouts * 20 <= c) AND NOT ({" OR ".join(f"contains(low, '{p}')" for p in quality_rules.BOILERPLATE)}) AS good FROM ln),
+  lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dups, sum(c) AS chars, coalesce(sum(c) FILTER (good), 0) AS kept_chars FROM judged GROUP BY 1),
+  m AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
+    coalesce(cov.n, 0) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (word_chars - kept_chars) * 100 > word_chars * 50 AS kept FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_set_join": SET_JOIN_SQL, "op7_quality_rules": QUALITY_SQL}
