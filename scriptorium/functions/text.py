@@ -178,7 +178,7 @@ def progress_percent(done: Column, total: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Entries of a comma list, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -18,7 +18,7 @@ _SENTENCE_GAP = re.compile(_SENTENCE_END)
 
 def sentences(text: Column) -> Column:
     """Sentences as an array: cut after .!? and white space before a capital letter."""
-    return F.filter(F.transform(F.split(text, _SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, _SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _pieces(text: str, gap: re.Pattern) -> Iterator[tuple[str, int]]:
