@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.durable import checkpoint
 from scriptorium.functions.text import unfence
 from scriptorium.functions.vectors import cosine_similarity
 from scriptorium.operators.fulltext import tokens
@@ -92,7 +93,7 @@ def kmeans(points: DataFrame, k: int, first_id: int, *, vector_col: str = "embed
     With k rows or fewer each row is its own cluster, in order of id. The driver
     holds k centroids; a task sends k sums, whatever the number of rows.
     """
-    points = points.select("id", vector_col).checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else points.select("id", vector_col).cache()
+    points = checkpoint(points.select("id", vector_col))
     few = points.limit(k + 1).count()
     if few <= k:
         return points.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("cluster"), F.lit(1.0).alias("similarity"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.durable import checkpoint
 from scriptorium.functions.html import extract_text
 from scriptorium.functions.text import looks_like_html, metadata_category, metadata_words, normalize_category, normalize_url, text_hash
 from scriptorium.operators.chunking import chunk_documents
@@ -45,7 +46,7 @@ def _entities(rows: DataFrame, rounds: int = 50) -> DataFrame:
         by_id = F.min("entity").over(Window.partitionBy("source", "provider_id"))
         step = labels.withColumn("_next", by_id)
         by_url = F.when(F.col("url_canonical").isNotNull(), F.min("_next").over(Window.partitionBy("source", "url_canonical"))).otherwise(F.col("_next"))
-        step = step.withColumn("_next", F.least("_next", by_url)).checkpoint()
+        step = checkpoint(step.withColumn("_next", F.least("_next", by_url)))
         labels, moved = step.withColumn("entity", F.col("_next")).drop("_next"), step.filter("_next < entity").limit(1).count()
         if not moved:
             return labels.select("row", "entity")
@@ -92,7 +93,7 @@ def upsert_articles(target: DataFrame, batch: DataFrame, *, now: str, merge_acro
     rows = old.unionByName(new.select(*ARTICLE, F.col("seq").cast("long").alias("row")))
     if merge_across_sources:
         rows = rows.withColumn("_source", F.col("source")).withColumn("source", F.lit("*"))
-    rows = rows.checkpoint()
+    rows = checkpoint(rows)
     grouped = rows.join(_entities(rows), "row")
     size = F.count(F.lit(1)).over(Window.partitionBy("entity"))
     grouped = grouped.withColumn("_size", size)
@@ -156,7 +157,8 @@ def apply_changes(rows: DataFrame, changes: DataFrame, columns: list[str], *, ke
 
 def clean_html(docs: DataFrame, chunks: DataFrame, *, rechunk: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Moves HTML out of the text column: (documents, chunks, one row of counters)."""
-    rows = docs.withColumn("_html", F.coalesce(looks_like_html(F.col("fulltext")), F.lit(False))).withColumn("_text", F.when(F.col("_html"), extract_text(F.col("fulltext")))).checkpoint()
+    marked = docs.withColumn("_html", F.coalesce(looks_like_html(F.col("fulltext")), F.lit(False)))
+    rows = checkpoint(marked.withColumn("_text", F.when(F.col("_html"), extract_text(F.col("fulltext")))))
     got = F.col("_text").isNotNull()
     cleaned = rows.withColumns({"fulltext_html": F.when(got, F.col("fulltext")).otherwise(F.col("fulltext_html")), "fulltext": F.coalesce("_text", "fulltext")}).drop("_html", "_text")
     counters = rows.agg(F.count_if("_html").alias("found"), F.count_if(got).alias("cleaned"), F.count_if(F.col("_html") & ~got).alias("failed"))

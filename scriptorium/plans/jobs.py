@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.durable import checkpoint
 from scriptorium.functions.html import extract_text
 from scriptorium.operators import chunking, clustering, embedding, fulltext, library, maintenance, stats
 
@@ -12,7 +13,7 @@ from scriptorium.operators import chunking, clustering, embedding, fulltext, lib
 def sync(docs: DataFrame, batch: DataFrame, chunks: DataFrame, embeddings: DataFrame, embedder: embedding.Embedder, *, provider: str, model: str, now: str) -> dict[str, DataFrame]:
     """Import, chunk, embed and index. Returns documents, rejects, new chunks, new embeddings and postings."""
     stored, rejected = maintenance.upsert_articles(docs, batch, now=now)
-    keyed = stored.withColumn("id", F.xxhash64("source", "provider_id")).checkpoint()
+    keyed = checkpoint(stored.withColumn("id", F.xxhash64("source", "provider_id")))
     new_chunks, vectors = embedding.embed_chunks(keyed, chunks, embeddings, embedder, provider=provider, model=model)
     postings = fulltext.build_postings(keyed, ["title", "author", "fulltext", "summary"], id_col="id")
     return {"documents": keyed, "rejects": rejected, "chunks": new_chunks, "embeddings": vectors, "postings": postings}
@@ -22,7 +23,7 @@ def process_fetches(docs: DataFrame, captured: DataFrame, failures: DataFrame, *
     """Captured pages (url, http_status, content_length, html, error_kind) of fetch candidates: new documents, failures and counters."""
     todo = library.fetch_candidates(docs, failures).select("id", F.col("url_original").alias("url"))
     rows = todo.join(captured, "url").withColumn("text", extract_text(F.col("html")))
-    rows = rows.withColumn("error_type", library.classify_fetch(F.col("url"), F.col("http_status"), F.col("content_length"), F.col("text"), F.col("error_kind"))).checkpoint()
+    rows = checkpoint(rows.withColumn("error_type", library.classify_fetch(F.col("url"), F.col("http_status"), F.col("content_length"), F.col("text"), F.col("error_kind"))))
     good = rows.filter("error_type is null")
     failed = rows.filter("error_type is not null").select(F.col("id").alias("document_id"), F.lit(job_id).alias("job_id"), "url", "error_type", F.lit(None).cast("string").alias("error_message"), "http_status", F.lit(now).cast("timestamp").alias("last_attempt"), F.lit(0).alias("seq"))
     counters = rows.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("error_type").isNull()).alias("succeeded"), F.count_if(F.col("error_type").isNotNull()).alias("failed"))
@@ -31,13 +32,13 @@ def process_fetches(docs: DataFrame, captured: DataFrame, failures: DataFrame, *
 
 def digest(chunks: DataFrame, docs: DataFrame, embeddings: DataFrame, first: str, last: str, *, limit: int = 2000) -> dict[str, DataFrame]:
     """Select, cluster, label and compile. Without chunks the digest is empty."""
-    selected = library.chunks_in_range(chunks, docs, first, last, limit=limit, embeddings=embeddings).dropDuplicates(["id"]).checkpoint()
+    selected = checkpoint(library.chunks_in_range(chunks, docs, first, last, limit=limit, embeddings=embeddings).dropDuplicates(["id"]))
     n = selected.count()
     if n == 0:
         none = selected.sparkSession.createDataFrame([], "topic_index int, topic_name string, n_chunks long, summary string, key_points array<string>")
         return {"selected": selected, "topics": none, "digest": clustering.compile_digest(none, selected, first, last)}
     start = selected.agg(F.min("id")).first()[0]
-    assigned = clustering.kmeans(selected, clustering.choose_k(n), start).checkpoint()
+    assigned = checkpoint(clustering.kmeans(selected, clustering.choose_k(n), start))
     labelled = selected.select("id", "chunk_text").join(assigned, "id")
     members = clustering.cluster_members(assigned)
     names = clustering.topic_terms(labelled)
