@@ -1,21 +1,5 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Checkpoints of this subpackage's operators."""
 
-from __future__ import annotations
+from scriptorium.durable import checkpoint, shared_folder
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: the one in ``spark.checkpoint.dir``; only a
-    session without one (a local test) gets a temporary folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the session's checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint", "shared_folder"]
