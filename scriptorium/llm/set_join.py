@@ -17,9 +17,10 @@ Jaccard similarity reaches a threshold, and a class is what links connect.
    no pair among them is looked at.
 5. *Skipping.* What is left are pairs in one list and different classes. They are
    skipped by block (a list is cut in blocks of sizes; blocks too far apart never
-   meet), by size, and by the shingles that neither can share; the rest are
-   compared in full. No pair that could link is left out, whatever the list's
-   length.
+   meet), by size, by the shingles that neither can share, and by bitmaps: each set
+   has ``BITS`` parity bits, and two bitmaps differ in no more bits than their sets
+   differ in shingles. The rest are compared in full. No pair that could link is
+   left out, whatever the list's length.
 
 Sets hold hashes: two different shingles count as one only if 64 bits agree.
 
@@ -45,6 +46,8 @@ from scriptorium.llm.durable import checkpoint
 #: Keys up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 _NOBODY = 0xFFFF
+#: Parity bits of a set.
+BITS = 512
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -87,20 +90,47 @@ def fingerprints(token: np.ndarray, own: np.ndarray, n_texts: int) -> tuple[np.n
     return size, out[0].view(np.int64), out[1].view(np.int64)
 
 
+def bitmaps(token: np.ndarray, own: np.ndarray, n_texts: int) -> np.ndarray:
+    """``BITS`` parity bits of each text's set, as 64-bit integers. ``own`` must not fall."""
+    out = np.zeros((n_texts, BITS // 64), np.int64)
+    place = (textbatch.mix(token ^ ~_SALT) % np.uint64(BITS)).astype(np.int64)
+    for k in range(0, n_texts, 2048):
+        m = min(2048, n_texts - k)
+        i, j = np.searchsorted(own, (k, k + m))
+        odd = np.bincount((own[i:j] - k) * BITS + place[i:j], minlength=m * BITS).astype(np.uint8) & 1
+        out[k : k + m] = np.packbits(odd.reshape(m, BITS), axis=1).view(np.int64)
+    return out
+
+
 def _small_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     for i, j in textbatch.slices(column):
         for k in range(i, j, _NOBODY - 1):
             yield k, min(j, k + _NOBODY - 1)
 
 
-_BLOB = "bucket int, ids array<long>, n array<int>, f1 array<long>, f2 array<long>, shared array<int>, hashes binary, owners binary"
+_SETS = "ids array<long>, n array<int>, f1 array<long>, f2 array<long>, shared array<int>"
+_SENT = f"bucket int, slice long, {_SETS}, hashes binary, owners binary"
+_MET = f"slice long, {_SETS}, owners binary, counts binary"
+_MEMBER = "id long, n int, f1 long, f2 long, shared long"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], [name for name, _ in fields])
 
 
 def _send(width: int, buckets: int):
-    """Docs (id, text) to one row of sets and one blob of shingles per bucket and slice."""
+    """Docs (id, text) to one row of sets per slice and one blob of shingles per slice and bucket.
+
+    A blob has the low 48 bits of each shingle (the bucket stands for high ones) and
+    the number, in the slice, of the text that has it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        from pyspark import TaskContext
+
+        slice_id = TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, j in _small_slices(batch.column(1)):
                 ids = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
@@ -108,32 +138,24 @@ def _send(width: int, buckets: int):
                 size, f1, f2 = fingerprints(token, own, j - i)
                 first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
                 times = np.diff(np.append(first, len(token)))
-                again = np.repeat(times > 1, times)
-                shared = np.bincount(own[again], minlength=j - i)
-                turn += 1
-                rows = [(-1 - turn % buckets, ids, size, f1, f2, shared, b"", b"")]
+                shared = np.bincount(own[np.repeat(times > 1, times)], minlength=j - i)
+                slice_id += 1
+                rows = [(-1 - slice_id % buckets, slice_id, ids, size, f1, f2, shared, None, None)]
                 sent, owner = token[first], np.where(times > 1, _NOBODY, own[first]).astype(np.uint16)
                 edge = np.searchsorted((sent >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
                 low = np.ascontiguousarray(sent).view(np.uint8).reshape(-1, 8)[:, :6]
-                for b in range(buckets):
-                    p, q = edge[b], edge[b + 1]
-                    if p < q:
-                        known, number = np.unique(owner[p:q], return_inverse=True)
-                        mine = known[known != _NOBODY]
-                        rows.append((b, ids[mine], [], [], [], [], low[p:q].tobytes(), np.where(owner[p:q] == _NOBODY, _NOBODY, number).astype(np.uint16).tobytes()))
-                kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _BLOB.split(", ")])
+                nothing = (None,) * 5
+                rows += [(b, slice_id, *nothing, low[p:q].tobytes(), owner[p:q].tobytes()) for b, (p, q) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if p < q]
+                yield _batch(rows, _SENT)
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs, ordered by bucket, to each set's number of shingles that other slices have too."""
-    names = ["id", "n", "f1", "f2", "shared"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    """Blobs, ordered by bucket, to one row per slice and bucket: how many shingles of which texts other slices have too."""
 
-    def counted(blobs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        raw = np.concatenate([np.frombuffer(h, np.uint8) for _, h, _ in blobs]).reshape(-1, 6)
+    def counted(blobs: list[tuple]) -> pa.RecordBatch:
+        raw = np.concatenate([np.frombuffer(hashes, np.uint8) for _, hashes, _ in blobs]).reshape(-1, 6)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :6] = raw
         token = wide.view(np.uint64)[:, 0]
@@ -142,35 +164,59 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(len(token), bool)
         met[order[1:][same]] = True
         met[order[:-1][same]] = True
-        at = 0
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for ids, _, owners in blobs:
+        at, rows = 0, []
+        for slice_id, _, owners in blobs:
             owner = np.frombuffer(owners, np.uint16)
-            mine = met[at : at + len(owner)] & (owner != _NOBODY)
+            who, n = np.unique(owner[met[at : at + len(owner)] & (owner != _NOBODY)], return_counts=True)
             at += len(owner)
-            count = np.bincount(owner[mine], minlength=len(ids))
-            some = np.flatnonzero(count)
-            found.append((ids[some], count[some]))
-        ids, count = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        nothing = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int32()), nothing, nothing, pa.array(count, pa.int64())], names)
+            rows.append((slice_id, *(None,) * 5, who.tobytes(), n.astype(np.int32).tobytes()))
+        return _batch(rows, _MET)
 
     blobs: list[tuple] = []
     bucket = None
     for batch in batches:
-        for k in range(len(batch)):
-            row = batch.slice(k, 1)
+        for row in (batch.slice(k, 1) for k in range(len(batch))):
             now = row.column(0)[0].as_py()
             if blobs and now != bucket:
-                yield from counted(blobs)
+                yield counted(blobs)
                 blobs = []
             bucket = now
             if now < 0:
-                yield pa.RecordBatch.from_arrays([row.column(c).flatten().cast(kind) for c, kind in zip(range(1, 6), kinds, strict=True)], names)
+                empty = pa.nulls(1, pa.binary())
+                yield pa.RecordBatch.from_arrays([*row.columns[1:7], empty, empty], [x.split()[0] for x in _MET.split(", ")])
             else:
-                blobs.append((row.column(1).flatten().to_numpy(zero_copy_only=False), row.column(6)[0].as_py(), row.column(7)[0].as_py()))
+                blobs.append((row.column(1)[0].as_py(), row.column(7)[0].as_py(), row.column(8)[0].as_py()))
     if blobs:
-        yield from counted(blobs)
+        yield counted(blobs)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_meet``, ordered by slice, to the slice's sets with their number of shared shingles."""
+    names = [x.split()[0] for x in _MEMBER.split(", ")]
+
+    def members(sets: pa.RecordBatch | None, more: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        if sets is not None:
+            own = [sets.column(k).flatten() for k in range(1, 6)]
+            shared = own[4].to_numpy(zero_copy_only=False).astype(np.int64)
+            for who, n in more:
+                shared[np.frombuffer(who, np.uint16)] += np.frombuffer(n, np.int32)
+            yield pa.RecordBatch.from_arrays([*own[:4], pa.array(shared)], names)
+
+    now, sets, more = None, None, []
+    for batch in batches:
+        for row in (batch.slice(k, 1) for k in range(len(batch))):
+            slice_id = row.column(0)[0].as_py()
+            if slice_id != now:
+                yield from members(sets, more)
+                now, sets, more = slice_id, None, []
+            if row.column(1)[0].is_valid:
+                sets = row
+            else:
+                more.append((row.column(6)[0].as_py(), row.column(7)[0].as_py()))
+    yield from members(sets, more)
+
+
+_WORDS = [f"bits{k}" for k in range(BITS // 64)]
 
 
 def _tokens(width: int):
@@ -183,7 +229,9 @@ def _tokens(width: int):
                 size, f1, f2 = fingerprints(token, own, j - i)
                 order = np.argsort(own, kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(token[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(f1), pa.array(f2), lists], ["id", "f1", "f2", "tokens"])
+                bits = bitmaps(token[order], own[order], j - i)
+                columns = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(BITS // 64)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(f1), pa.array(f2), lists, *columns], ["id", "f1", "f2", "tokens", *_WORDS])
 
     return run
 
@@ -223,21 +271,24 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id is not null")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = rows.mapInArrow(_send(width, buckets), _BLOB).repartition(buckets, F.abs("bucket")).sortWithinPartitions("bucket")
-    met = sent.mapInArrow(_meet, "id long, n int, f1 long, f2 long, shared long")
-    known = met.groupBy("id").agg(F.min(F.when(F.col("n").isNotNull(), F.struct("f1", "f2", "n"))).alias("s"), F.sum("shared").alias("shared"))
+    sent = rows.mapInArrow(_send(width, buckets), _SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = sent.mapInArrow(_meet, _MET).repartition(buckets, "slice").sortWithinPartitions("slice")
+    known = met.mapInArrow(_tally, _MEMBER).groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("s"), F.sum("shared").alias("shared"))
     members = checkpoint(known.select("id", "s.f1", "s.f2", "s.n", "shared"))
     hopeful = members.filter(f"n > 0 and shared * 100 >= n * {pct}")
     # Equal sets are one set from here on.
     chosen = checkpoint(hopeful.groupBy("f1", "f2", "n").agg(F.min("id").alias("id")))
     n_chosen = chosen.count()
     texts = rows.join(_maybe_broadcast(chosen.select("id"), n_chosen), "id", "left_semi")
-    sets = texts.mapInArrow(_tokens(width), "id long, f1 long, f2 long, tokens array<long>").join(_maybe_broadcast(chosen, n_chosen), ["id", "f1", "f2"]).dropDuplicates(["id"])
-    entries = checkpoint(sets.select("id", "n", F.explode("tokens").alias("token")))
+    kinds = "".join(f", {w} long" for w in _WORDS)
+    sets = texts.mapInArrow(_tokens(width), f"id long, f1 long, f2 long, tokens array<long>{kinds}").join(_maybe_broadcast(chosen, n_chosen), ["id", "f1", "f2"]).dropDuplicates(["id"])
+    sets = checkpoint(sets.select("id", "n", "tokens", *_WORDS))
+    entries = sets.select("id", F.explode("tokens").alias("token"))
     common = entries.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "df")
-    ordered = entries.join(common, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    ordered = entries.join(common, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     # n - size(shared) shingles are found nowhere else; a linked set has none but (100 - pct) % of them.
-    sets = checkpoint(ordered.filter(F.size("shared") * 100 >= F.col("n") * pct).select("id", "n", (F.col("n") - F.size("shared")).alias("alone"), F.col("shared.token").alias("common")))
+    sets = sets.drop("tokens").join(ordered, "id").filter(F.size("shared") * 100 >= F.col("n") * pct)
+    sets = checkpoint(sets.select("id", "n", (F.col("n") - F.size("shared")).alias("alone"), F.col("shared.token").alias("common"), *_WORDS))
     # The rarest come first: those found nowhere else, then by document frequency.
     lead = F.floor(F.col("n") * (100 - pct) / 100).cast("int") + 1 - F.col("alone")
     lists = sets.filter(lead > 0).select("id", "n", "alone", F.explode(F.slice("common", F.lit(1), lead)).alias("token"))
@@ -252,14 +303,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     block = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / pct + 1e-9)).cast("int")
     open_ = lists.join(labels, "id").withColumn("block", block)
     split = open_.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    open_ = open_.join(split, "token").select("token", "id", "n", "alone", "label", "block")
-    other = open_.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("alone").alias("alone_b"), F.col("label").alias("label_b"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
+    open_ = checkpoint(open_.join(split, "token").join(sets.select("id", *_WORDS), "id").select("token", "id", "n", "alone", "label", "block", *_WORDS))
+    other = open_.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("alone").alias("alone_b"), F.col("label").alias("label_b"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(w).alias(f"{w}_b") for w in _WORDS])
+    apart = " + ".join(f"bit_count({w} ^ {w}_b)" for w in _WORDS)
     fits = f"""(n_b < n or (n_b = n and b < id)) and label_b <> label and 100 * n_b >= {pct} * n
-               and (alone + alone_b) * {100 + pct} <= {100 - pct} * (n + n_b)"""
+               and (alone + alone_b) * {100 + pct} <= {100 - pct} * (n + n_b) and ({apart}) * {100 + pct} <= {100 - pct} * (n + n_b)"""
     rest = open_.join(other, ["token", "block"]).filter(fits).select(F.col("id").alias("a"), "b").distinct()
     more = checkpoint(_linked(rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), sets, pct))
     labels = components(sets.select("id"), links.union(more))
-    classes = labels.join(chosen, "id").select("f1", "f2", "n", "label")
-    alone = members.join(hopeful.groupBy("f1", "f2", "n").agg(F.min("id").alias("least")), ["f1", "f2", "n"], "left")
-    found = alone.join(classes, ["f1", "f2", "n"], "left")
-    return found.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("label", "least", "id").alias("component_id"))
+    # One answer for each set; the rows of a set with very many copies meet it in one join, which Spark can split.
+    answers = checkpoint(chosen.join(labels, "id", "left").select("f1", "f2", "n", F.coalesce("label", "id").alias("label")))
+    found = members.join(_maybe_broadcast(answers, n_chosen), ["f1", "f2", "n"], "left")
+    return found.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
