@@ -38,7 +38,7 @@ NEGATIONS = ("not", "never", "no", "nobody", "isn't", "aren't", "don't", "nicht"
 REPORTS = ("said", "says", "called", "quoted", "wrote", "alleged", "sagte", "dit", "dijo")
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-STEMS = (5, 6)
+STEMS = (4, 5, 6)
 REACH = 2
 CLOSE = 3
 WEAK, STRONG, THREAT_WEIGHT = 0.2, 1.5, 3.0
@@ -148,10 +148,13 @@ class Grammar:
         return 1.0 - math.exp(-sum(w for _, w in self.clauses(text)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000, min_toxic: int = 4, min_odds: float = 3.0, min_gain: float = 30.0, size: int = 5_000) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000, min_toxic: int = 4, min_odds: float = 3.0, min_gain: float = 30.0, min_precision: float = 0.9, min_contexts: int = 8, size: int = 5_000) -> Grammar:
     """A grammar whose insults are the ``size`` words and stems at most that stand
     in ``min_toxic`` toxic documents at least with log-odds of ``min_odds`` or more,
-    and whose likelihood-ratio statistic is ``min_gain`` or more (so that few of many rare terms pass by chance)."""
+    whose likelihood-ratio statistic is ``min_gain`` or more (so that few of many rare
+    terms pass by chance), ``min_precision`` of whose documents, and one more, are
+    toxic, and which stand between ``min_contexts`` different pairs of words in toxic
+    documents (so that the words of a toxic text with many copies are no insults)."""
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").select("toxic", "text")
 
@@ -174,7 +177,25 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "
     all_bad, all_good = next(((r["bad"], r["good"]) for r in found if r["term"] == ""), (0, 0))
     odds = {r["term"]: math.log((r["bad"] + 0.5) * (all_good - r["good"] + 0.5) / ((all_bad - r["bad"] + 0.5) * (r["good"] + 0.5))) for r in found if r["term"]}
     gain = {r["term"]: _likelihood_ratio(r["bad"], r["good"], all_bad, all_good) for r in found}
-    best = sorted(((v, k) for k, v in odds.items() if v >= min_odds and gain[k] >= min_gain), reverse=True)[:size]
+    precise = {r["term"]: r["bad"] >= min_precision * (r["bad"] + r["good"] + 1) for r in found}
+    likely = {k for k, v in odds.items() if v >= min_odds and gain[k] >= min_gain and precise[k]}
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zlib import crc32
+
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                words = ["", *_WORD.findall((text or "").lower()), ""]
+                for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                    for term in (word, *(f"{word[:k]}*" for k in STEMS if len(word) >= k)):
+                        if term in likely:
+                            seen.add((term, crc32(f"{before} {after}".encode())))
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64())], ["term", "context"])
+
+    around = rows.filter("toxic > 0").mapInArrow(contexts, "term string, context long").groupBy("term").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= min_contexts)
+    varied = {r["term"] for r in around.collect()} if likely else set()
+    best = sorted(((odds[k], k) for k in varied), reverse=True)[:size]
     return Grammar({k: min(v, 6.0) / 3 for v, k in best})
 
 

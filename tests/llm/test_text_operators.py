@@ -173,10 +173,11 @@ def test_composition_equals_the_parts():
 
 
 def test_toxicity_learns(spark, odd_docs, no_docs):
-    rows = [(i, f"text number {i} " + ("grobian here" if i % 4 == 0 else "fine here"), int(i % 4 == 0)) for i in range(80)]
+    rows = [(i, f"text {chr(97 + i % 26) * 3} " + ("grobian here" if i % 4 == 0 else "fine here"), int(i % 4 == 0)) for i in range(80)]
+    rows += [(100 + i, "one toxic text of many copies", 1) for i in range(12)] + [(200 + i, "one more", 0) for i in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     grammar = toxicity.learn(frame, frame.select("doc_id", "toxic"), label_col="toxic")
-    assert {r.doc_id for r in toxicity.score(frame, grammar).collect() if r.score >= 0.5} == {i for i in range(80) if i % 4 == 0}
+    assert {r.doc_id for r in toxicity.score(frame, grammar).collect() if r.score >= 0.5} == {i for i in range(80) if i % 4 == 0}  # copies teach nothing
     assert [r.doc_id for r in frame.filter(toxicity.score_column(grammar, frame["text"]) >= 0.5).collect()] == list(range(0, 80, 4))
     assert all(r.score == 0 for r in toxicity.score(odd_docs, grammar).collect()) and toxicity.score(no_docs, grammar).count() == 0
     assert toxicity.learn(no_docs, frame.select("doc_id", "toxic"), label_col="toxic").stems == {}
