@@ -87,6 +87,12 @@ def chunk_candidates(docs: DataFrame, chunks: DataFrame, *, min_length: int | No
     return rows.join(chunks.select(F.col("document_id").alias("id")), "id", "left_anti")
 
 
+def shortest_unchunked(docs: DataFrame, chunks: DataFrame, n: int = 20) -> DataFrame:
+    """The shortest documents with text and without chunks, with their lengths."""
+    rows = chunk_candidates(docs, chunks, min_length=None).withColumn("length", F.length("fulltext"))
+    return rows.orderBy("length", "id").limit(n)
+
+
 def without_embedding(rows: DataFrame, embeddings: DataFrame, *, key: str, provider: str | None = None, model: str | None = None) -> DataFrame:
     """Rows (by ``id``) without a vector, of the provider and model if given. key: document_id or chunk_id."""
     done = where(embeddings, provider=provider, model=model).filter(F.col(key).isNotNull())
