@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from scriptorium.durable import checkpoint
 from scriptorium.functions.text import unfence
-from scriptorium.functions.vectors import cosine_similarity
 from scriptorium.operators.fulltext import tokens
 
 MOST_CLUSTERS, CHUNKS_PER_CLUSTER, ROUNDS = 7, 3, 50
@@ -28,14 +27,36 @@ def _vector(values: list[float]) -> Column:
 
 def farthest_first(points: DataFrame, k: int, first_id: int, *, id_col: str = "id", vector_col: str = "embedding") -> list[list[float]]:
     """k seeds: the given point, then always the one whose nearest seed is farthest by cosine, ties by least id."""
-    seeds = [points.filter(F.col(id_col) == first_id).select(vector_col).first()[0]]
+    seeds = [list(points.filter(F.col(id_col) == first_id).select(vector_col).first()[0])]
     chosen = [first_id]
-    rest = points.select(id_col, F.col(vector_col).alias("v"))
+    kind = dict(points.dtypes)[id_col]
+
+    def farthest(c: np.ndarray, taken: list):
+        norm = np.linalg.norm(c, axis=1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: tuple | None = None
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
+                sizes = np.linalg.norm(x, axis=1)[:, None] * norm
+                far = (1 - np.where(sizes == 0, 0.0, (x @ c.T) / np.where(sizes == 0, 1, sizes))).min(axis=1)
+                # Equal up to rounding counts as equal, so ties go to the least id.
+                far = np.where([i in taken for i in ids], -9.0, far.round(9))
+                at = min(np.flatnonzero(far == far.max()).tolist(), key=ids.__getitem__)
+                own = (float(far[at]), ids[at], x[at].tolist())
+                if own[0] > -9 and (best is None or own[0] > best[0] or own[0] == best[0] and own[1] < best[1]):
+                    best = own
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(best, (pa.float64(), None, pa.list_(pa.float64())), strict=True)], ["far", "id", "v"])
+
+        return run
+
     while len(seeds) < k:
-        # Each row's distance to every seed so far; k is small and the rows stay where they are.
-        far = F.least(*[1 - cosine_similarity(F.col("v"), _vector(s)) for s in seeds], F.lit(3.0))
-        best = rest.filter(~F.col(id_col).isin(chosen)).orderBy(far.desc(), id_col).limit(1).first()
-        chosen.append(best[id_col])
+        # A task sends its one best row.
+        found = points.select(id_col, vector_col).mapInArrow(farthest(np.array(seeds, np.float64), chosen), f"far double, id {kind}, v array<double>").collect()
+        best = min(found, key=lambda r: (-r["far"], r["id"]))
+        chosen.append(best["id"])
         seeds.append(best["v"])
     return seeds
 
