@@ -1,6 +1,6 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line of a text is judged on its own: it must end like a sentence, hold few
+Every line of a text is judged on its own: it must hold the end of a sentence, few
 symbols, few bars of a menu, little shouting and no boilerplate phrase. Lines
 that fail are removed; a text that loses too large a share of its characters is
 rejected, and so is one that fails the whole-text rules (too few words, too many
@@ -54,7 +54,7 @@ def line_kept(line: Column) -> Column:
     """Whether a line passes the rules for lines."""
     chars = n_matching(line, f"{SPACES}+")
     shouts = n_matching(line, "[^!]+")
-    sentence = line.rlike(rf"""[.!?"')»”…]{SPACES}*$""")
+    sentence = line.rlike(rf"""[.!?…]["')»”]*({SPACES}|$)""")
     symbols = n_matching(line, NOT_SYMBOL) * 10 <= chars
     menu = n_matching(line, "[^|]+") < 3
     calm = (shouts < 4) | (shouts * 20 <= chars)

@@ -129,7 +129,7 @@ QUALITY_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM doc
   cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 8) AS r(k) GROUP BY 1),
   ln AS (SELECT doc_id, l, length(regexp_replace(l, '{_SPACES}', '', 'g')) AS c, length(regexp_replace(l, '[^!]+', '', 'g')) AS shouts, lower(l) AS low
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-  judged AS (SELECT *, regexp_matches(l, '[.!?"'')»”…][\x20\x09-\x0D]*$') AND length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) * 10 <= c AND length(regexp_replace(l, '[^|]+', '', 'g')) < 3
+  judged AS (SELECT *, regexp_matches(l, '[.!?…]["'')»”]*([\x20\x09-\x0D]|$)') AND length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) * 10 <= c AND length(regexp_replace(l, '[^|]+', '', 'g')) < 3
     AND (shouts < 4 OR shouts * 20 <= c) AND NOT ({" OR ".join(f"contains(low, '{p}')" for p in quality_rules.BOILERPLATE)}) AS good FROM ln),
   lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dups, sum(c) AS chars, coalesce(sum(c) FILTER (good), 0) AS kept_chars FROM judged GROUP BY 1),
   m AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
