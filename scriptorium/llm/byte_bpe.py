@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 LONG = 512
 #: Distinct matches remembered per task before the memory is started anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _NONE = np.int32(2**31 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256, LONG)

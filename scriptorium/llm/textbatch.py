@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes that separate words in the query contracts: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)

@@ -114,7 +114,7 @@ class Grammar:
         """Of an insulting word; 0 for others."""
         found = self.seen.get(word)
         if found is None:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             stems = [self.stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n]
             found = self.seen[word] = max(self.insults.get(word, 0.0), *stems, 0.0)
