@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from scriptorium.llm.textbatch import tidy
+
 LONG = 512
 #: Distinct matches remembered per task before the memory is started anew.
 REMEMBERED = 150_000
@@ -191,7 +193,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["id", "ids"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -208,5 +210,5 @@ def decode(encoded: DataFrame, ranks_path: str, *, id_col: str = "doc_id", ids_c
                 decoded = [model.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
-    out = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary")
+    out = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(tidy(run), f"id {kind}, ids array<int>, decoded binary")
     return out.withColumnRenamed("id", id_col)

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import textbatch
+from scriptorium.llm.textbatch import tidy
 
 BROADCAST_BYTES = 16 << 20
 #: Units that count as such after a number.
@@ -147,11 +148,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             first = canonical(*textbatch.utf8(batch.column(1)))[2]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(np.diff(first), width), pa.int32()), batch.column(1)], ["id", "own_width", "text"])
 
-    sized = items.mapInArrow(lengths, "id long, own_width int, text string").filter("own_width > 0")
+    sized = items.mapInArrow(tidy(lengths), "id long, own_width int, text string").filter("own_width > 0")
     seen = sized.groupBy("own_width").agg(F.sum(F.octet_length("text")).alias("size")).collect()
     widths = sorted({r["own_width"] for r in seen})
     small = sum(r["size"] for r in seen) <= BROADCAST_BYTES
-    cut = sized.select("id", "text").mapInArrow(_cut(widths, min_plain, None), _ROW).join(sized.select("id", F.col("own_width").alias("width")), ["id", "width"])
+    cut = sized.select("id", "text").mapInArrow(tidy(_cut(widths, min_plain, None)), _ROW).join(sized.select("id", F.col("own_width").alias("width")), ["id", "width"])
     items = cut.select(F.col("id").alias("item"), "width", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     known = None
     if small:
@@ -161,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             hashes[r["width"]].append(r["hash"])
         known = {w: np.sort(np.array(h, np.int64).view(np.uint64)) for w, h in hashes.items()}
     counts = items.groupBy("item").agg(F.count_distinct("hash").alias("n_windows"))
-    found = own.mapInArrow(_cut(widths, min_plain, known), _ROW)
+    found = own.mapInArrow(tidy(_cut(widths, min_plain, known)), _ROW)
     met = found.join(F.broadcast(items) if small else items, ["hash", "width"])
     line = (F.col("at") - F.col("item_at")).alias("line")
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != 0)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import textbatch
+from scriptorium.llm.textbatch import tidy
 
 PASSAGE = 64
 FIT_PASSAGES = 32
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "do
                 some = [x[b:e] if e - b <= FIT_PASSAGES else x[np.linspace(b, e - 1, FIT_PASSAGES).astype(int)] for b, e in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.string()), batch.column(1).slice(i, j - i), pa.array([b.astype(np.float16).tobytes() for b in some], pa.binary())], ["id", "label", "bag"])
 
-    got = sorted(rows.mapInArrow(run, "id string, label int, bag binary").collect(), key=lambda r: r["id"])
+    got = sorted(rows.mapInArrow(tidy(run), "id string, label int, bag binary").collect(), key=lambda r: r["id"])
     bags = [np.frombuffer(r["bag"], np.float16).astype(np.float32).reshape(-1, N_FEATURES) for r in got]
     return AttentionModel().fit(bags, np.array([r["label"] for r in got], np.float32))
 
@@ -178,5 +179,5 @@ def score(docs: DataFrame, model: AttentionModel, *, id_col: str = "doc_id", tex
                 x, begin = encode(*textbatch.utf8(batch.column(1).slice(i, j - i)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(model.score(x, begin), pa.float64()), pa.array(np.diff(begin), pa.int64())], ["id", "score", "n_passages"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, n_passages long")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, score double, n_passages long")
     return out.withColumnRenamed("id", id_col)

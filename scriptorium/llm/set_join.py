@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import textbatch
 from scriptorium.llm.durable import checkpoint
+from scriptorium.llm.textbatch import tidy
 
 #: Keys up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
@@ -271,9 +272,9 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id is not null")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = rows.mapInArrow(_send(width, buckets), _SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    met = sent.mapInArrow(_meet, _MET).repartition(buckets, "slice").sortWithinPartitions("slice")
-    known = met.mapInArrow(_tally, _MEMBER).groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("s"), F.sum("shared").alias("shared"))
+    sent = rows.mapInArrow(tidy(_send(width, buckets)), _SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = sent.mapInArrow(tidy(_meet), _MET).repartition(buckets, "slice").sortWithinPartitions("slice")
+    known = met.mapInArrow(tidy(_tally), _MEMBER).groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("s"), F.sum("shared").alias("shared"))
     members = checkpoint(known.select("id", "s.f1", "s.f2", "s.n", "shared"))
     hopeful = members.filter(f"n > 0 and shared * 100 >= n * {pct}")
     # Equal sets are one set from here on.
@@ -281,7 +282,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n_chosen = chosen.count()
     texts = rows.join(_maybe_broadcast(chosen.select("id"), n_chosen), "id", "left_semi")
     kinds = "".join(f", {w} long" for w in _WORDS)
-    sets = texts.mapInArrow(_tokens(width), f"id long, f1 long, f2 long, tokens array<long>{kinds}").join(_maybe_broadcast(chosen, n_chosen), ["id", "f1", "f2"]).dropDuplicates(["id"])
+    sets = texts.mapInArrow(tidy(_tokens(width)), f"id long, f1 long, f2 long, tokens array<long>{kinds}").join(_maybe_broadcast(chosen, n_chosen), ["id", "f1", "f2"]).dropDuplicates(["id"])
     sets = checkpoint(sets.select("id", "n", "tokens", *_WORDS))
     entries = sets.select("id", F.explode("tokens").alias("token"))
     common = entries.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "df")

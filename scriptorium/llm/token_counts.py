@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from scriptorium.llm.textbatch import tidy
+
 #: Distinct pieces remembered per task before the memory is started anew.
 REMEMBERED = 400_000
 
@@ -74,5 +76,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
                 texts = [x or b"" for x in column.slice(i, j - i).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(map(len, texts), pa.int64()), pa.array(counter.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_tokens long")
     return out.withColumnRenamed("id", id_col)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.textbatch import tidy
+
 #: Small word lists of the grammar, in English, German, French and Spanish.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "idiota", "dummkopf", "imbécile")
 THREATS = ("kill", "hurt", "destroy", "beat", "burn", "töten", "tuer", "matar")
@@ -171,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "
             some = every[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([n[1][t] for t in some], pa.int64()), pa.array([n[0][t] for t in some], pa.int64())], ["term", "bad", "good"])
 
-    counts = rows.mapInArrow(terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = rows.mapInArrow(tidy(terms), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = counts.filter((F.col("term") == "") | (F.col("bad") >= min_toxic)).filter("term = '' or bad > good").orderBy(F.col("term") != "", F.desc("bad"), "term").limit(10 * size)
     found = counts.collect()
     all_bad, all_good = next(((r["bad"], r["good"]) for r in found if r["term"] == ""), (0, 0))
@@ -193,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "
                             seen.add((term, crc32(f"{before} {after}".encode())))
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64())], ["term", "context"])
 
-    around = rows.filter("toxic > 0").mapInArrow(contexts, "term string, context long").groupBy("term").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= min_contexts)
+    around = rows.filter("toxic > 0").mapInArrow(tidy(contexts), "term string, context long").groupBy("term").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= min_contexts)
     varied = {r["term"] for r in around.collect()} if likely else set()
     best = sorted(((odds[k], k) for k in varied), reverse=True)[:size]
     return Grammar({k: min(v, 6.0) / 3 for v, k in best})
@@ -231,5 +233,5 @@ def score(docs: DataFrame, grammar: Grammar, *, id_col: str = "doc_id", text_col
                 found = [[{"text": t, "weight": w} for t, w in grammar.clauses(x)] if s else [] for x, s in zip(texts, scores, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(found, clause)], ["id", "score", "clauses"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double, clauses array<struct<text: string, weight: double>>")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, score double, clauses array<struct<text: string, weight: double>>")
     return out.withColumnRenamed("id", id_col)
