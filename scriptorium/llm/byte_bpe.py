@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -43,16 +44,18 @@ class PairTable:
     """(left id, right id) -> id of the two together, for arrays of pairs."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs = {}
+        # Plain arrays: a dictionary of all pairs would be the largest object of a task.
+        pairs, joined = array("Q"), array("i")
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
+                    pairs.append(left << 32 | right)
+                    joined.append(rank)
         self.bits = max(4, (2 * len(pairs)).bit_length())
         size = 1 << self.bits
         self.keys, self.values = np.full(size, 2**64 - 1, np.uint64), np.full(size, _NONE, np.int32)
-        keys, values = np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
+        keys, values = np.frombuffer(pairs, np.uint64), np.frombuffer(joined, np.int32)
         slot = self._slot(keys)
         while len(keys):
             free = self.keys[slot] == np.uint64(2**64 - 1)
