@@ -128,6 +128,18 @@ def test_short_items_and_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.contamination(docs, bench.filter("false")).count() == 0
 
 
+def test_items_without_template_windows_are_searched_for(spark):
+    short, dense = "What is 12 times 15?", "Add 3 kg to 14 kg and 15 kg to 9 kg then 2 kg to 6 kg"
+    named = "Tell Maria Lopez that Peter Novak from Porto met Clara Weiss of Basel near Lake Como on Friday with Anna Berg and Otto Lang"
+    german = "Gestern kaufte der Bauer 12 Kisten Birnen und 30 Kisten Kirschen vom Markt der Stadt Bremen sowie 5 Fässer Wein"
+    texts = [f"We ask. {short} It is 180.", "Next: What is 17 times 23? Try it.", "he knows what is 17 times 23 of them", f"so {dense} now", dense.replace("14", "77"), named.lower(), named.upper(), german.lower().replace("12", "48").replace("30", "70")]
+    assert contaminated(spark, texts, [short, dense, named, german]) == {(0, 0): False, (1, 0): True, (3, 1): False, (4, 1): True, (5, 2): False, (6, 2): False, (7, 3): True}
+
+
+def test_items_of_two_words_must_stand_alone(spark):
+    assert contaminated(spark, ["of prime numbers and others", "Now. Prime numbers! Yes"], ["Prime numbers", "now"]) == {(1, 0): False, (1, 1): False}
+
+
 def test_shuffled_path_equals_broadcast_path(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "benchmark"))
     small = set(map(tuple, decontaminate.contamination(docs, bench).collect()))
