@@ -3,15 +3,16 @@ functions only.
 
 Patterns find e-mail addresses, IP addresses, card and telephone numbers. Each
 distinct value is a protected entity. The corpus then tells which other terms
-reveal an entity: for a term t that stands near an entity e in at least two
-different contexts,
+reveal an entity: for a term t that stands anywhere in the documents of an entity e,
+outside of all values that patterns find, and does so beside at least two different
+contexts of e (the ``reach`` words on each side, so that copies of one text count once),
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 + ln p(e | t) / -ln p(e)
 
-with probabilities from document counts over the whole corpus. Terms at or over
-``threshold`` become spans in the documents that hold the entity: they are
-removed if they stand in no document without it (disclosure 1) and generalised
-to the entity's kind otherwise.
+with probabilities from document counts over the whole corpus. Words of any length and
+with digits are terms. Terms at or over ``threshold`` become spans in every document
+that holds them: they are removed if they stand in no document without the entity
+(disclosure 1) and generalised to the entity's kind otherwise.
 
 Every count is pre-aggregated before its shuffle; candidate terms are broadcast
 only below ``BROADCAST_ROWS`` and joined by a shuffle beyond.
@@ -19,7 +20,7 @@ only below ``BROADCAST_ROWS`` and joined by a shuffle beyond.
 Defined results: null text is empty and has no spans; spans of different kinds
 may overlap and are replaced together, by the first kind's mark; equal spans are
 reported once a kind; repeated rows are treated each, and count as one document;
-rows with a null key get pattern spans only; an empty table gives an empty
+rows with a null key are documents like others; an empty table gives an empty
 table.
 """
 
@@ -121,41 +122,67 @@ def _context(text: Column, span: Column, reach: int) -> Column:
     return let(left, lambda w: F.concat(F.slice(w, F.greatest(F.lit(1), F.size(w) - reach + 1), F.lit(reach)), F.slice(right, F.lit(1), F.lit(reach))))
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """A row's key: repeated rows share it, rows with the same id and another text do not."""
-    return [docs[id_col].alias("_id"), F.xxhash64(docs[text_col].cast("string")).alias("_hash")]
+    return F.xxhash64(docs[id_col], F.xxhash64(docs[text_col].cast("string"))).alias("_key")
 
 
-def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, reach: int = 4, min_letters: int = 4) -> tuple[DataFrame, DataFrame]:
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def _ends(held: Column) -> Column:
+    """Of (kind, value, context): the first and the last context of each value, marked by ``first``."""
+
+    def marked(o: Column) -> Column:
+        same = lambda i, j: (F.get(o, i)["kind"] == F.get(o, j)["kind"]) & (F.get(o, i)["value"] == F.get(o, j)["value"])
+        first = lambda i: ~F.coalesce(same(i, i - 1), F.lit(False))
+        last = lambda i: ~F.coalesce(same(i, i + 1), F.lit(False))
+        every = F.transform(o, lambda x, i: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["context"].alias("context"), first(i).cast("long").alias("first"), last(i).alias("last")))
+        return F.filter(every, lambda x: (x["first"] == 1) | x["last"])
+
+    return let(F.array_sort(held), marked)
+
+
+def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, reach: int = 4) -> tuple[DataFrame, DataFrame]:
     """Terms that reveal entities, and where.
 
     Returns (kind, value, term, disclosure) and, for each row of ``docs`` that holds
-    such an entity, (_id, _hash, terms).
+    such a term, (_key, terms).
     """
-    own = docs.select(*_row_key(docs, id_col, text_col), docs[text_col].cast("string").alias("_text"))
-    entity = base_spans(own, "_text", "_spans").filter(F.size("_spans") > 0).select("_id", "_hash", "_text", F.explode("_spans").alias("s"))
-    entity = entity.select("_id", "_hash", "s.kind", F.lower("s.value").alias("value"), _context(F.col("_text"), F.col("s"), reach).alias("words")).filter("_id is not null").distinct()
+    own = docs.select(_row_key(docs, id_col, text_col), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
+    text = F.col("_text")
+    blank = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("mark")))
+    held = F.transform("_spans", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), F.xxhash64(_context(text, s, reach)).alias("context")))
+    rows = base_spans(own, "_text", "_spans").filter(F.size("_spans") > 0).select("_key", _ends(held).alias("held"), _words(replace(text, blank)).alias("terms"))
+    rows = checkpoint(rows.dropDuplicates(["_key"]))
+    count = [F.sum("first"), F.min("context").alias("lo"), F.max("context").alias("hi")]
+    entity = rows.select(F.inline("held")).groupBy("kind", "value").agg(count[0].alias("n_entity"), *count[1:]).filter("n_entity > 1 and lo <> hi").select("kind", "value", "n_entity")
     entity = checkpoint(entity)
-    near = entity.select("_id", "_hash", "kind", "value", F.xxhash64("words").alias("context"), F.explode(F.array_distinct("words")).alias("term")).filter((F.length("term") >= min_letters) & ~F.col("term").rlike("[0-9]"))
-    together = near.groupBy("kind", "value", "term").agg(F.count_distinct("_id").alias("n_both"), F.count_distinct("context").alias("n_contexts")).filter("n_both > 1 and n_contexts > 1")
-    held = entity.groupBy("kind", "value").agg(F.count_distinct("_id").alias("n_entity"))
-    beside = near.groupBy("term").agg(F.count_distinct("_id").alias("n_beside"))
+    side = F.broadcast(entity) if entity.count() <= BROADCAST_ROWS else entity
+    near = rows.select("terms", F.inline("held")).join(side.select("kind", "value"), ["kind", "value"]).select("kind", "value", "context", "first", F.explode("terms").alias("term"))
+    together = near.groupBy("kind", "value", "term").agg(count[0].alias("n_both"), *count[1:]).filter("n_both > 1 and lo <> hi").select("kind", "value", "term", "n_both")
+    beside = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
     total = docs.select(F.count(F.lit(1)).alias("n_all"))
     rare = F.greatest(-F.log(F.col("n_entity") / F.col("n_all")), F.lit(1e-9))
     disclosure = lambda n: 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / n)) / rare
-    rated = together.join(held, ["kind", "value"]).join(beside, "term").crossJoin(F.broadcast(total))
+    rated = together.join(side, ["kind", "value"]).join(beside, "term").crossJoin(F.broadcast(total))
     # A term stands in at least as many documents as it stands beside entities in, which bounds its disclosure
     # and spares the corpus count of terms that cannot reach the threshold.
     rated = checkpoint(rated.filter(disclosure(F.col("n_beside")) >= threshold))
     terms = rated.select("term").distinct()
     small = terms.count() <= BROADCAST_ROWS
-    words = own.select("_id", "_hash", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("_text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("term"))
-    seen = words.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("term").agg(F.count_distinct(F.struct("_id", "_hash")).alias("n_term"))
+    # Repeated rows share the count of one document; a weight a row needs no shuffle of the words.
+    repeated = checkpoint(own.groupBy("_key").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"))
+    n_repeated = repeated.count()
+    weighed = own.join(F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated, "_key", "left") if n_repeated else own.withColumn("n_rows", F.lit(1))
+    words = weighed.select("_key", F.coalesce("n_rows", F.lit(1)).alias("n_rows"), F.explode(_words(text)).alias("term"))
+    seen = words.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum(1 / F.col("n_rows"))).alias("n_term"))
     rated = rated.join(seen, "term").withColumn("disclosure", disclosure(F.col("n_term")))
     rated = checkpoint(rated.filter(F.col("disclosure") >= threshold).select("kind", "value", "term", "disclosure"))
-    where = entity.select("_id", "_hash", "kind", "value").distinct().join(rated, ["kind", "value"])
-    where = where.groupBy("_id", "_hash", "term").agg(F.max(F.struct("disclosure", "kind")).alias("best"))
-    return rated, where.groupBy("_id", "_hash").agg(F.collect_list(F.struct("term", "best.kind", "best.disclosure")).alias("terms"))
+    best = rated.groupBy("term").agg(F.max(F.struct("disclosure", "kind")).alias("best")).select("term", "best.kind", "best.disclosure")
+    where = words.join(F.broadcast(best) if small else best, "term")
+    return rated, where.groupBy("_key").agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias("terms"))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans", threshold: float = 0.9) -> DataFrame:
@@ -166,8 +193,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spa
     where = checkpoint(where)
     small = where.count() <= BROADCAST_ROWS
     # The given columns travel in one struct, so none of their names can clash.
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), *_row_key(docs, id_col, text_col))
-    rows = base_spans(rows, "_text", "_base").join(F.broadcast(where) if small else where, ["_id", "_hash"], "left")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), _row_key(docs, id_col, text_col))
+    rows = base_spans(rows, "_text", "_base").join(F.broadcast(where) if small else where, "_key", "left")
     text = F.col("_text")
     known = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], F.struct(t["kind"].alias("kind"), t["disclosure"].alias("disclosure")))))
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -216,6 +217,19 @@ def test_pii_disclosing_terms(spark):
     assert [(r.kind, r.term, r.disclosure) for r in rated] == [("email", "zanzibar", 1.0)]
 
 
+def test_pii_terms_in_the_whole_document_and_in_all_that_hold_them(spark):
+    rows = [(i, f"filler{i} words the and common text number{i} here with so many others in it") for i in range(600)]
+    rows += [(700, "Li wrote as jdoe42 and said that the words here and others in it with text so common call +49 30 1234567 today"), (701, "ring +49 30 1234567 soon and ask with many words and others so common in the text here for jdoe42 or Li")]
+    rows += [(702, "nobody but jdoe42 has the number here"), (None, "it was jdoe42 again")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find(frame, threshold=0.8).filter("doc_id is null or doc_id >= 700").withColumn("masked", pii.replace(F.col("text"), F.col("spans")))
+    masked = {r.doc_id: r.masked for r in found.collect()}
+    assert not any("jdoe42" in m or re.search(r"\bLi\b", m) for m in masked.values())
+    rated = {(r.term, round(r.disclosure, 6)) for r in pii.disclosing_terms(frame, threshold=0.8)[0].collect()}
+    rare = -math.log(2 / 604)
+    assert {("li", 1.0), ("jdoe42", round(1 + math.log(2 / 4) / rare, 6))} <= rated and "common" not in dict(rated)
+
+
 def test_pii_edge_cases(odd_docs, no_docs):
     assert pii.find(odd_docs).select(*odd_docs.columns).exceptAll(odd_docs).count() == 0 and pii.find(odd_docs).count() == 9
     assert pii.find(no_docs).count() == 0
