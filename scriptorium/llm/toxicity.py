@@ -13,11 +13,14 @@ are composed into one table (state, symbol) -> (state, factor, emits):
 A clause's weight is the sum of what is emitted, times the factors; a document's
 score is one minus the product over clauses of exp(-weight). Insults and their
 weights are stems whose log-odds of standing in toxic documents are high, learned
-from at most ``fit_rows`` labelled documents chosen by a hash of the key.
+from at most ``fit_rows`` labelled documents chosen by a hash of the key. The fixed
+insults and threats (a threatening word with its target) are candidates of the same
+tests; one that fails is dropped. One that stands in too few labelled documents for
+any record to pass keeps its fixed weight as long as none of them is clean.
 
 Defined results: null or empty text, and text without a match, scores 0; equal
-rows score equally; null labels are left out; without toxic labels only the
-fixed words count; an empty table gives an empty table.
+rows score equally; null labels are left out; without labels of both
+kinds only the fixed words count; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -47,6 +50,9 @@ WEAK, STRONG, THREAT_WEIGHT = 0.2, 1.5, 3.0
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
+#: The fixed insults, and threats marked by ``!``, with their weights.
+FIXED = {w: 2.0 for w in INSULTS} | {f"!{w}": THREAT_WEIGHT for w in THREATS}
+
 #: A transducer: start state, and (state, symbol) -> (state, factor, emits).
 Transducer = tuple
 
@@ -103,13 +109,16 @@ def compose(transducers: list[Transducer]) -> tuple[list[list[int]], list[list[f
 class Grammar:
     """The composed transducers with their lexicon."""
 
-    def __init__(self, learned: dict[str, float]):
-        """learned: insulting words, or stems with a trailing ``*``, and their weights."""
+    def __init__(self, learned: dict[str, float], fixed: dict[str, float] | None = None):
+        """learned: insulting words, or stems with a trailing ``*``, and their weights;
+        fixed: the weights of those of ``FIXED`` that count (all, if not given)."""
+        fixed = FIXED if fixed is None else fixed
+        self.threats = {k[1:]: v for k, v in fixed.items() if k.startswith("!")}
         harm = (INSULT, TARGET)
         self.table = compose([_insult(), _threat(), _counting(TARGET, CLOSE, STRONG, (INSULT,)), _counting(NEGATION, REACH, WEAK, harm), _counting(REPORT, 0, WEAK, harm)])
-        self.insults = {w: 2.0 for w in INSULTS} | {k: v for k, v in learned.items() if not k.endswith("*")}
+        self.insults = {k: v for k, v in fixed.items() if not k.startswith("!")} | {k: v for k, v in learned.items() if not k.endswith("*")}
         self.stems = {k[:-1]: v for k, v in learned.items() if k.endswith("*")}
-        self.symbol = {w: s for s, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws} | dict.fromkeys(".!?;:\n", END)
+        self.symbol = {w: s for s, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, self.threats)) for w in ws} | dict.fromkeys(".!?;:\n", END)
         self.seen: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
@@ -125,13 +134,15 @@ class Grammar:
     def clauses(self, text: str) -> list[tuple[str, float]]:
         """Clauses with a match, and their weights."""
         to, factor, emits = self.table
-        out, state, total, begin = [], 0, 0.0, 0
+        out, state, total, begin, menace = [], 0, 0.0, 0, 0.0
         for m in _TOKEN.finditer(text):
             word = m[0].lower()
             weight = self.weight(word)
             symbol = INSULT if weight else self.symbol.get(word, OTHER)
             if emits[state][symbol]:
-                total += factor[state][symbol] * (weight or THREAT_WEIGHT)
+                total += factor[state][symbol] * (weight or menace)
+            if symbol == THREAT:
+                menace = self.threats[word]
             state = to[state][symbol]
             if symbol == END:
                 if total:
@@ -145,18 +156,38 @@ class Grammar:
         if not text:
             return 0.0
         words = set(_WORD.findall(text.lower()))
-        if not any(map(self.weight, words)) and words.isdisjoint(THREATS):
+        if not any(map(self.weight, words)) and words.isdisjoint(self.threats):
             return 0.0
         return 1.0 - math.exp(-sum(w for _, w in self.clauses(text)))
 
 
+def _menaces(text: str) -> set[str]:
+    """The threatening words that a target follows closely, marked by ``!``."""
+    found, last, left = set(), "", 0
+    for m in _TOKEN.finditer(text):
+        word = m[0].lower()
+        if word in THREATS:
+            last, left = word, REACH
+        elif word in ".!?;:\n":
+            left = 0
+        elif word in TARGETS:
+            if left:
+                found.add(f"!{last}")
+            left = 0
+        else:
+            left = max(0, left - 1)
+    return found
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000, min_toxic: int = 4, min_odds: float = 3.0, min_gain: float = 30.0, min_precision: float = 0.9, min_contexts: int = 8, size: int = 5_000) -> Grammar:
     """A grammar whose insults are the ``size`` words and stems at most that stand
     in ``min_toxic`` toxic documents at least with log-odds of ``min_odds`` or more,
     whose likelihood-ratio statistic is ``min_gain`` or more (so that few of many rare
     terms pass by chance), ``min_precision`` of whose documents, and one more, are
     toxic, and which stand between ``min_contexts`` different pairs of words in toxic
-    documents (so that the words of a toxic text with many copies are no insults)."""
+    documents (so that the words of a toxic text with many copies are no insults).
+    ``FIXED`` terms pass the same tests but the last, or are too rare to be tested
+    and stand in no clean document; without labels of both kinds all of them count."""
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").select("toxic", "text")
 
@@ -167,6 +198,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "
         for batch in batches:
             for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(_WORD.findall((text or "").lower()))
+                if not words.isdisjoint(THREATS):
+                    n[toxic > 0].update(_menaces(text))
                 n[toxic > 0].update(words.union(*({f"{w[:k]}*" for w in words if len(w) >= k} for k in STEMS), [""]))
         every = list(n[0].keys() | n[1].keys())
         for k in range(0, len(every), 50_000):
@@ -174,13 +207,27 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([n[1][t] for t in some], pa.int64()), pa.array([n[0][t] for t in some], pa.int64())], ["term", "bad", "good"])
 
     counts = rows.mapInArrow(tidy(terms), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = counts.filter((F.col("term") == "") | (F.col("bad") >= min_toxic)).filter("term = '' or bad > good").orderBy(F.col("term") != "", F.desc("bad"), "term").limit(10 * size)
+    own = F.col("term").isin("", *FIXED)
+    counts = counts.filter(own | ((F.col("bad") >= min_toxic) & (F.col("bad") > F.col("good")))).orderBy(~own, F.desc("bad"), "term").limit(10 * size)
     found = counts.collect()
     all_bad, all_good = next(((r["bad"], r["good"]) for r in found if r["term"] == ""), (0, 0))
-    odds = {r["term"]: math.log((r["bad"] + 0.5) * (all_good - r["good"] + 0.5) / ((all_bad - r["bad"] + 0.5) * (r["good"] + 0.5))) for r in found if r["term"]}
-    gain = {r["term"]: _likelihood_ratio(r["bad"], r["good"], all_bad, all_good) for r in found}
-    precise = {r["term"]: r["bad"] >= min_precision * (r["bad"] + r["good"] + 1) for r in found}
-    likely = {k for k, v in odds.items() if v >= min_odds and gain[k] >= min_gain and precise[k]}
+
+    def log_odds(bad: int, good: int) -> float:
+        return math.log((bad + 0.5) * (all_good - good + 0.5) / ((all_bad - bad + 0.5) * (good + 0.5)))
+
+    def passes(bad: int, good: int) -> bool:
+        return bad >= min_toxic and log_odds(bad, good) >= min_odds and _likelihood_ratio(bad, good, all_bad, all_good) >= min_gain and bad >= min_precision * (bad + good + 1)
+
+    seen_in = {r["term"]: (r["bad"], r["good"]) for r in found if r["term"]}
+    odds = {t: log_odds(*n) for t, n in seen_in.items()}
+    likely = {t for t, n in seen_in.items() if passes(*n) and not t.startswith("!")}
+    fixed = dict(FIXED)
+    for term, (bad, good) in seen_in.items() if all_bad and all_good else ():
+        if term in FIXED:
+            if passes(bad, good):
+                fixed[term] = min(odds[term], 6.0) / 6 * FIXED[term]
+            elif good:
+                del fixed[term]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
@@ -198,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "
     around = rows.filter("toxic > 0").mapInArrow(tidy(contexts), "term string, context long").groupBy("term").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= min_contexts)
     varied = {r["term"] for r in around.collect()} if likely else set()
     best = sorted(((odds[k], k) for k in varied), reverse=True)[:size]
-    return Grammar({k: min(v, 6.0) / 3 for v, k in best})
+    return Grammar({k: min(v, 6.0) / 3 for v, k in best}, fixed)
 
 
 def _likelihood_ratio(bad: int, good: int, all_bad: int, all_good: int) -> float:

@@ -184,6 +184,18 @@ def test_toxicity_learns(spark, odd_docs, no_docs):
     assert toxicity.learn(no_docs, frame.select("doc_id", "toxic"), label_col="toxic").stems == {}
 
 
+def test_fixed_words_of_clean_documents_do_not_count(spark):
+    said = ["put the trash out", "a pathetic fallacy here", "we beat them by two goals", "the loser shook hands"]
+    rows = [(i, f"text {chr(97 + i % 26) * 3} " + ("grobian moron here" if i % 4 == 0 else said[i % 4]), int(i % 4 == 0)) for i in range(160)]
+    rows += [(500 + i, f"{said[0]} number {chr(97 + i)}", 0) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.learn(frame, frame.select("doc_id", "toxic"), label_col="toxic")
+    assert all(grammar.score(x) == 0 for x in said) and grammar.score("what a moron") > 0.5
+    assert grammar.score("i will kill you") > 0.5 and grammar.score("an idiot") > 0.5  # not in any labelled document
+    untaught = toxicity.learn(frame, frame.filter("toxic = 0").select("doc_id", "toxic"), label_col="toxic")
+    assert untaught.score("we beat them") > 0.5
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
