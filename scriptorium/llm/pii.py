@@ -47,7 +47,7 @@ WORD = r"[\p{L}\p{N}]+"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def locate(text: Column, pattern: str) -> Column:
+def locate(text: Column, pattern: str | Column) -> Column:
     """Start, end (exclusive, in code points) and text of each match, leftmost first."""
 
     def walk(matches: Column, gaps: Column) -> Column:
@@ -61,7 +61,8 @@ def locate(text: Column, pattern: str) -> Column:
 
         return F.aggregate(steps, zero, step, lambda done: done["out"])
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda g: walk(m, g)))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda g: walk(m, g)))
 
 
 def _valid_ip(value: Column) -> Column:
@@ -198,9 +199,12 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spa
     text = F.col("_text")
     known = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], F.struct(t["kind"].alias("kind"), t["disclosure"].alias("disclosure")))))
 
+    # Only a row's own terms are located: steps grow with the square of the matches. Terms are letters and digits.
+    own = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
     def term_spans(by: Column) -> Column:
         inside = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        hits = F.filter(locate(text, WORD), lambda s: F.map_contains_key(by, F.lower(s["value"])) & inside(s))
+        hits = F.filter(locate(text, own), lambda s: F.map_contains_key(by, F.lower(s["value"])) & inside(s))
         mark = lambda s: let(by[F.lower(s["value"])], lambda d: F.when(d["disclosure"] >= 1.0, F.lit("")).otherwise(F.concat(F.lit("["), d["kind"], F.lit("-term]"))))
         return F.transform(hits, lambda s: F.struct(F.lit(TERM).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), mark(s).alias("mark")))
 
