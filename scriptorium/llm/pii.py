@@ -1,27 +1,38 @@
 """Personal data by patterns and by information-theoretic disclosure, in DataFrame
 functions only.
 
-Patterns find e-mail addresses, IP addresses, card and telephone numbers. Each
-distinct value is a protected entity. The corpus then tells which other terms
-reveal an entity: for a term t that stands anywhere in the documents of an entity e,
-outside of all values that patterns find, and does so beside at least two different
-contexts of e (the ``reach`` words on each side, so that copies of one text count once),
+Patterns find e-mail addresses, IP addresses, card and telephone numbers. Protected
+entities are at three levels: each distinct value; the part of it that other values
+share (the host of an address, the network of an IP, the issuer of a card, a telephone
+number without its last four digits); and the kind itself. The corpus then tells which
+other terms reveal an entity: for a term t that stands anywhere in the documents of an
+entity e, outside of all values that patterns find, and does so in different contexts
+of e (the letters and digits among the ``reach`` characters on each side: both sides must
+vary, and three quarters of the documents have a context of their own, so that exact and
+near copies of one text show nothing),
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 + ln p(e | t) / -ln p(e)
 
 with probabilities from document counts over the whole corpus. Words of any length and
-with digits are terms. Terms at or over ``threshold`` become spans in every document
-that holds them: they are removed if they stand in no document without the entity
-(disclosure 1) and generalised to the entity's kind otherwise.
+with digits are terms. Terms at or over ``threshold`` (of a value or part) or
+``kind_threshold`` (of a kind, which says less about a person, so only terms that
+never stand without it reveal it) become spans in every document that holds them: they
+are removed if they stand in no document without the entity (disclosure 1) and
+generalised to the entity's kind otherwise. What more than half of all documents hold
+is no secret and is not rated.
 
 Every count is pre-aggregated before its shuffle; candidate terms are broadcast
-only below ``BROADCAST_ROWS`` and joined by a shuffle beyond.
-
-Defined results: null text is empty and has no spans; spans of different kinds
-may overlap and are replaced together, by the first kind's mark; equal spans are
-reported once a kind; repeated rows are treated each, and count as one document;
-rows with a null key are documents like others; an empty table gives an empty
-table.
+only below ``BROADCAST_ROWS`` and joined by a shuffle beyond, and so are the terms of
+documents, by bytes, below ``BROADCAST_BYTES``.
+
+Defined results: null text is empty and has no spans; a text of any length is read
+whole; spans of different kinds may overlap and are replaced together, by the first
+kind's mark; equal spans are reported once a kind; a term that reveals several entities
+is marked by the one of greatest disclosure, ties by kind; a term exactly at a threshold
+counts as over it; repeated rows are treated each, and count as one document in every
+probability; rows with a null key are documents like others; columns of any name pass
+through, and a ``spans_col`` that exists raises ValueError; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +44,7 @@ from scriptorium.llm.durable import checkpoint
 from scriptorium.llm.quality_rules import let
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
@@ -110,17 +122,27 @@ def base_spans(docs: DataFrame, text_col: str, name: str) -> DataFrame:
 
     found = [named(kind) for kind in KINDS]
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), text.alias("_text"))
-    return rows.select("_row.*", F.concat(*found).alias(name))
+    return rows.select("_row", F.concat(*found).alias("_found")).select("_row.*", F.col("_found").alias(name))
+
+
+def _sides(text: Column, span: Column, reach: int) -> Column:
+    """Hashes of the letters and digits before and behind a span."""
+    plain = lambda x: F.xxhash64(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
+    before = F.substring(text, F.greatest(F.lit(1), span["start"] - reach + 1), F.least(F.lit(reach), span["start"]))
+    return F.struct(plain(before).alias("left"), plain(F.substring(text, span["end"] + 1, F.lit(reach))).alias("right"))
 
 
-def _context(text: Column, span: Column, reach: int) -> Column:
-    """Distinct words near a span, in lower case."""
-    wide = reach * 20
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] - wide + 1), F.least(F.lit(wide), span["start"]))
-    after = F.substring(text, span["end"] + 1, F.lit(wide))
-    left = F.regexp_extract_all(F.lower(before), F.lit(WORD), F.lit(0))
-    right = F.regexp_extract_all(F.lower(after), F.lit(WORD), F.lit(0))
-    return let(left, lambda w: F.concat(F.slice(w, F.greatest(F.lit(1), F.size(w) - reach + 1), F.lit(reach)), F.slice(right, F.lit(1), F.lit(reach))))
+def _entities(span: Column) -> Column:
+    """The value of a span, the part that it shares with others, and its kind."""
+    low = F.lower(span["value"])
+    digits = F.regexp_replace(low, "[^0-9]", "")
+    part = (
+        F.when(span["kind"] == "email", F.regexp_extract(low, "@.*$", 0))
+        .when(span["kind"] == "ip", F.regexp_extract(low, r"^[0-9]+\.[0-9]+\.[0-9]+\.", 0))
+        .when(span["kind"] == "card", F.substring(digits, 1, 6))
+        .otherwise(F.regexp_replace(digits, ".{4}$", ""))
+    )
+    return F.array(*[F.struct(F.lit(level).alias("level"), value.alias("value")) for level, value in (("value", low), ("part", part), ("kind", F.lit("*")))])
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -132,67 +154,74 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
-def _ends(held: Column) -> Column:
-    """Of (kind, value, context): the first and the last context of each value, marked by ``first``."""
+def _once(held: Column) -> Column:
+    """Of (kind, level, value, side): each entity with its least context."""
+    name = lambda x: F.struct(x["kind"], x["level"], x["value"])
+    return let(F.array_sort(held), lambda o: F.filter(o, lambda x, i: ~F.coalesce(name(F.get(o, i - 1)) == name(x), F.lit(False))))
 
-    def marked(o: Column) -> Column:
-        same = lambda i, j: (F.get(o, i)["kind"] == F.get(o, j)["kind"]) & (F.get(o, i)["value"] == F.get(o, j)["value"])
-        first = lambda i: ~F.coalesce(same(i, i - 1), F.lit(False))
-        last = lambda i: ~F.coalesce(same(i, i + 1), F.lit(False))
-        every = F.transform(o, lambda x, i: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["context"].alias("context"), first(i).cast("long").alias("first"), last(i).alias("last")))
-        return F.filter(every, lambda x: (x["first"] == 1) | x["last"])
 
-    return let(F.array_sort(held), marked)
+_ENTITY = ["kind", "level", "value"]
 
 
-def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, reach: int = 4) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, kind_threshold: float = 1.0, reach: int = 40) -> tuple[DataFrame, DataFrame]:
     """Terms that reveal entities, and where.
 
-    Returns (kind, value, term, disclosure) and, for each row of ``docs`` that holds
+    Returns (kind, level, value, term, disclosure) and, for each row of ``docs`` that holds
     such a term, (_key, terms).
     """
     own = docs.select(_row_key(docs, id_col, text_col), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     text = F.col("_text")
+    # Repeated rows share the count of one document; a weight a row needs no shuffle of the words.
+    repeated = checkpoint(own.groupBy("_key").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"))
+    n_repeated, too_many = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0))).first()
+    n_all = own.count() - too_many
     blank = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("mark")))
-    held = F.transform("_spans", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), F.xxhash64(_context(text, s, reach)).alias("context")))
-    rows = base_spans(own, "_text", "_spans").filter(F.size("_spans") > 0).select("_key", _ends(held).alias("held"), _words(replace(text, blank)).alias("terms"))
+
+    def named(s: Column) -> Column:
+        return let(_sides(text, s, reach), lambda c: F.transform(_entities(s), lambda e: F.struct(s["kind"].alias("kind"), e["level"].alias("level"), e["value"].alias("value"), c.alias("side"))))
+
+    held = F.flatten(F.transform("_spans", named))
+    rows = base_spans(own, "_text", "_spans").filter(F.size("_spans") > 0).select("_key", _once(held).alias("held"), _words(replace(text, blank)).alias("terms"))
     rows = checkpoint(rows.dropDuplicates(["_key"]))
-    count = [F.sum("first"), F.min("context").alias("lo"), F.max("context").alias("hi")]
-    entity = rows.select(F.inline("held")).groupBy("kind", "value").agg(count[0].alias("n_entity"), *count[1:]).filter("n_entity > 1 and lo <> hi").select("kind", "value", "n_entity")
-    entity = checkpoint(entity)
+
+    def met(pairs: DataFrame, by: list[str], name: str) -> DataFrame:
+        """Documents and contexts of each key, if its contexts vary on both sides."""
+        contexts = pairs.groupBy(*by, "side").agg(F.count(F.lit(1)).alias("n"))
+        found = contexts.groupBy(*by).agg(F.sum("n").alias(name), F.count(F.lit(1)).alias("n_contexts"), *[f(f"side.{x}").alias(f"{x}_{f.__name__}") for x in ("left", "right") for f in (F.min, F.max)])
+        return found.filter("left_min <> left_max and right_min <> right_max")
+
+    entity = met(rows.select(F.inline("held")), _ENTITY, "n_entity").filter(F.col("n_entity") * 2 <= n_all)
+    entity = checkpoint(entity.select(*_ENTITY, "n_entity"))
     side = F.broadcast(entity) if entity.count() <= BROADCAST_ROWS else entity
-    near = rows.select("terms", F.inline("held")).join(side.select("kind", "value"), ["kind", "value"]).select("kind", "value", "context", "first", F.explode("terms").alias("term"))
-    together = near.groupBy("kind", "value", "term").agg(count[0].alias("n_both"), *count[1:]).filter("n_both > 1 and lo <> hi").select("kind", "value", "term", "n_both")
+    near = rows.select("terms", F.inline("held")).join(side.select(*_ENTITY), _ENTITY).select(*_ENTITY, "side", F.explode("terms").alias("term"))
+    together = met(near, [*_ENTITY, "term"], "n_both").filter("n_contexts * 4 >= n_both * 3").select(*_ENTITY, "term", "n_both")
     beside = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
-    total = docs.select(F.count(F.lit(1)).alias("n_all"))
-    rare = F.greatest(-F.log(F.col("n_entity") / F.col("n_all")), F.lit(1e-9))
-    disclosure = lambda n: 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / n)) / rare
-    rated = together.join(side, ["kind", "value"]).join(beside, "term").crossJoin(F.broadcast(total))
+    disclosure = lambda n: 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / n)) / -F.log(F.col("n_entity") / n_all)
+    least = F.when(F.col("level") == "kind", F.lit(kind_threshold)).otherwise(F.lit(threshold))
+    rated = together.join(side, _ENTITY).join(beside, "term")
     # A term stands in at least as many documents as it stands beside entities in, which bounds its disclosure
     # and spares the corpus count of terms that cannot reach the threshold.
-    rated = checkpoint(rated.filter(disclosure(F.col("n_beside")) >= threshold))
+    rated = checkpoint(rated.filter(disclosure(F.col("n_beside")) >= least))
     terms = rated.select("term").distinct()
     small = terms.count() <= BROADCAST_ROWS
-    # Repeated rows share the count of one document; a weight a row needs no shuffle of the words.
-    repeated = checkpoint(own.groupBy("_key").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"))
-    n_repeated = repeated.count()
     weighed = own.join(F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated, "_key", "left") if n_repeated else own.withColumn("n_rows", F.lit(1))
     words = weighed.select("_key", F.coalesce("n_rows", F.lit(1)).alias("n_rows"), F.explode(_words(text)).alias("term"))
     seen = words.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum(1 / F.col("n_rows"))).alias("n_term"))
     rated = rated.join(seen, "term").withColumn("disclosure", disclosure(F.col("n_term")))
-    rated = checkpoint(rated.filter(F.col("disclosure") >= threshold).select("kind", "value", "term", "disclosure"))
+    rated = checkpoint(rated.filter(F.col("disclosure") >= least).select(*_ENTITY, "term", "disclosure"))
     best = rated.groupBy("term").agg(F.max(F.struct("disclosure", "kind")).alias("best")).select("term", "best.kind", "best.disclosure")
     where = words.join(F.broadcast(best) if small else best, "term")
     return rated, where.groupBy("_key").agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias("terms"))
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans", threshold: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans", threshold: float = 0.9, kind_threshold: float = 1.0) -> DataFrame:
     """``docs`` with ``spans_col``: (kind, start, end, value, mark) of patterns, by kind, and of disclosing terms, then start."""
     if spans_col.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {spans_col} exists; give another spans_col")
-    _, where = disclosing_terms(docs, id_col=id_col, text_col=text_col, threshold=threshold)
+    _, where = disclosing_terms(docs, id_col=id_col, text_col=text_col, threshold=threshold, kind_threshold=kind_threshold)
     where = checkpoint(where)
-    small = where.count() <= BROADCAST_ROWS
+    each = F.aggregate("terms", F.lit(16).cast("long"), lambda n, t: n + F.octet_length(t["term"]) + 48)
+    small = where.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0] <= BROADCAST_BYTES
     # The given columns travel in one struct, so none of their names can clash.
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), _row_key(docs, id_col, text_col))
     rows = base_spans(rows, "_text", "_base").join(F.broadcast(where) if small else where, "_key", "left")
@@ -211,7 +240,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spa
     kind = "array<struct<kind:string,start:int,end:int,value:string,mark:string>>"
     marked = F.transform("_base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), F.concat(F.lit("["), b["kind"], F.lit("]")).alias("mark")))
     more = F.when(F.col("terms").isNotNull(), let(known, term_spans)).otherwise(F.array().cast(kind))
-    return rows.select("_row.*", F.concat(marked, more).alias(spans_col))
+    return rows.select("_row", F.concat(marked, more).alias("_found")).select("_row.*", F.col("_found").alias(spans_col))
 
 
 def replace(text: Column, spans: Column) -> Column:

@@ -4,23 +4,30 @@ Words become symbols: insult, threat, target, negation, reported speech, clause
 end or anything else. Five small transducers read the symbols side by side and
 are composed into one table (state, symbol) -> (state, factor, emits):
 
-    insult    emits the word's weight
+    insult    emits ``LONE`` times the word's weight
     threat    emits when a target follows a threatening word closely
-    target    strengthens what is said close after a target
+    target    makes up for ``LONE`` if the insult is said close after a target
     negation  weakens what follows a negation closely
     reported  weakens the rest of a clause after a verb of saying
 
-A clause's weight is the sum of what is emitted, times the factors; a document's
-score is one minus the product over clauses of exp(-weight). Insults and their
-weights are stems whose log-odds of standing in toxic documents are high, learned
-from at most ``fit_rows`` labelled documents chosen by a hash of the key. The fixed
-insults and threats (a threatening word with its target) are candidates of the same
-tests; one that fails is dropped. One that stands in too few labelled documents for
-any record to pass keeps its fixed weight as long as none of them is clean.
+A clause's weight is the sum of what is emitted, times the factors. A document's
+score is one minus exp(-weight), where each insult or threat counts once, at its
+strongest clause, so that length alone makes no text toxic. A word that is toxic in
+most but not nearly all labelled documents so needs a target or a second insult.
+
+Insults are whole words learned from at most ``fit_rows`` labelled documents chosen by
+a hash of the key. A word's weight is -ln(1 - p), p being the lower bound of the share
+of toxic documents among those that hold it. The fixed insults and threats (a
+threatening word with its target) are candidates of the same tests; one that fails is
+dropped. One that stands in too few labelled documents for any record to pass keeps its
+fixed weight as long as none of them is clean.
 
 Defined results: null or empty text, and text without a match, scores 0; equal
-rows score equally; null labels are left out; without labels of both
-kinds only the fixed words count; an empty table gives an empty table.
+rows score equally; null labels and keys are left out; of several labels of one key the
+greatest counts, and of several texts of one key each is a document; words of equal
+evidence weigh the same, whatever their order; without labels of both kinds only the
+fixed words count; a text of any length is read in one pass; columns other than the
+named ones are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,10 +50,11 @@ NEGATIONS = ("not", "never", "no", "nobody", "isn't", "aren't", "don't", "nicht"
 REPORTS = ("said", "says", "called", "quoted", "wrote", "alleged", "sagte", "dit", "dijo")
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-STEMS = (4, 5, 6)
+#: Lengths of the stems that a given lexicon may hold; none are learned.
+STEMS = (5, 6)
 REACH = 2
 CLOSE = 3
-WEAK, STRONG, THREAT_WEIGHT = 0.2, 1.5, 3.0
+LONE, WEAK, STRONG, THREAT_WEIGHT, MOST = 0.5, 0.2, 2.0, 3.0, 4.0
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -72,7 +80,7 @@ def _counting(opens: int, reach: int, factor: float, on: tuple[int, ...]) -> Tra
 
 
 def _insult() -> Transducer:
-    return 0, lambda state, symbol: (0, 1.0, symbol == INSULT)
+    return 0, lambda state, symbol: (0, LONE if symbol == INSULT else 1.0, symbol == INSULT)
 
 
 def _threat() -> Transducer:
@@ -131,26 +139,29 @@ class Grammar:
             found = self.seen[word] = max(self.insults.get(word, 0.0), *stems, 0.0)
         return found
 
-    def clauses(self, text: str) -> list[tuple[str, float]]:
-        """Clauses with a match, and their weights."""
+    def matches(self, text: str) -> Iterator[tuple[str, list[tuple[str, float]]]]:
+        """Clauses with a match: their text, and each matched word with what it emits."""
         to, factor, emits = self.table
-        out, state, total, begin, menace = [], 0, 0.0, 0, 0.0
+        state, begin, menace, found = 0, 0, "", []
         for m in _TOKEN.finditer(text):
             word = m[0].lower()
             weight = self.weight(word)
             symbol = INSULT if weight else self.symbol.get(word, OTHER)
             if emits[state][symbol]:
-                total += factor[state][symbol] * (weight or menace)
+                found.append((word, factor[state][symbol] * weight) if weight else (f"!{menace}", factor[state][symbol] * self.threats[menace]))
             if symbol == THREAT:
-                menace = self.threats[word]
+                menace = word
             state = to[state][symbol]
             if symbol == END:
-                if total:
-                    out.append((text[begin : m.end()].strip(), total))
-                total, begin = 0.0, m.end()
-        if total:
-            out.append((text[begin:].strip(), total))
-        return out
+                if found:
+                    yield text[begin : m.end()].strip(), found
+                found, begin = [], m.end()
+        if found:
+            yield text[begin:].strip(), found
+
+    def clauses(self, text: str) -> list[tuple[str, float]]:
+        """Clauses with a match, and their weights."""
+        return [(clause, sum(w for _, w in found)) for clause, found in self.matches(text)]
 
     def score(self, text: str | None) -> float:
         if not text:
@@ -158,7 +169,11 @@ class Grammar:
         words = set(_WORD.findall(text.lower()))
         if not any(map(self.weight, words)) and words.isdisjoint(self.threats):
             return 0.0
-        return 1.0 - math.exp(-sum(w for _, w in self.clauses(text)))
+        best: dict[str, float] = {}
+        for _, found in self.matches(text):
+            for word, weight in found:
+                best[word] = max(weight, best.get(word, 0.0))
+        return 1.0 - math.exp(-sum(best.values()))
 
 
 def _menaces(text: str) -> set[str]:
@@ -179,17 +194,21 @@ def _menaces(text: str) -> set[str]:
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000, min_toxic: int = 4, min_odds: float = 3.0, min_gain: float = 30.0, min_precision: float = 0.9, min_contexts: int = 8, size: int = 5_000) -> Grammar:
-    """A grammar whose insults are the ``size`` words and stems at most that stand
-    in ``min_toxic`` toxic documents at least with log-odds of ``min_odds`` or more,
-    whose likelihood-ratio statistic is ``min_gain`` or more (so that few of many rare
-    terms pass by chance), ``min_precision`` of whose documents, and one more, are
-    toxic, and which stand between ``min_contexts`` different pairs of words in toxic
+def learn(
+    docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000, min_toxic: int = 4, min_gain: float = 20.0, min_precision: float = 0.5, min_contexts: int = 8
+) -> Grammar:
+    """A grammar whose insults are the words that stand in ``min_toxic`` toxic documents
+    at least, for which the lower bound of the share of toxic documents is ``min_precision``
+    or more, whose likelihood-ratio statistic is ``min_gain`` or more (so that few of many
+    rare words pass by chance), and which stand between different pairs of words in
+    toxic documents: in ``min_contexts`` or, if that is less, as many as four fifths of the
     documents (so that the words of a toxic text with many copies are no insults).
     ``FIXED`` terms pass the same tests but the last, or are too rare to be tested
-    and stand in no clean document; without labels of both kinds all of them count."""
-    chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").select("toxic", "text")
+    and stand in no clean document; without labels of both kinds all of them count.
+    The driver gets the words that pass, never more than ``fit_rows`` documents hold."""
+    own = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).filter("id is not null and toxic is not null")
+    chosen = own.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("toxic", "text")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -199,35 +218,27 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "
             for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(_WORD.findall((text or "").lower()))
                 if not words.isdisjoint(THREATS):
-                    n[toxic > 0].update(_menaces(text))
-                n[toxic > 0].update(words.union(*({f"{w[:k]}*" for w in words if len(w) >= k} for k in STEMS), [""]))
+                    n[toxic].update(_menaces(text))
+                n[toxic].update(words | {""})
         every = list(n[0].keys() | n[1].keys())
         for k in range(0, len(every), 50_000):
             some = every[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([n[1][t] for t in some], pa.int64()), pa.array([n[0][t] for t in some], pa.int64())], ["term", "bad", "good"])
 
     counts = rows.mapInArrow(tidy(terms), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    own = F.col("term").isin("", *FIXED)
-    counts = counts.filter(own | ((F.col("bad") >= min_toxic) & (F.col("bad") > F.col("good")))).orderBy(~own, F.desc("bad"), "term").limit(10 * size)
-    found = counts.collect()
-    all_bad, all_good = next(((r["bad"], r["good"]) for r in found if r["term"] == ""), (0, 0))
-
-    def log_odds(bad: int, good: int) -> float:
-        return math.log((bad + 0.5) * (all_good - good + 0.5) / ((all_bad - bad + 0.5) * (good + 0.5)))
+    found = {r["term"]: (r["bad"], r["good"]) for r in counts.filter(F.col("term").isin("", *FIXED) | ((F.col("bad") >= min_toxic) & (F.col("bad") > F.col("good")))).collect()}
+    all_bad, all_good = found.pop("", (0, 0))
 
     def passes(bad: int, good: int) -> bool:
-        return bad >= min_toxic and log_odds(bad, good) >= min_odds and _likelihood_ratio(bad, good, all_bad, all_good) >= min_gain and bad >= min_precision * (bad + good + 1)
+        return bad >= min_toxic and least_share(bad, good) >= min_precision and _likelihood_ratio(bad, good, all_bad, all_good) >= min_gain
 
-    seen_in = {r["term"]: (r["bad"], r["good"]) for r in found if r["term"]}
-    odds = {t: log_odds(*n) for t, n in seen_in.items()}
-    likely = {t for t, n in seen_in.items() if passes(*n) and not t.startswith("!")}
+    likely = {t for t, n in found.items() if passes(*n) and not t.startswith("!")}
     fixed = dict(FIXED)
-    for term, (bad, good) in seen_in.items() if all_bad and all_good else ():
-        if term in FIXED:
-            if passes(bad, good):
-                fixed[term] = min(odds[term], 6.0) / 6 * FIXED[term]
-            elif good:
-                del fixed[term]
+    for term in FIXED.keys() & found.keys() if all_bad and all_good else ():
+        if passes(*found[term]):
+            fixed[term] = evidence(*found[term])
+        elif found[term][1]:
+            del fixed[term]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
@@ -237,15 +248,25 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "
             for text in batch.column(1).to_pylist():
                 words = ["", *_WORD.findall((text or "").lower()), ""]
                 for before, word, after in zip(words, words[1:], words[2:], strict=False):
-                    for term in (word, *(f"{word[:k]}*" for k in STEMS if len(word) >= k)):
-                        if term in likely:
-                            seen.add((term, crc32(f"{before} {after}".encode())))
+                    if word in likely:
+                        seen.add((word, crc32(f"{before} {after}".encode())))
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64())], ["term", "context"])
 
-    around = rows.filter("toxic > 0").mapInArrow(tidy(contexts), "term string, context long").groupBy("term").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= min_contexts)
-    varied = {r["term"] for r in around.collect()} if likely else set()
-    best = sorted(((odds[k], k) for k in varied), reverse=True)[:size]
-    return Grammar({k: min(v, 6.0) / 3 for v, k in best}, fixed)
+    around = rows.filter("toxic > 0").mapInArrow(tidy(contexts), "term string, context long").groupBy("term").agg(F.count_distinct("context").alias("n")) if likely else None
+    varied = {r["term"] for r in around.collect() if r["n"] >= min(min_contexts, 0.8 * found[r["term"]][0])} if likely else set()
+    return Grammar({t: evidence(*found[t]) for t in sorted(varied)}, fixed)
+
+
+def least_share(bad: int, good: int, z: float = 1.64) -> float:
+    """The lower bound (Wilson, at 95 %) of the share of toxic documents."""
+    n = bad + good
+    p = bad / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def evidence(bad: int, good: int) -> float:
+    """The weight of a word of so many toxic and clean documents."""
+    return min(MOST, -math.log(1 - least_share(bad, good)))
 
 
 def _likelihood_ratio(bad: int, good: int, all_bad: int, all_good: int) -> float:

@@ -184,6 +184,58 @@ def test_toxicity_learns(spark, odd_docs, no_docs):
     assert toxicity.learn(no_docs, frame.select("doc_id", "toxic"), label_col="toxic").stems == {}
 
 
+def test_learned_words_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        toxic = int(i % 5 == 0)
+        words = rng.choices([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)], k=12)
+        words += rng.choices(["grobian", "lump", "path", "wort"], weights=[5, 3, 0 if toxic else 2, 1], k=1) if toxic or rng.random() < 0.15 else []
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), None if i % 97 == 0 else toxic))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.learn(frame, frame.select("doc_id", "toxic"), label_col="toxic")
+    n, holds, contexts = Counter(t for _, _, t in rows if t is not None), defaultdict(Counter), defaultdict(set)
+    for _, text, toxic in rows:
+        if toxic is not None:
+            words = text.split()
+            for w in set(words):
+                holds[w][toxic] += 1
+            for b, w, a in zip(["", *words], words, [*words[1:], ""], strict=False):
+                if toxic:
+                    contexts[w].add((b, a))
+    want = {}
+    for w, c in holds.items():
+        bad, good = c[1], c[0]
+        total, share = bad + good, bad / (bad + good)
+        low = (share + 1.64**2 / (2 * total) - 1.64 * math.sqrt(share * (1 - share) / total + 1.64**2 / (4 * total**2))) / (1 + 1.64**2 / total)
+        table = [(bad, total * n[1]), (good, total * n[0]), (n[1] - bad, (n[0] + n[1] - total) * n[1]), (n[0] - good, (n[0] + n[1] - total) * n[0])]
+        gain = 2 * sum(x * math.log(x * (n[0] + n[1]) / y) for x, y in table if x)
+        if bad >= 4 and low >= 0.5 and gain >= 20 and len(contexts[w]) >= min(8, 0.8 * bad):
+            want[w] = round(min(4.0, -math.log(1 - low)), 9)
+    learned = {w: round(v, 9) for w, v in grammar.insults.items() if w not in toxicity.FIXED}
+    assert learned == want and "grobian" in want and "path" not in want and not grammar.stems
+
+
+def test_plain_words_are_no_insults(spark):
+    frame = spark.createDataFrame([(i, ("what a pathetic worthless idiot " if i % 4 == 0 else "all is well ") + chr(97 + i % 26) * 3, int(i % 4 == 0)) for i in range(160)], "doc_id long, text string, toxic int")
+    grammar = toxicity.learn(frame, frame.select("doc_id", "toxic"), label_col="toxic")
+    assert all(grammar.score(x) == 0 for x in ("we walked the path to the harbour", "it is worth the trip", "das ist mein Wort", "a German idiom"))
+    assert grammar.score("you idiot") > 0.5
+
+
+def test_an_insult_counts_once_and_more_with_a_target():
+    g = toxicity.Grammar({"blip": 1.0}, {})
+    assert g.score("blip") == g.score("blip. blip. blip") < 0.5 < g.score("you blip") and g.score("they are not a blip") < 0.2
+
+
+def test_toxicity_takes_clashing_names_and_repeated_keys(spark):
+    rows = [(i, "such a grobian here" if i % 4 == 0 else "fine here", 1) for i in range(80)] + [(None, "no key", 1), (0, "a second text", 1)]
+    frame = spark.createDataFrame([(*r, r[0]) for r in rows], "doc_id long, text string, toxic int, id long")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), i) for i in range(80)] + [(0, 0, 0), (None, 1, 1)], "doc_id long, toxic int, id int")
+    assert toxicity.score(frame, toxicity.learn(frame, labels, label_col="toxic")).count() == 82
+
+
 def test_fixed_words_of_clean_documents_do_not_count(spark):
     said = ["put the trash out", "a pathetic fallacy here", "we beat them by two goals", "the loser shook hands"]
     rows = [(i, f"text {chr(97 + i % 26) * 3} " + ("grobian moron here" if i % 4 == 0 else said[i % 4]), int(i % 4 == 0)) for i in range(160)]
@@ -226,7 +278,7 @@ def test_pii_disclosing_terms(spark):
     found = pii.find(frame).withColumn("masked", pii.replace(F.col("text"), F.col("spans"))).filter("doc_id >= 100").orderBy("doc_id").collect()
     assert [r.masked for r in found] == [" lead writes from [email] about the plan", "mail [email] when  is due", "we saw  with [email] last week", "we saw  with [email] last week"]
     rated = pii.disclosing_terms(frame)[0].collect()
-    assert [(r.kind, r.term, r.disclosure) for r in rated] == [("email", "zanzibar", 1.0)]
+    assert {(r.kind, r.level, r.value, r.term, r.disclosure) for r in rated} == {("email", level, value, "zanzibar", 1.0) for level, value in (("value", "ann@corp.example"), ("part", "@corp.example"), ("kind", "*"))}
 
 
 def test_pii_terms_in_the_whole_document_and_in_all_that_hold_them(spark):
@@ -242,6 +294,74 @@ def test_pii_terms_in_the_whole_document_and_in_all_that_hold_them(spark):
     assert {("li", 1.0), ("jdoe42", round(1 + math.log(2 / 4) / rare, 6))} <= rated and "common" not in dict(rated)
 
 
+def brute_disclosure(rows, threshold, kind_threshold, reach=40):
+    """Every (kind, level, value, term, disclosure) at or over the thresholds, counted one by one."""
+    texts = {(i, t) for i, t in rows}
+    plain = lambda x: re.sub(r"[^\w]|_", " ", x.lower()).split()
+    holds, terms, side = defaultdict(set), defaultdict(set), {}
+    for own in texts:
+        text = own[1] or ""
+        found = [(k, m.start(), m.end(), m[0].lower()) for k, p in PATTERNS.items() for m in re.finditer(p, text, re.A) if _valid(k, m[0])]
+        bare = "".join(" " if any(i <= at < j for _, i, j, _ in found) else c for at, c in enumerate(text))
+        for w in plain(text):
+            holds[w].add(own)
+        terms[own] = set(plain(bare)) if found else set()
+        for k, i, j, v in found:
+            digits = re.sub(r"\D", "", v)
+            part = {"email": "@" + v.split("@")[-1], "ip": ".".join(v.split(".")[:3]) + ".", "card": digits[:6], "phone": digits[:-4]}[k]
+            for e in ((k, "value", v), (k, "part", part), (k, "kind", "*")):
+                side.setdefault(e, {}).setdefault(own, (tuple(plain(text[max(0, i - reach) : i])), tuple(plain(text[j : j + reach]))))
+    out = set()
+    for e, own in side.items():
+        if len(own) * 2 > len(texts) or min(len({s[x] for s in own.values()}) for x in (0, 1)) < 2:
+            continue
+        for term in set().union(*(terms[d] for d in own)) & holds.keys():  # what a value leaves of a word is none
+            both = [d for d in own if term in terms[d]]
+            contexts = {own[d] for d in both}
+            if len(both) > 1 and 4 * len(contexts) >= 3 * len(both) and min(len({s[x] for s in contexts}) for x in (0, 1)) > 1:
+                far = 1 + math.log(min(1.0, len(both) / len(holds[term]))) / -math.log(len(own) / len(texts))
+                if far >= (kind_threshold if e[1] == "kind" else threshold):
+                    out.add((*e, term, round(far, 6)))
+    return out
+
+
+def test_pii_disclosure_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{chr(97 + k % 26)}{k}" for k in range(120)]
+    names = {"omar": "omar@one.example", "lena": "lena@one.example", "17b": "+49 30 1234567", "zed": "10.0.0.7", "rare": "4111 1111 1111 1111"}
+    rows = []
+    for i in range(300):
+        text = rng.choices(words, k=rng.randint(4, 40))
+        if i % 4 == 0:
+            name = rng.choice(list(names))
+            text.insert(rng.randint(0, len(text)), names[name])
+            text.insert(rng.randint(0, len(text)), name if rng.random() < 0.9 else name.upper())
+        elif i % 31 == 0:
+            text.append(rng.choice(list(names)))
+        rows.append((i, " ".join(text)))
+    rows += [rows[0], rows[4], (900, rows[4][1]), (901, rows[4][1] + " x"), (902, None), (902, None), (903, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold, kind_threshold in ((0.9, 1.0), (0.3, 0.3)):
+        got = {(r.kind, r.level, r.value, r.term, round(r.disclosure, 6)) for r in pii.disclosing_terms(frame, threshold=threshold, kind_threshold=kind_threshold)[0].collect()}
+        want = brute_disclosure(rows, threshold, kind_threshold)
+        assert {x[3] for x in want} >= {"omar", "zed"} and got == want
+
+
+def test_pii_broadcast_and_shuffled_paths_agree(spark, docs, monkeypatch):
+    own = docs.select("doc_id", "text")
+    want = {(r.doc_id, tuple(map(tuple, r.spans))) for r in pii.find(own).collect()}
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
+    assert {(r.doc_id, tuple(map(tuple, r.spans))) for r in pii.find(own).collect()} == want
+
+
+def test_pii_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "a@b.cd", 1, 2, 3)], "doc_id long, text string, _spans int, _key int, terms int")
+    with pytest.raises(ValueError):
+        pii.find(frame, spans_col="_spans")
+    assert pii.find(frame).select("_spans", "_key", "terms").first() == (1, 2, 3)
+
+
 def test_pii_edge_cases(odd_docs, no_docs):
     assert pii.find(odd_docs).select(*odd_docs.columns).exceptAll(odd_docs).count() == 0 and pii.find(odd_docs).count() == 9
     assert pii.find(no_docs).count() == 0
