@@ -47,8 +47,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and disclosing terms replaced by marks."""
-    found = pii.find(docs, spans_col="_spans")
-    masked = found.withColumn("text", pii.replace(F.col("text").cast("string"), F.col("_spans")))
+    spans = next(x for k in range(len(docs.columns) + 1) if (x := "_spans" + "_" * k) not in {c.lower() for c in docs.columns})
+    found = pii.find(docs, spans_col=spans)
+    masked = found.withColumn("text", pii.replace(F.col("text").cast("string"), F.col(spans)))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return masked.select(*docs.columns)
