@@ -8,18 +8,23 @@ and a newline. Control strings inside roles and texts are escaped with a
 backslash and every backslash is doubled, so the formatted text reads back to
 exactly the turns. Prefix sums of the turns' tokens cut the conversation into
 spans of whole turns whose tokens, with the conversation's system turn and up to
-``history_turns`` of the turns before, stay within ``budget``. The system turn
+``history_turns`` of the turns before, stay within ``budget``. A turn's tokens are those
+of the formatted turn, marks and escapes included, in a given vocabulary. The system turn
 and the history are repeated at the head of every later window but left out of
-its loss spans, so each assistant text is a target exactly once.
+its loss spans, so each assistant text is a target exactly once. History, and then the
+system turn, give way where they leave no room for the window's first turn, so no window
+of more than one turn is over the budget.
 
 Rows are dealt by conversation, sorted by turn inside each partition (Spark
 spills what does not fit) and read as a stream: a task holds one window at a
 time, however long a conversation is. Windows come out in order.
 
 Defined results: null text or role is empty; equal turns are ordered by role,
-then text; repeated rows are repeated turns; null conversation keys form one
-conversation; a turn over the budget makes a window of its own; an empty table
-gives an empty table; other columns are ignored.
+then text; null turn numbers come first; repeated rows are repeated turns; null
+conversation keys form one conversation, and so do NaN keys; keys are of any type that
+can be sorted; a turn over the budget, of any length, makes a window of its own; the
+first system turn is the one repeated; an empty table gives an empty table; columns other
+than the named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from pyspark.sql import functions as F
 
 END = "</turn>"
 WINDOW = "window long, text string, loss_start array<int>, loss_end array<int>, n_repeated int, n_new int, n_tokens long"
+_NAN = float("nan")
 _HASHES = re.compile(r"###+")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
@@ -89,7 +95,7 @@ def _windows(turns: Iterator[tuple[str, str, int]], budget: int, history_turns:
             history.extend(t for t in span if t is not system)
             kept = list(history)
             # As much of the history as leaves room for the next turn.
-            lead = [system] if system else []
+            lead = [system] if system and system[2] + cost <= budget else []
             room = budget - cost - sum(t[2] for t in lead)
             while kept and sum(t[2] for t in kept) > room:
                 kept.pop(0)
@@ -102,32 +108,38 @@ def _windows(turns: Iterator[tuple[str, str, int]], budget: int, history_turns:
         yield made()
 
 
-def format_windows(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = 2048, history_turns: int = 2, target_role: str = "assistant") -> DataFrame:
+def format_windows(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", vocabulary: str | None = None, budget: int = 2048, history_turns: int = 2, target_role: str = "assistant") -> DataFrame:
     """Windows of all conversations: ``conv_col`` and the columns of ``WINDOW``.
 
-    Positions are code points of ``text``. A turn's tokens are estimated as one
-    for four bytes, rounded up, plus four for its marks.
+    Positions are code points of ``text``. vocabulary: as for ``token_counts``; without
+    one, a turn's tokens are estimated as one for four bytes, rounded up, plus four.
     """
     kind = turns.schema[conv_col].dataType.simpleString()
     text = F.coalesce(turns[text_col].cast("string"), F.lit(""))
-    rows = turns.select(turns[conv_col].alias("conv"), turns[turn_col].alias("turn"), F.coalesce(turns[role_col].cast("string"), F.lit("")).alias("role"), text.alias("text"), (F.ceil(F.octet_length(text) / 4) + 4).cast("long").alias("tokens"))
+    role = F.coalesce(turns[role_col].cast("string"), F.lit(""))
+    tokens = turn_tokens(vocabulary)(role, text) if vocabulary else (F.ceil(F.octet_length(text) / 4) + 4).cast("long")
+    rows = turns.select(turns[conv_col].alias("conv"), turns[turn_col].alias("turn"), role.alias("role"), text.alias("text"), tokens.alias("tokens"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").drop("turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
 
-        rows = (row for batch in batches for k in range(0, len(batch), 1024) for row in zip(*(c.to_pylist() for c in batch.slice(k, 1024).columns), strict=True))
         out: list[tuple] = []
         names = ["conv", *(x.split()[0] for x in WINDOW.split(", "))]
         kinds = [None, pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64()]
 
+        def turns_of() -> Iterator[tuple]:
+            for batch in batches:
+                kinds[0] = batch.schema.field(0).type
+                for k in range(0, len(batch), 1024):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(k, 1024).columns), strict=True)
+
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            kinds[0] = conv_kind
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         size = 0
-        conv_kind = _arrow_kind(kind)
-        for conv, own in groupby(rows, key=lambda r: r[0]):
+        for conv, own in groupby(turns_of(), key=_key):
+            conv = conv[0]
             for window in _windows(((r[1], r[2], r[3]) for r in own), budget, history_turns, target_role):
                 out.append((conv, *window))
                 size += len(window[1])
@@ -140,8 +152,29 @@ def format_windows(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     return rows.mapInArrow(run, f"conv {kind}, {WINDOW}").withColumnRenamed("conv", conv_col)
 
 
-def _arrow_kind(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[kind]
+def turn_tokens(vocabulary: str):
+    """A function of role and text: the tokens of the formatted turn."""
+
+    @F.arrow_udf("long")
+    def tokens(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import os
+
+        from scriptorium.llm.token_counts import WordCounter
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        counter = WordCounter(vocabulary, 1 << 20)
+        for roles, texts in batches:
+            counts: list[int] = []
+            for k in range(0, len(texts), 1024):
+                counts += counter.count([_write(r, x)[0].encode() for r, x in zip(roles.slice(k, 1024).to_pylist(), texts.slice(k, 1024).to_pylist(), strict=True)])
+            yield pa.array(counts, pa.int64())
+
+    return tokens
+
+
+def _key(row: tuple) -> tuple:
+    """A row's conversation, and whether it is NaN; all NaN are one."""
+    return (row[0], False) if row[0] == row[0] else (_NAN, True)
 
 
 def digest(windows: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
@@ -155,13 +188,15 @@ def digest(windows: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
 
         def flat() -> Iterator[tuple]:
             for batch in batches:
+                kinds[0] = batch.schema.field(0).type
                 for k in range(0, len(batch), 256):
                     yield from zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True)
 
         names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [_arrow_kind(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         out: list[tuple] = []
-        for conv, own in groupby(flat(), key=lambda r: r[0]):
+        for conv, own in groupby(flat(), key=_key):
+            conv = conv[0]
             n = loss_chars = chars = 0
             turns, loss = hashlib.sha256(), hashlib.sha256()
             for _, text, starts, ends, repeated in own:

@@ -32,7 +32,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
             FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"""
     )
     both = turns.select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat_format.digest(chat_format.format_windows(both))
+    return chat_format.digest(chat_format.format_windows(both, vocabulary=WORD_VOCABULARY))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,15 +127,16 @@ QUALITY_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM doc
   win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
   rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
   cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 8) AS r(k) GROUP BY 1),
-  ln AS (SELECT doc_id, l, length(regexp_replace(l, '{_SPACES}', '', 'g')) AS c, length(regexp_replace(l, '[^!]+', '', 'g')) AS shouts, lower(l) AS low
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-  judged AS (SELECT *, regexp_matches(l, '[.!?…]["'')»”]*([\x20\x09-\x0D]|$)') AND length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) * 10 <= c AND length(regexp_replace(l, '[^|]+', '', 'g')) < 3
-    AND (shouts < 4 OR shouts * 20 <= c) AND NOT ({" OR ".join(f"contains(low, '{p}')" for p in quality_rules.BOILERPLATE)}) AS good FROM ln),
+  ln AS (SELECT doc_id, l, coalesce(lag(l) OVER o, '') AS a, coalesce(lead(l) OVER o, '') AS b, length(regexp_replace(l, '{_SPACES}', '', 'g')) AS c, length(regexp_replace(l, '[^!]+', '', 'g')) AS shouts
+    FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  common AS (SELECT l FROM ln GROUP BY l HAVING count(DISTINCT (a, b)) >= 10 AND 2 * count(DISTINCT (a, b)) >= count(*)),
+  judged AS (SELECT *, regexp_matches(l, '[.!?…]["'')»”]*[\x20\x09-\x0D]*$') AND length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) * 10 <= c AND length(regexp_replace(l, '[^|]+', '', 'g')) < 3
+    AND (shouts < 4 OR shouts * 20 <= c) AND l NOT IN (SELECT l FROM common) AS good FROM ln),
   lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dups, sum(c) AS chars, coalesce(sum(c) FILTER (good), 0) AS kept_chars FROM judged GROUP BY 1),
   m AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
     coalesce(cov.n, 0) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (word_chars - kept_chars) * 100 > word_chars * 50 AS kept FROM m"""
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (word_chars - kept_chars) * 100 > word_chars * 70 AS kept FROM m"""
 
 
 def oracle_sql() -> dict[str, str]:

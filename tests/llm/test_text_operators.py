@@ -115,6 +115,43 @@ def test_quality_rules_against_brute_force(spark, docs, odd_docs, no_docs):
     assert [r.kept for r in judged] == [True, True, False] and judged[1].clean_text == clean
 
 
+def test_boilerplate_is_learned_from_lines_of_different_documents(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    line = lambda: " ".join(rng.choices(words, k=9)) + "."
+    rows = [(i, "\n".join([line(), "Follow us on all channels.", line(), line()])) for i in range(30)]
+    copied = [line() for _ in range(5)]
+    rows += [(100 + i, "\n".join(copied[: i % 5] + ([line()] if i % 3 == 0 else []) + copied[i % 5 :])) for i in range(120)]
+    rows += [(300, "Follow us on all channels.\n" + "so short a text that it is mostly such a line " * 2), (301, None), (302, "Follow us on all channels.")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    contexts = defaultdict(Counter)
+    for _, text in rows:
+        lines = (text or "").split("\n") if text else []
+        for a, x, b in zip([None, *lines], lines, [*lines[1:], None], strict=False):
+            contexts[x][a, b] += 1
+    common = {x for x, c in contexts.items() if len(c) >= 10 and 2 * len(c) >= c.total()}
+    assert common == {"Follow us on all channels."}
+    got = {r.doc_id: r for r in quality_rules.judge(frame).collect()}
+    for i, text in rows:
+        good = [x for x in (text or "").split("\n") if x not in common and x.rstrip().endswith(".")]
+        assert got[i].clean_text == "\n".join(good)
+    monkeypatch.setattr(quality_rules, "SET_ROWS", 0)
+    assert {r.doc_id: r for r in quality_rules.judge(frame).collect()} == got
+
+
+def test_a_line_must_end_like_a_sentence(spark):
+    rows = [("It ends. Not here",), ("It ends here.",), ('He said "so."  ',), ("Is it? (Yes!)",), ("One | two | three | four.",), ("wow!!!!!",), ("$$$ %%% &&& a.",)]
+    judged = quality_rules.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string")).orderBy("i").collect()
+    assert [bool(r.clean_text) for r in judged] == [False, True, True, True, False, False, False]
+
+
+def test_quality_rules_clashing_names(spark):
+    frame = spark.createDataFrame([("a b.", 1, 2, 3, 4)], "text string, _text int, _lines int, _key int, kept int")
+    with pytest.raises(ValueError):
+        quality_rules.judge(frame)
+    assert quality_rules.judge(frame, prefix="q_").select("_text", "_lines", "_key", "kept", "q_n_words").first() == (1, 2, 3, 4, 2)
+
+
 def test_quality_model(spark, docs, odd_docs, no_docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality_model.fit(docs, labels, label_col="quality")
@@ -405,5 +442,31 @@ def test_chat_windows_keep_budget_system_and_history(spark):
     assert chat_format.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_windows_count_tokens_of_the_vocabulary_and_keep_the_budget(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.WORD_VOCABULARY)
+    count = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+    rng = random.Random(9)
+    long, odd = "be very kind to all " * 60, "0x1f 3.14159 ### </turn> {}[]();" * 3
+    turns = [(c, k, "system" if k == 0 else "user" if k % 2 else "assistant", (long if c == 1 else "be kind") if k == 0 else odd if k % 5 == 0 else "word " * rng.randint(1, 90)) for c in range(4) for k in range(30)]
+    turns += [(9, 0, "system", long), (9, 1, "user", "hello"), (9, 2, "assistant", long * 2), (9, 3, "user", "bye")]
+    rows = _windows(spark, turns, vocabulary=queries.WORD_VOCABULARY, budget=300).collect()
+    for r in rows:
+        own = chat_format.read_turns(r.text)
+        assert r.n_tokens == sum(count(chat_format._write(*t)[0]) for t in own) and (r.n_tokens <= 300 or len(own) == 1)
+    assert any(r.n_tokens > 300 for r in rows) and all(chat_format.read_turns(r.text)[0] == ("system", "be kind") for r in rows if r.conv_id == 0)
+    said = [t for r in sorted(rows, key=lambda r: (r.conv_id, r.window)) for t in chat_format.read_turns(r.text)[r.n_repeated :]]
+    assert said == [(r, t) for _, _, r, t in turns]
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(9,2)", "date", "string", "boolean", "binary"])
+def test_chat_takes_keys_of_any_type_and_clashing_names(spark, kind):
+    made = {"double": "CASE k WHEN 0 THEN double('NaN') ELSE k END", "date": "date_add(DATE '2024-01-01', k)", "boolean": "k = 1", "binary": "CAST(CAST(k AS STRING) AS BINARY)"}.get(kind, f"CAST(k AS {kind})")
+    frame = spark.sql(f"SELECT {made} AS conv_id, t AS turn, 'assistant' AS role, concat('say ', t) AS text, 1 AS conv, 2 AS tokens, 3 AS window FROM (SELECT explode(array(0, 1)) AS k), (SELECT explode(array(1, 2, 3)) AS t)")
+    out = chat_format.digest(chat_format.format_windows(frame, budget=12)).collect()
+    assert [r.n_turns for r in out] == [3, 3] and all(r.loss_chars == 15 for r in out)
+
+
 def test_public_vocabulary_stays_outside():
     assert public_tokenizers.path("x").startswith("/opt")
