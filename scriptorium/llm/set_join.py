@@ -6,29 +6,38 @@ Jaccard similarity reaches a threshold, and a class is what links connect.
 1. *Shared shingles.* A set can only link if the threshold's share of it occurs
    in other sets. Each slice of documents sends every distinct shingle once, in
    packed blobs by hash range, and shingles met twice in a slice without an
-   owner, so one shingle in a third of all documents is one entry a slice.
+   owner, so one shingle in a third of all documents is one entry a slice. There are
+   as many ranges as keep each below ``BUCKET_BYTES``, and a task reads one.
    Sets with too few shared shingles are finished here.
 2. *Equal sets* become one set (the same answers, derived without a search).
 3. *Index lists.* A set's rarest shingles, as many as the threshold lets two
    linked sets differ by and one more, are its index entries. Each entry carries
-   the set's size and its number of shingles found nowhere else.
-4. *Answers from a similar set.* In each list every set is compared with one
-   pivot, the set met most often. Members linked to the pivot share its class, so
-   no pair among them is looked at.
-5. *Skipping.* What is left are pairs in one list and different classes. They are
-   skipped by block (a list is cut in blocks of sizes; blocks too far apart never
-   meet), by size, by the shingles that neither can share, and by bitmaps: each set
-   has ``BITS`` parity bits, and two bitmaps differ in no more bits than their sets
-   differ in shingles. The rest are compared in full. No pair that could link is
-   left out, whatever the list's length.
-
-Sets hold hashes: two different shingles count as one only if 64 bits agree.
+   the shingle's position in the set, rarest first, and the set's size.
+4. *Pivots.* In each list every set is compared with one pivot, the set met most
+   often. Members linked to the pivot share its class, so no pair among them is
+   looked at.
+5. *Block skipping.* What is left are pairs in one list and different classes. A list
+   is cut into blocks of one class, neighbouring sizes and positions, with ``BLOCK`` entries
+   or so, however long it is. Two blocks are skipped if their sizes are too far apart
+   or if their positions leave too few shingles to share: of two sets that hold a
+   shingle at positions i and j, with r and s shingles from there on, no more than
+   min(i, j) + min(r, s) are shared. Pairs of the blocks that remain are tested
+   likewise, and by bitmaps: each set has ``BITS`` parity bits, and two bitmaps
+   differ in no more bits than their sets differ in shingles.
+6. *Incremental answers.* A set is answered from the answers of its nearest pivot, to
+   which it links. The pivots of a pair are compared once; the pair itself differs in no
+   more shingles than the pivots and the ways to them together, and in no fewer than the
+   pivots less those ways. Only pairs that these bounds leave open are compared in full.
+
+No pair that could link is left out, whatever the list's length. Sets hold hashes: two
+different shingles count as one only if 64 bits agree.
 
 Defined results: null, empty and blank texts have the empty set and link with
-nothing; a text shorter than a shingle is one shingle; rows that repeat a key
-count once, with the least set by fingerprint; rows with a null key are left
-out; an empty table gives an empty table; other columns are ignored. Keys are
-integers.
+nothing; a text shorter than a shingle is one shingle; a text of any length is one set;
+a similarity of exactly the threshold links; rows that repeat a key count once, with the
+least set by fingerprint; rows with a null key are left out; an empty table gives an
+empty table; columns other than the named ones are ignored, whatever their names. Keys
+are integers.
 """
 
 from __future__ import annotations
@@ -46,6 +55,9 @@ from scriptorium.llm.textbatch import tidy
 
 #: Keys up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+#: Bytes of shingles that a task of the first step holds, and entries of a block of an index list.
+BUCKET_BYTES = 64 << 20
+BLOCK = 32
 _NOBODY = 0xFFFF
 #: Parity bits of a set.
 BITS = 512
@@ -141,7 +153,7 @@ def _send(width: int, buckets: int):
                 times = np.diff(np.append(first, len(token)))
                 shared = np.bincount(own[np.repeat(times > 1, times)], minlength=j - i)
                 slice_id += 1
-                rows = [(-1 - slice_id % buckets, slice_id, ids, size, f1, f2, shared, None, None)]
+                rows = [(slice_id % buckets, slice_id, ids, size, f1, f2, shared, None, None)]
                 sent, owner = token[first], np.where(times > 1, _NOBODY, own[first]).astype(np.uint16)
                 edge = np.searchsorted((sent >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
                 low = np.ascontiguousarray(sent).view(np.uint8).reshape(-1, 8)[:, :6]
@@ -153,9 +165,16 @@ def _send(width: int, buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs, ordered by bucket, to one row per slice and bucket: how many shingles of which texts other slices have too."""
-
-    def counted(blobs: list[tuple]) -> pa.RecordBatch:
+    """The rows of one bucket to one row per slice: how many shingles of which texts other slices have too. Sets pass through."""
+    blobs: list[tuple] = []
+    for batch in batches:
+        for row in (batch.slice(k, 1) for k in range(len(batch))):
+            if row.column(7)[0].is_valid:
+                blobs.append((row.column(1)[0].as_py(), row.column(7)[0].as_py(), row.column(8)[0].as_py()))
+            else:
+                empty = pa.nulls(1, pa.binary())
+                yield pa.RecordBatch.from_arrays([*row.columns[1:7], empty, empty], [x.split()[0] for x in _MET.split(", ")])
+    if blobs:
         raw = np.concatenate([np.frombuffer(hashes, np.uint8) for _, hashes, _ in blobs]).reshape(-1, 6)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :6] = raw
@@ -171,24 +190,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             who, n = np.unique(owner[met[at : at + len(owner)] & (owner != _NOBODY)], return_counts=True)
             at += len(owner)
             rows.append((slice_id, *(None,) * 5, who.tobytes(), n.astype(np.int32).tobytes()))
-        return _batch(rows, _MET)
-
-    blobs: list[tuple] = []
-    bucket = None
-    for batch in batches:
-        for row in (batch.slice(k, 1) for k in range(len(batch))):
-            now = row.column(0)[0].as_py()
-            if blobs and now != bucket:
-                yield counted(blobs)
-                blobs = []
-            bucket = now
-            if now < 0:
-                empty = pa.nulls(1, pa.binary())
-                yield pa.RecordBatch.from_arrays([*row.columns[1:7], empty, empty], [x.split()[0] for x in _MET.split(", ")])
-            else:
-                blobs.append((row.column(1)[0].as_py(), row.column(7)[0].as_py(), row.column(8)[0].as_py()))
-    if blobs:
-        yield counted(blobs)
+        yield _batch(rows, _MET)
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,12 +258,52 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_KEYS else df
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, by comparing what their sets share."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of their sets and ``d``, the number of shingles that only one of them has."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("common").alias("s_a"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("common").alias("s_b"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(left, "a").join(right, "b").filter(both * (100 + pct) >= pct * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    d = F.col("n_a") + F.col("n_b") - 2 * F.size(F.array_intersect("s_a", "s_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", d.alias("d"))
+
+
+def _near(d: str, pct: int) -> str:
+    """Whether sets of n_a and n_b shingles that differ in so many link."""
+    return f"({d}) * {100 + pct} <= {100 - pct} * (n_a + n_b)"
+
+
+def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of one list and different classes that no bound rules out. Both sides of
+    each join are tables of their own, so that Spark can split the blocks of a long list."""
+    entries = lists.join(labels, "id")
+    split = checkpoint(entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"))
+    size_block = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / pct + 1e-9)).cast("int")
+    # An entry's position is in the first (100 - pct) % of its set: four blocks of that.
+    place_block = F.floor(F.col("i") * 400 / (F.col("n") * (100 - pct) + 1)).cast("int")
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK))
+    entry = F.struct("id", "n", "i", "r", *_WORDS)
+    cut = entries.join(split, "token").join(sets.select("id", *_WORDS), "id").withColumns({"size_block": size_block, "place_block": place_block, "salt": salt})
+    blocks = cut.groupBy("token", "label", "size_block", "place_block", "salt").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("i").alias("i_hi"), F.max("r").alias("r_hi"), F.collect_list(entry).alias("own"))
+    blocks = checkpoint(blocks.drop("place_block", "salt"))
+    other = blocks.select("token", F.explode(F.array(F.col("size_block"), F.col("size_block") + 1)).alias("size_block"), *[F.col(c).alias(f"{c}_b") for c in ("label", "n_lo", "n_hi", "i_hi", "r_hi", "own")])
+    fits = f"label_b <> label and n_lo_b <= n_hi and 100 * n_hi_b >= {pct} * n_lo and (least(i_hi, i_hi_b) + least(r_hi, r_hi_b)) * {100 + pct} >= {pct} * (n_lo + n_lo_b)"
+    pairs = blocks.join(other, ["token", "size_block"]).filter(fits).select(F.explode("own").alias("x"), "own_b").select("x", F.explode("own_b").alias("y"))
+    apart = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in _WORDS)
+    close = f"""(y.n < x.n or (y.n = x.n and y.id < x.id)) and 100 * y.n >= {pct} * x.n
+                and (least(x.i, y.i) + least(x.r, y.r)) * {100 + pct} >= {pct} * (x.n + y.n) and ({apart}) * {100 + pct} <= {100 - pct} * (x.n + y.n)"""
+    return pairs.filter(close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
+
+
+def _answered(pairs: DataFrame, links: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Those of the pairs (a, b, n_a, n_b) that link, by the answers of their pivots where these decide. links: (a, pivot b, d)."""
+    home = links.groupBy("a").agg(F.min(F.struct("d", "b")).alias("h")).select(F.col("a").alias("id"), F.col("h.b").alias("home"), F.col("h.d").alias("way"))
+    side = lambda x: home.select(F.col("id").alias(x), F.col("home").alias(f"home_{x}"), F.col("way").alias(f"way_{x}"))
+    known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "n_a", "n_b", F.coalesce("home_a", "a").alias("p"), F.coalesce("home_b", "b").alias("q"), (F.coalesce("way_a", F.lit(0)) + F.coalesce("way_b", F.lit(0))).alias("ways"))
+    known = checkpoint(known.withColumns({"p": F.least("p", "q"), "q": F.greatest("p", "q")}))
+    pivots = checkpoint(_measured(known.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), sets)).select(F.col("a").alias("p"), F.col("b").alias("q"), "d")
+    bounded = known.join(pivots, ["p", "q"])
+    sure = bounded.filter(_near("d + ways", pct)).select("a", "b")
+    open_ = bounded.filter(f"not {_near('d + ways', pct)} and {_near('d - ways', pct)}").select("a", "b")
+    return sure.unionByName(_measured(open_, sets).filter(_near("d", pct)).select("a", "b"))
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, pct: int = 80) -> DataFrame:
@@ -271,8 +313,10 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id is not null")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = rows.mapInArrow(tidy(_send(width, buckets)), _SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # A word and its blank are six bytes or so, its shingle eight in a blob.
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * n_bytes // BUCKET_BYTES))
+    sent = rows.mapInArrow(tidy(_send(width, buckets)), _SENT).repartitionById(buckets, F.col("bucket"))
     met = sent.mapInArrow(tidy(_meet), _MET).repartition(buckets, "slice").sortWithinPartitions("slice")
     known = met.mapInArrow(tidy(_tally), _MEMBER).groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("s"), F.sum("shared").alias("shared"))
     members = checkpoint(known.select("id", "s.f1", "s.f2", "s.n", "shared"))
@@ -285,33 +329,28 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = texts.mapInArrow(tidy(_tokens(width)), f"id long, f1 long, f2 long, tokens array<long>{kinds}").join(_maybe_broadcast(chosen, n_chosen), ["id", "f1", "f2"]).dropDuplicates(["id"])
     sets = checkpoint(sets.select("id", "n", "tokens", *_WORDS))
     entries = sets.select("id", F.explode("tokens").alias("token"))
-    common = entries.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "df")
+    common = checkpoint(entries.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "df"))
     ordered = entries.join(common, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     # n - size(shared) shingles are found nowhere else; a linked set has none but (100 - pct) % of them.
     sets = sets.drop("tokens").join(ordered, "id").filter(F.size("shared") * 100 >= F.col("n") * pct)
-    sets = checkpoint(sets.select("id", "n", (F.col("n") - F.size("shared")).alias("alone"), F.col("shared.token").alias("common"), *_WORDS))
-    # The rarest come first: those found nowhere else, then by document frequency.
-    lead = F.floor(F.col("n") * (100 - pct) / 100).cast("int") + 1 - F.col("alone")
-    lists = sets.filter(lead > 0).select("id", "n", "alone", F.explode(F.slice("common", F.lit(1), lead)).alias("token"))
-    many = lists.groupBy("token").count().filter("count > 1")
+    sets = checkpoint(sets.select("id", "n", F.col("shared.token").alias("common"), *_WORDS))
+    # The rarest come first: those found nowhere else, then by document frequency. Positions leave the former out.
+    lead = F.floor(F.col("n") * (100 - pct) / 100).cast("int") + 1 - (F.col("n") - F.size("common"))
+    lists = sets.filter(lead > 0).select("id", "n", F.size("common").alias("c"), F.posexplode(F.slice("common", F.lit(1), lead)).alias("i", "token"))
+    lists = lists.select("token", "id", "n", "i", (F.col("c") - F.col("i")).alias("r"))
+    many = checkpoint(lists.groupBy("token").count().filter("count > 1"))
     lists = checkpoint(lists.join(many, "token"))
     popular = lists.groupBy("id").agg(F.sum(F.col("count") - 1).alias("met"))
-    ranked = lists.join(popular, "id").groupBy("token").agg(F.max(F.struct(F.col("met"), (-F.col("id")).alias("minus"))).alias("top"))
-    stars = lists.join(ranked.select("token", (-F.col("top.minus")).alias("b")), "token").select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
-    links = checkpoint(_linked(stars, sets, pct))
+    ranked = checkpoint(lists.join(popular, "id").groupBy("token").agg(F.max(F.struct(F.col("met"), (-F.col("id")).alias("minus"))).alias("top")).select("token", (-F.col("top.minus")).alias("b")))
+    stars = lists.select("token", F.col("id").alias("a")).join(ranked, "token").filter("a <> b").select("a", "b").distinct()
+    tested = checkpoint(_measured(stars, sets))
+    links = tested.filter(_near("d", pct)).select("a", "b", "d")
     labels = components(sets.select("id"), links)
-    # Pairs of one list in different classes; a list's blocks are sizes on a scale on which linked sets are neighbours.
-    block = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / pct + 1e-9)).cast("int")
-    open_ = lists.join(labels, "id").withColumn("block", block)
-    split = open_.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    open_ = checkpoint(open_.join(split, "token").join(sets.select("id", *_WORDS), "id").select("token", "id", "n", "alone", "label", "block", *_WORDS))
-    other = open_.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("alone").alias("alone_b"), F.col("label").alias("label_b"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(w).alias(f"{w}_b") for w in _WORDS])
-    apart = " + ".join(f"bit_count({w} ^ {w}_b)" for w in _WORDS)
-    fits = f"""(n_b < n or (n_b = n and b < id)) and label_b <> label and 100 * n_b >= {pct} * n
-               and (alone + alone_b) * {100 + pct} <= {100 - pct} * (n + n_b) and ({apart}) * {100 + pct} <= {100 - pct} * (n + n_b)"""
-    rest = open_.join(other, ["token", "block"]).filter(fits).select(F.col("id").alias("a"), "b").distinct()
-    more = checkpoint(_linked(rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), sets, pct))
-    labels = components(sets.select("id"), links.union(more))
+    rest = _open_pairs(lists, labels, sets, pct)
+    for a, b in (("a", "b"), ("b", "a")):
+        rest = rest.join(tested.select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"], "left_anti")
+    more = checkpoint(_answered(checkpoint(rest), links, sets, pct))
+    labels = components(sets.select("id"), links.select("a", "b").union(more))
     # One answer for each set; the rows of a set with very many copies meet it in one join, which Spark can split.
     answers = checkpoint(chosen.join(labels, "id", "left").select("f1", "f2", "n", F.coalesce("label", "id").alias("label")))
     found = members.join(_maybe_broadcast(answers, n_chosen), ["f1", "f2", "n"], "left")

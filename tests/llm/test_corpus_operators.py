@@ -63,6 +63,33 @@ def test_classes_equal_brute_force_in_groups_of_near_copies(spark, width, pct, e
     assert classes(frame, width=width, pct=pct) == brute_classes(rows, width, pct)
 
 
+@pytest.mark.parametrize("block", [1, 32])
+def test_classes_equal_brute_force_along_chains(spark, monkeypatch, block):
+    """Windows sliding along one text link with their neighbours only; longer and shorter copies lie between the sizes."""
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    rng = random.Random(11)
+    rows = []
+    for g in range(4):
+        words = rng.choices([f"v{k}" for k in range(3000)], k=420)
+        step = (3, 6, 9, 12)[g]
+        rows += [(1000 * g + k, " ".join(words[k * step : k * step + 100 + rng.randint(-6, 6)])) for k in range(24)]
+        rows += [(1000 * g + 500 + k, " ".join(words[k : 200 - 2 * k] + rng.choices(words, k=k))) for k in range(16)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for width, pct in ((4, 85), (5, 80)):
+        want = brute_classes(rows, width, pct)
+        assert classes(frame, width=width, pct=pct) == want and 4 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_classes_with_many_small_buckets_and_shuffled_joins(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = near_copies(rng, 5, 12, 60, 3)
+    monkeypatch.setattr(set_join, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(set_join, "BROADCAST_KEYS", 0)
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, id int, token int").repartition(3)
+    assert classes(frame) == brute_classes(rows, 5, 80)
+
+
 def test_classes_of_odd_rows(spark, odd_docs, no_docs):
     got = classes(odd_docs)
     assert got == brute_classes([(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id is not None], 5, 80)
