@@ -193,15 +193,21 @@ def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     entity = met(rows.select(F.inline("held")), _ENTITY, "n_entity").filter(F.col("n_entity") * 2 <= n_all)
     entity = checkpoint(entity.select(*_ENTITY, "n_entity"))
     side = F.broadcast(entity) if entity.count() <= BROADCAST_ROWS else entity
-    near = rows.select("terms", F.inline("held")).join(side.select(*_ENTITY), _ENTITY).select(*_ENTITY, "side", F.explode("terms").alias("term"))
-    together = met(near, [*_ENTITY, "term"], "n_both").filter("n_contexts * 4 >= n_both * 3").select(*_ENTITY, "term", "n_both")
-    beside = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
+    near = rows.select("terms", F.inline("held")).join(side, _ENTITY).select(F.xxhash64(*_ENTITY).alias("entity"), "side", "terms")
+    named = side.select(F.xxhash64(*_ENTITY).alias("entity"), *_ENTITY, "n_entity")
     disclosure = lambda n: 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / n)) / -F.log(F.col("n_entity") / n_all)
     least = F.when(F.col("level") == "kind", F.lit(kind_threshold)).otherwise(F.lit(threshold))
-    rated = together.join(side, _ENTITY).join(beside, "term")
-    # A term stands in at least as many documents as it stands beside entities in, which bounds its disclosure
-    # and spares the corpus count of terms that cannot reach the threshold.
-    rated = checkpoint(rated.filter(disclosure(F.col("n_beside")) >= least))
+    # A term stands in at least as many documents as it stands beside entities in, which bounds its disclosure and
+    # spares the contexts and the corpus count of terms that cannot reach the threshold.
+    beside = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_beside")).filter("n_beside > 1")
+    together = near.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter("n_both > 1")
+    hopeful = together.join(named, "entity").join(beside, "term").filter(disclosure(F.col("n_beside")) >= least)
+    hopeful = checkpoint(hopeful.select("entity", *_ENTITY, "n_entity", "term", "n_both"))
+    few = hopeful.count() <= BROADCAST_ROWS
+    met_in = near.select("entity", "side", F.explode("terms").alias("term"))
+    wanted = hopeful.select("entity", "term")
+    varied = met(met_in.join(F.broadcast(wanted) if few else wanted, ["entity", "term"], "left_semi"), ["entity", "term"], "n").filter("n_contexts * 4 >= n * 3").select("entity", "term")
+    rated = checkpoint(hopeful.join(varied, ["entity", "term"]).drop("entity"))
     terms = rated.select("term").distinct()
     small = terms.count() <= BROADCAST_ROWS
     weighed = own.join(F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated, "_key", "left") if n_repeated else own.withColumn("n_rows", F.lit(1))
