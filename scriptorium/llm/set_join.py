@@ -286,11 +286,11 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, pct: int)
     blocks = checkpoint(blocks.drop("place_block", "salt"))
     other = blocks.select("token", F.explode(F.array(F.col("size_block"), F.col("size_block") + 1)).alias("size_block"), *[F.col(c).alias(f"{c}_b") for c in ("label", "n_lo", "n_hi", "i_hi", "r_hi", "own")])
     fits = f"label_b <> label and n_lo_b <= n_hi and 100 * n_hi_b >= {pct} * n_lo and (least(i_hi, i_hi_b) + least(r_hi, r_hi_b)) * {100 + pct} >= {pct} * (n_lo + n_lo_b)"
-    pairs = blocks.join(other, ["token", "size_block"]).filter(fits).select(F.explode("own").alias("x"), "own_b").select("x", F.explode("own_b").alias("y"))
     apart = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in _WORDS)
     close = f"""(y.n < x.n or (y.n = x.n and y.id < x.id)) and 100 * y.n >= {pct} * x.n
                 and (least(x.i, y.i) + least(x.r, y.r)) * {100 + pct} >= {pct} * (x.n + y.n) and ({apart}) * {100 + pct} <= {100 - pct} * (x.n + y.n)"""
-    return pairs.filter(close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
+    met = f"flatten(transform(own, x -> transform(filter(own_b, y -> {close}), y -> struct(x.id AS a, y.id AS b, x.n AS n_a, y.n AS n_b))))"
+    return blocks.join(other, ["token", "size_block"]).filter(fits).selectExpr(f"inline({met})").distinct()
 
 
 def _answered(pairs: DataFrame, links: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
