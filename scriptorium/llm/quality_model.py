@@ -8,13 +8,16 @@ the weighted representation is scored. Only documents carry labels; the
 attention is learned through them.
 
 The model is fitted on the driver on at most ``fit_rows`` labelled documents,
-chosen by a hash of the key, with at most ``FIT_PASSAGES`` evenly spaced
-passages each; scoring reads every passage of every text.
+chosen by a hash of the key. Every passage of these counts: of a text with more than
+``FIT_PASSAGES``, runs of neighbouring passages are averaged into so many, which bounds
+what the driver gets. Scoring reads every passage of every text by itself.
 
 Defined results: a null or empty text is one passage without words and gets a
-score like any other; repeated rows get equal scores; labels that are null or
-belong to no document are left out; with fewer than two labels seen all scores
-are the share of label 1 (0.5 without labels).
+score like any other, and so does a text of any length; repeated rows get equal scores;
+labels that are null or belong to no document are left out, and so are null keys; of
+several texts of one key the least is fitted on; with fewer than two labels seen all
+scores are the share of label 1 (0.5 without labels); columns other than the named ones
+are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -86,6 +89,14 @@ def encode(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.sqrt(counts / np.maximum(size, 1)), shape.astype(np.float32)], axis=1), begin
 
 
+def condensed(x: np.ndarray, most: int = FIT_PASSAGES) -> np.ndarray:
+    """Passages of one text, runs of neighbours averaged so that ``most`` remain."""
+    if len(x) <= most:
+        return x
+    edge = np.arange(most + 1) * len(x) // most
+    return np.add.reduceat(x, edge[:-1], axis=0) / np.diff(edge)[:, None]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -154,14 +165,16 @@ class AttentionModel:
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 3000) -> AttentionModel:
     """Fits on ``fit_rows`` labelled documents at most. A document with several labels counts with the mean of them, rounded."""
-    chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.round(F.avg(label_col)).cast("int").alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").dropDuplicates(["id"]).select("id", "label", "text")
+    own = labels.select(labels[id_col].alias("id"), labels[label_col].alias("label")).filter("id is not null and label is not null")
+    chosen = own.groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in textbatch.slices(batch.column(2)):
                 x, begin = encode(*textbatch.utf8(batch.column(2).slice(i, j - i)))
-                some = [x[b:e] if e - b <= FIT_PASSAGES else x[np.linspace(b, e - 1, FIT_PASSAGES).astype(int)] for b, e in zip(begin[:-1], begin[1:], strict=True)]
+                some = [condensed(x[b:e]) for b, e in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.string()), batch.column(1).slice(i, j - i), pa.array([b.astype(np.float16).tobytes() for b in some], pa.binary())], ["id", "label", "bag"])
 
     got = sorted(rows.mapInArrow(tidy(run), "id string, label int, bag binary").collect(), key=lambda r: r["id"])

@@ -181,6 +181,22 @@ def test_attention_gradient():
         assert abs((up - down) / 2e-5 - own[1 % len(flat)]) < 1e-5
 
 
+def test_condensed_passages_are_means_of_all():
+    x = np.random.default_rng(3).random((101, 5))
+    assert np.array_equal(quality_model.condensed(x[:32]), x[:32])
+    few = quality_model.condensed(x, 10)
+    edge = [k * 101 // 10 for k in range(11)]
+    assert np.allclose(few, [x[i:j].mean(axis=0) for i, j in zip(edge, edge[1:], strict=False)]) and np.allclose(sum(f * (j - i) for f, i, j in zip(few, edge, edge[1:], strict=False)), x.sum(axis=0))
+
+
+def test_quality_model_takes_repeated_keys_and_clashing_names(spark):
+    rows = [(i, "A plain line of words." if i % 2 else "$$$ ### !!! &&&", i, i) for i in range(40)] + [(1, "another text", 1, 1), (None, "no key", 0, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int, id int")
+    labels = frame.select("doc_id", (F.col("doc_id") % 2).alias("quality"), "id")
+    scores = {(r.doc_id, r.score) for r in quality_model.score(frame, quality_model.fit(frame, labels, label_col="quality")).collect()}
+    assert len({i for i, _ in scores}) == 41 and min(s for i, s in scores if i is not None and i % 2 and i > 1) > max(s for i, s in scores if i is not None and not i % 2)
+
+
 def test_encode_counts_every_byte():
     flat = np.frombuffer(("one two  three\nfour " * 100 + "Ä|").encode(), np.uint8)
     x, begin = quality_model.encode(flat, np.array([0, len(flat), len(flat)]))
