@@ -1,4 +1,4 @@
-"""Text of HTML pages. Tags are removed by expressions; only entities need an Arrow stage."""
+"""Text of HTML pages: tags go by expressions, each evaluated once; entities need one Arrow stage."""
 
 from __future__ import annotations
 
@@ -9,43 +9,75 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blocks that hold no main content.
-_FURNITURE = "nav|header|footer|aside|form|noscript|template|svg|button|select"
+FURNITURE = "nav header footer aside form noscript template svg button select".split()
+#: White space as Unicode has it, which Java's \\s does by flag only.
+_SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+_TAG = "<[^>]++>"
+
+
+def _element(names: list[str]) -> str:
+    """A whole element of one of these names, from its opening to its first closing tag."""
+    return rf"(?is)<({'|'.join(names)})\b[^>]*+>.*?</\1[^>]*+>"
 
 
 def decode_entities(text: Column) -> Column:
-    """HTML entities as characters. Texts without an ampersand stay on the JVM."""
+    """HTML entities as characters. The stage sees all rows, also those without an ampersand."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from html import unescape
 
         for texts in batches:
-            yield pa.array([None if x is None else unescape(x) for x in texts.to_pylist()], pa.string())
+            yield pa.array([x if x is None or "&" not in x else unescape(x) for x in texts.to_pylist()], pa.string())
+
+    return decode(text)
+
 
-    return F.when(F.contains(text, F.lit("&")), decode(text)).otherwise(text)
+def _bare(html: Column) -> Column:
+    """A page without scripts and styles, tags as blanks."""
+    return F.regexp_replace(F.regexp_replace(html, _element(["script", "style"]), ""), _TAG, " ")
 
 
 def strip_tags(html: Column) -> Column:
     """All text of a page: without scripts and styles, tags as blanks, entities decoded, white space collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", ""), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(decode_entities(bare), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(decode_entities(_bare(html)), _SPACE, " "))
 
 
-def main_text(html: Column) -> Column:
-    """Text of the blocks that read like content: page furniture is dropped, and so are
+def _blocks(html: Column) -> Column:
+    """Text of the blocks that read like content, entities not decoded yet: page furniture is dropped, and so are
     blocks in which links make up more than half of the letters."""
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)[^>]*>.*?</\1>|<head[^>]*>.*?</head>", "")
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), _element(["script", "style", "head"]), "")
     for _ in range(2):  # furniture may stand inside furniture
-        bare = F.regexp_replace(bare, rf"(?is)<({_FURNITURE})\b[^>]*>.*?</\1>", "\n")
-    blocks = F.split(F.regexp_replace(bare, r"(?i)</?(p|div|section|article|main|h[1-6]|li|ul|ol|table|tr|td|th|blockquote|pre|br|body|html)\b[^>]*>", "\u0001"), "\u0001")
-    inside = lambda x: F.length(F.regexp_replace(x, r"<[^>]+>|\s+", ""))
-    linked = lambda x: inside(F.array_join(F.regexp_extract_all(x, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), " "))
-    good = F.filter(blocks, lambda x: (inside(x) > 0) & (linked(x) * 2 <= inside(x)))
-    text = F.array_join(F.transform(good, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"(?U)\s+", " "))), "\n")
-    return F.trim(decode_entities(text))
+        bare = F.regexp_replace(bare, _element(FURNITURE), "\n")
+    parts = F.split(bare, r"(?i)</?(?:p|div|section|article|main|h[1-6]|li|ul|ol|table|tr|td|th|blockquote|pre|br|body|html)\b[^>]*+>")
+    letters = lambda x: F.length(F.regexp_replace(x, rf"{_TAG}|\s+", ""))
+    linked = lambda x: F.when(F.contains(x, F.lit("<")), letters(F.array_join(F.regexp_extract_all(x, F.lit(r"(?is)<a\b[^>]*+>(.*?)</a>"), F.lit(1)), " "))).otherwise(F.lit(0))
+    good = F.filter(parts, lambda x: (letters(x) > 0) & (linked(x) * 2 <= letters(x)))
+    return F.array_join(F.transform(good, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, _TAG, " "), _SPACE, " "))), "\n")
+
+
+def main_text(html: Column) -> Column:
+    """Main content of a page, entities decoded."""
+    return F.trim(decode_entities(_blocks(html)))
 
 
 def extract_text(html: Column) -> Column:
     """Main content if longer than 50 characters, else all text if longer than 10, else NULL."""
-    main, every = main_text(html), strip_tags(html)
-    return F.when(F.coalesce(F.trim(html), F.lit("")) == "", F.lit(None).cast("string")).when(F.length(main) > 50, main).when(F.length(every) > 10, every)
+
+    @F.arrow_udf("string")
+    def choose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import re
+        from html import unescape
+
+        def best(parts: str) -> str | None:
+            main, _, bare = parts.partition("\0")
+            text = unescape(main).strip(" ")
+            if len(text) <= 50:
+                text = re.sub(_SPACE, " ", unescape(bare)).strip(" ")
+            return text if len(text) > 10 else None
+
+        for pages in batches:
+            yield pa.array([None if x is None else best(x) for x in pages.to_pylist()], pa.string())
+
+    clean = F.replace(html, F.lit("\0"), F.lit(""))
+    return choose(F.concat(_blocks(clean), F.lit("\0"), _bare(clean)))

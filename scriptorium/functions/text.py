@@ -42,16 +42,16 @@ def url_host(url: Column) -> Column:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC, which Spark has no function for. ASCII text is in NFC already."""
+    """Unicode NFC, which Spark has no function for. The stage sees all rows and leaves ASCII texts as they are."""
 
     @F.arrow_udf("string")
     def compose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from unicodedata import normalize
 
         for texts in batches:
-            yield pa.array([None if x is None else normalize("NFC", x) for x in texts.to_pylist()], pa.string())
+            yield pa.array([x if x is None or x.isascii() else normalize("NFC", x) for x in texts.to_pylist()], pa.string())
 
-    return F.when(text.rlike(r"[^\p{ASCII}]"), compose(text)).otherwise(text)
+    return compose(text)
 
 
 def normalize_text(text: Column) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a chunk, of the overlap and of the least chunk; where a sentence ends.
 SIZE, OVERLAP, LEAST = 800, 160, 100
 _SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])"
 _PARAGRAPH_GAP = re.compile(r"\n\s*\n+")

@@ -133,8 +133,8 @@ def kmeans(points: DataFrame, k: int, first_id: int, *, vector_col: str = "embed
 
 
 def cluster_members(assigned: DataFrame) -> DataFrame:
-    """Sorted member ids of each cluster."""
-    return assigned.groupBy("cluster").agg(F.sort_array(F.collect_list("id")).alias("chunk_ids"), F.count(F.lit(1)).alias("n_chunks"))
+    """Number of members and least member of each cluster; ``assigned`` itself has the members, a row each."""
+    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("id").alias("first_id"))
 
 
 def sample_prompts(chunks: DataFrame, *, per_cluster: int = 10, size: int = 500) -> DataFrame:
@@ -207,6 +207,12 @@ def compile_digest(topics: DataFrame, selected: DataFrame, first: str, last: str
     return counts.crossJoin(F.broadcast(body)).select(named.alias("name"), F.lit(strategy).alias("strategy"), "topics_json", "n_topics", "chunks_analyzed", "documents_analyzed")
 
 
+def digest_topics(topics: DataFrame, members: DataFrame, digest_id: int) -> DataFrame:
+    """A digest's topics as rows of its topic table, with the ids of their chunks (members: topic_index, id), which a digest bounds."""
+    own = members.groupBy("topic_index").agg(F.sort_array(F.collect_list("id")).alias("chunk_ids"))
+    return topics.join(own, "topic_index", "left").select(F.lit(digest_id).cast("long").alias("digest_id"), "topic_index", "topic_name", "summary", F.coalesce("chunk_ids", F.array().cast("array<bigint>")).alias("chunk_ids"), "key_points")
+
+
 def digest_citations(members: DataFrame, chunks: DataFrame, digest_id: int) -> DataFrame:
     """A citation for each chunk of a topic (topic_index, id)."""
     own = members.join(chunks.select("id", "document_id", F.substring("chunk_text", 1, 200).alias("excerpt")), "id")

@@ -1,12 +1,15 @@
-"""Full-text search: postings, BM25 ranking and the substring fallback.
+"""Full-text search: BM25 ranking over texts or over postings, and the substring fallback.
 
-Postings are (term, doc_id, field, tf, positions). A query touches the rows of its
-terms only, so a postings table written in the order of ``term`` is pruned by
-Parquet statistics. Scores are positive, higher is better.
+``search_texts`` answers one query by two scans of the texts and no shuffle of them.
+Postings (term, doc_id, field, tf, positions) serve many queries: a query touches the
+rows of its terms only, so a postings table written in the order of ``term`` is pruned
+by Parquet statistics. Scores are positive, higher is better.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,14 +19,73 @@ from scriptorium.functions.text import contains_ascii_folded
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-_MARKED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _latin_marks() -> dict[str, str]:
+    """Small Latin letters with marks, by the letter that their decomposition starts with."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        letter = chr(code)
+        plain = unicodedata.normalize("NFD", letter)[0]
+        if letter == letter.lower() and plain != letter and "a" <= plain <= "z":
+            out[letter] = plain
+    return out
+
+
+MARKS = _latin_marks()
+_MARKED, _PLAIN = "".join(MARKS), "".join(MARKS.values())
 
 
 def tokens(text: Column, *, fold: bool = True) -> Column:
-    """Lower-case runs of letters and digits; ``fold`` drops the marks of Latin letters."""
+    """Lower-case runs of letters and digits; ``fold`` drops the marks of Latin letters, also those written as characters of their own."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.regexp_extract_all(F.translate(low, _MARKED, _PLAIN) if fold else low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    folded = F.regexp_replace(F.translate(low, _MARKED, _PLAIN), "[\u0300-\u036f]+", "") if fold else low
+    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def query_words(query: str, *, fold: bool = True) -> list[str]:
+    """The words of a query, as ``tokens`` makes them of texts."""
+    low = query.lower()
+    if fold:
+        low = re.sub("[\u0300-\u036f]+", "", low.translate(str.maketrans(MARKS)))
+    words, inside = [""], False
+    for c in low:
+        inside = unicodedata.category(c)[0] in "LN"
+        words = [*words[:-1], words[-1] + c] if inside else [*words, ""] if words[-1] else words
+    return [w for w in words if w]
+
+
+def search_texts(docs: DataFrame, fields: list[str], terms: list[str], *, id_col: str = "doc_id", mode: str = "all", exclude: list[str] | None = None, prefix: bool = False, phrase: list[str] | None = None, columns: list[str] | None = None, fold: bool = True, limit: int | None = 50) -> DataFrame:
+    """``doc_id`` and ``score`` of the best matches, as ``search`` over the postings of ``fields``.
+
+    The first scan counts documents, lengths and documents of each term in one row; the second rates.
+    """
+    rows = docs.select(docs[id_col].alias("doc_id"), *[tokens(docs[f], fold=fold).alias(f"t{k}") for k, f in enumerate(fields)])
+    own = [f"t{k}" for k, f in enumerate(fields) if columns is None or f in columns]
+    total = lambda parts: reduce(lambda a, b: a + b, parts)
+    wanted = list(dict.fromkeys([*terms, *(phrase or [])]))
+
+    def frequency(word: str, last: bool) -> Column:
+        same = (lambda x: F.startswith(x, F.lit(word))) if prefix and last else (lambda x: x == word)
+        return total([F.size(F.filter(t, same)) for t in own])
+
+    rows = rows.select("*", total([F.size(f"t{k}") for k in range(len(fields))]).alias("dl"), *[frequency(w, k == len(wanted) - 1).alias(f"tf{k}") for k, w in enumerate(wanted)]).filter("dl > 0")
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]).first()
+    n, mean = seen["n"], seen["mean"] or 1.0
+
+    def part(k: int) -> Column:
+        idf = F.greatest(F.log(F.lit((n - seen[f"df{k}"] + 0.5) / (seen[f"df{k}"] + 0.5))), F.lit(LEAST_IDF))
+        return idf * F.col(f"tf{k}") * (K1 + 1) / (F.col(f"tf{k}") + K1 * (1 - B + B * F.col("dl") / mean))
+
+    met = [F.col(f"tf{k}") > 0 for k in range(len(wanted))]
+    rows = rows.filter(reduce(lambda a, b: (a & b) if mode == "all" else (a | b), met, F.lit(mode == "all")))
+    for word in exclude or []:
+        rows = rows.filter(~total([F.array_contains(t, word).cast("int") for t in own]).cast("boolean"))
+    if phrase:
+        follows = lambda t: F.exists(F.sequence(F.lit(0), F.size(t) - 1), lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(t, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)]))
+        rows = rows.filter(reduce(lambda a, b: a | b, [F.when(F.size(t) >= len(phrase), follows(F.col(t))).otherwise(F.lit(False)) for t in own]))
+    scored = rows.select("doc_id", total([part(k) for k in range(len(wanted))] or [F.lit(0.0)]).alias("score"))
+    return scored if limit is None else scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def build_postings(docs: DataFrame, fields: list[str], *, id_col: str = "doc_id", fold: bool = True) -> DataFrame:
@@ -90,14 +152,18 @@ def search(postings: DataFrame, terms: list[str], *, mode: str = "all", exclude:
     return scored if limit is None else scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
-def search_documents(docs: DataFrame, postings: DataFrame, query: str, *, id_col: str = "doc_id", saved_col: str | None = None, limit: int = 50, **options) -> DataFrame:
-    """Ranked documents with their columns; a blank query gives the newest."""
-    words = query.lower().split()
+def search_documents(docs: DataFrame, fields: list[str], query: str, *, postings: DataFrame | None = None, id_col: str = "doc_id", saved_col: str | None = None, limit: int = 50, **options) -> DataFrame:
+    """Documents with all their columns and ``score``, best first; a query without a word gives the newest.
+
+    With ``postings`` the index is asked, else the texts of ``fields``. A ``*`` at the end makes the last word a prefix.
+    """
+    words = query_words(query)
     if not words:
         newest = F.col(saved_col).desc_nulls_last() if saved_col else F.col(id_col).desc()
         return docs.withColumn("score", F.lit(None).cast("double")).orderBy(newest, F.col(id_col).desc()).limit(limit)
-    hits = search(postings, words, limit=limit, **options)
-    return docs.join(F.broadcast(hits.withColumnRenamed("doc_id", id_col)), id_col)
+    options = {"prefix": query.rstrip().endswith("*"), **options}
+    hits = search_texts(docs, fields, words, id_col=id_col, limit=limit, **options) if postings is None else search(postings, words, limit=limit, **options)
+    return docs.join(F.broadcast(hits.withColumnRenamed("doc_id", id_col)), id_col).orderBy(F.desc("score"), id_col)
 
 
 def search_substring(docs: DataFrame, query: str, fields: list[str], *, id_col: str = "doc_id", saved_col: str | None = None, limit: int = 50) -> DataFrame:

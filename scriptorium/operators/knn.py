@@ -1,8 +1,9 @@
 """Nearest neighbours over vectors, exact and approximate, and search built on them.
 
 One query is an expression over a scan and a top-k (TakeOrderedAndProject). Many
-queries are a block matrix product inside Arrow batches that keeps k candidates a
-query and batch, so what is shuffled is k rows a query and task.
+queries meet all vectors in blocks: blocks of queries are joined with blocks of vectors
+by number, a pair of blocks keeps k candidates a query, and these are ranked. No vector
+passes through the driver but the centroids of an index, whose number is a parameter.
 """
 
 from __future__ import annotations
@@ -34,55 +35,108 @@ def nearest_filtered(vectors: DataFrame, query: list[float], k: int, where, *, f
     return nearest(vectors, query, k, id_col=id_col, vector_col=vector_col).filter(where)
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "id", vector_col: str = "embedding", query_block: int = 4096) -> DataFrame:
-    """``query_id``, ``id_col``, ``distance`` and ``position`` of the k nearest rows of each query (query_id long, vector).
+def _blocks(rows: DataFrame, id_col: str, vector_col: str, size: int) -> tuple[DataFrame, int]:
+    """(block, ids, vectors) and the number of blocks: rows in blocks of about ``size``, dealt by a hash of the id."""
+    n = max(1, -(-rows.count() // size))
+    dealt = rows.filter(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"), F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).alias("x"))
+    return dealt.groupBy("block").agg(F.collect_list("x").alias("x")).select("block", F.col("x.id").alias("ids"), F.col("x.vector").alias("vectors")), n
 
-    Queries go to the tasks in blocks of ``query_block``; each block is one scan of the vectors.
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list of vectors as a matrix, from the buffer of its values."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, np.float64).reshape(len(column), -1)
+
+
+def _best(pairs: DataFrame, k: int, id_kind: str, query_kind: str) -> DataFrame:
+    """The k nearest of each pair of blocks (query_ids, query_vectors, ids, vectors), ties by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                asked, q, ids, x = (batch.column(c)[at].values for c in range(4))
+                q, x = _matrix(q), _matrix(x)
+                order = np.argsort(np.array(ids.to_pylist(), object), kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                found, far = [], []
+                for row in q:
+                    d = x - row
+                    # Equal up to rounding counts as equal, so ties go to the least id.
+                    d = np.sqrt(np.einsum("ij,ij->i", d, d)).round(12)
+                    some = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                    some = some[np.lexsort((place[some], d[some]))][:k]
+                    found.append(some)
+                    far.append(d[some])
+                n = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.repeat(np.arange(len(n)), n))), ids.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(far))], ["query_id", "id", "distance"])
+
+    return pairs.select("query_ids", "query_vectors", "ids", "vectors").mapInArrow(run, f"query_id {query_kind}, id {id_kind}, distance double")
+
+
+def _ranked(found: DataFrame, k: int, id_col: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("position", nth).filter(F.col("position") <= k).withColumnRenamed("id", id_col)
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "id", vector_col: str = "embedding", query_block: int = 1024, vector_block: int = 8192) -> DataFrame:
+    """``query_id``, ``id_col``, ``distance`` and ``position`` of the k nearest rows of each query (query_id, vector).
+
+    Distances are rounded to 12 decimals, ties go to the least id; rows without a vector are left out.
+    """
+    asked, _ = _blocks(queries, "query_id", "vector", query_block)
+    rows, n = _blocks(vectors, id_col, vector_col, vector_block)
+    # Each block of queries is sent once for every block of vectors.
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    found = _best(rows.join(asked, "block"), k, dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_id"])
+    return _ranked(found, k, id_col)
+
+
+def _cells(rows: DataFrame, id_col: str, vector_col: str, centroids: np.ndarray, probes: int) -> DataFrame:
+    """(id, vector, cell): rows with their ``probes`` nearest centroids."""
+    kind = dict(rows.dtypes)[id_col]
+    square = (centroids**2).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 4096):
+                part = batch.slice(k, 4096)
+                near = np.argsort(square - 2 * _matrix(part.column(1)) @ centroids.T, axis=1, kind="stable")[:, :probes]
+                at = pa.array(np.repeat(np.arange(len(part)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(near.ravel().astype(np.int32))], ["id", "vector", "cell"])
+
+    own = rows.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    return own.mapInArrow(run, f"id {kind}, vector array<double>, cell int")
+
+
+def index_centroids(vectors: DataFrame, cells: int, *, id_col: str = "id", vector_col: str = "embedding") -> np.ndarray:
+    """Centroids of an index: the vectors of ``cells`` rows, chosen by a hash of the id. This is all that is fitted."""
+    some = vectors.filter(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(cells).select(vector_col).collect()
+    return np.array([r[0] for r in some], np.float64)
+
+
+def nearest_approximate(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "id", vector_col: str = "embedding", cells: int = 64, probes: int = 48, block: int = 4096) -> DataFrame:
+    """``query_id``, ``id_col``, ``distance`` and ``position`` of k near rows of each query (query_id, vector).
+
+    Every row is in the cell of its nearest centroid, and a query looks into its ``probes`` nearest
+    cells; compare with ``nearest_many`` for recall. A cell is cut into blocks, so a full one is many tasks.
     """
-    kind = dict(vectors.dtypes)[id_col]
-    found = None
-    rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    block: list = []
-
-    def scan(block: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in block], np.int64)
-        q = np.array([r["vector"] for r in block], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for j in range(0, len(batch), 2048):
-                    part = batch.slice(j, 2048)
-                    x = np.array(part.column(1).to_pylist(), np.float64)
-                    far = np.sqrt(np.maximum(((x - q[:, None, :]) ** 2).sum(axis=2), 0)) if len(q) * x.size <= 1 << 24 else np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * q @ x.T, 0))
-                    near = np.argsort(far, axis=1, kind="stable")[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1])), part.column(0).take(pa.array(near.ravel())), pa.array(np.take_along_axis(far, near, axis=1).ravel())], ["query_id", id_col, "distance"])
-
-        return vectors.select(id_col, vector_col).mapInArrow(run, f"query_id long, {id_col} {kind}, distance double")
-
-    for row in rows:
-        block.append(row)
-        if len(block) == query_block:
-            found, block = scan(block) if found is None else found.unionByName(scan(block)), []
-    if block or found is None:
-        found = scan(block) if found is None else found.unionByName(scan(block))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
-    return found.withColumn("position", nth).filter(F.col("position") <= k)
-
-
-def nearest_approximate(vectors: DataFrame, query: list[float], k: int = 10, *, id_col: str = "id", vector_col: str = "embedding", bucket_length: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
-    """k near rows by random projections; compare with ``nearest`` for recall."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    dense = vectors.select(id_col, array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(dense)
-    return model.approxNearestNeighbors(dense, Vectors.dense(query), k, distCol="distance").select(id_col, "distance")
-
-
-def recall(exact: DataFrame, approximate: DataFrame, *, id_col: str = "id") -> DataFrame:
-    """Share of the exact rows that the approximate ones hold."""
-    marked = exact.select(id_col).join(approximate.select(id_col, F.lit(1).alias("hit")), id_col, "left")
+    centroids = index_centroids(vectors, cells, id_col=id_col, vector_col=vector_col)
+    if not len(centroids):
+        return nearest_many(vectors, queries, k, id_col=id_col, vector_col=vector_col)
+    n = max(1, -(-vectors.count() // block))
+    inside = _cells(vectors, id_col, vector_col, centroids, 1).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    rows = inside.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "vector")).alias("x")).select("cell", F.col("x.id").alias("ids"), F.col("x.vector").alias("vectors"))
+    m = max(1, -(-queries.count() * probes // block))
+    asking = _cells(queries, "query_id", "vector", centroids, probes).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"))
+    asked = asking.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "vector")).alias("x")).select("cell", F.col("x.id").alias("query_ids"), F.col("x.vector").alias("query_vectors"))
+    return _ranked(_best(rows.join(asked, "cell"), k, dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_id"]), k, id_col)
+
+
+def recall(exact: DataFrame, approximate: DataFrame, *, id_col: str = "id", query_col: str | None = None) -> DataFrame:
+    """Share of the exact rows that the approximate ones hold; ``query_col`` names the query of a row."""
+    key = [id_col] if query_col is None else [query_col, id_col]
+    marked = exact.select(*key).join(approximate.select(*key, F.lit(1).alias("hit")), key, "left")
     return marked.agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 

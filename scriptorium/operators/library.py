@@ -14,6 +14,7 @@ SORTABLE = ("saved_at", "title", "author", "category", "word_count", "highlight_
 #: Domains behind a paywall, and domains that need a browser.
 PAYWALL_DOMAINS = ("medium.com", "nytimes.com", "wsj.com", "ft.com", "economist.com", "bloomberg.com", "washingtonpost.com", "theathletic.com", "businessinsider.com", "seekingalpha.com")
 BROWSER_DOMAINS = ("twitter.com", "x.com", "instagram.com", "facebook.com", "linkedin.com")
+#: Bytes of the largest page that is read, characters of the shortest text that counts.
 LARGEST_PAGE = 10 * 1024 * 1024
 SHORTEST_TEXT = 200
 #: Failures worth another try: as the classifier sees it, and as the clearing job does.
@@ -140,6 +141,24 @@ def citations(cited: DataFrame, docs: DataFrame, *, topic_id: int | None = None)
     return where(cited, topic_id=topic_id).join(docs.select(F.col("id").alias("document_id"), "title", "author", "url_original"), "document_id", "left")
 
 
+def with_documents(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """Highlights, failures or chunks (document_id) with columns of their documents as ``document_<name>``; rows without a document are left out."""
+    own = docs.select(F.col("id").alias("document_id"), *[F.col(c).alias(f"document_{c}") for c in columns])
+    return rows.join(own, "document_id")
+
+
+def chunk_counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``id`` and ``n_chunks`` of all documents."""
+    n = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return docs.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+
+
+def embedded_chunks(embeddings: DataFrame, chunks: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """Vectors of chunks with the chunk and columns of its document."""
+    own = embeddings.filter("chunk_id is not null").drop("document_id").join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_text"), "chunk_id")
+    return with_documents(own, docs, *columns)
+
+
 def duplicate_ratio(results: DataFrame, title_col: str = "title") -> DataFrame:
     """Share of repeated titles in a result list, and whether it is acceptable (one in ten)."""
     own = results.filter(~is_empty(F.col(title_col)))

@@ -35,49 +35,94 @@ def prepare_articles(batch: DataFrame) -> DataFrame:
     return batch.withColumn("url_canonical", normalize_url(F.col("url_original"))).withColumn("category", normalize_category(F.col("category"), F.col("url_original")))
 
 
-def _entities(rows: DataFrame, rounds: int = 50) -> DataFrame:
-    """``row`` and ``entity`` (least row number) of rows that share a URL or a provider id within a source.
+def components(links: DataFrame) -> DataFrame:
+    """``row`` and ``entity``, the least row that links (a, b) reach, of all rows in a link.
 
-    Least numbers travel over both keys until none changes; rows whose keys are
-    their own are settled in the first round.
+    Labels also jump along themselves, so a chain needs as many rounds as the logarithm of its length.
     """
-    labels = rows.select("row", "source", "provider_id", "url_canonical", F.col("row").alias("entity"))
-    for _ in range(rounds):
-        by_id = F.min("entity").over(Window.partitionBy("source", "provider_id"))
-        step = labels.withColumn("_next", by_id)
-        by_url = F.when(F.col("url_canonical").isNotNull(), F.min("_next").over(Window.partitionBy("source", "url_canonical"))).otherwise(F.col("_next"))
-        step = checkpoint(step.withColumn("_next", F.least("_next", by_url)))
-        labels, moved = step.withColumn("entity", F.col("_next")).drop("_next"), step.filter("_next < entity").limit(1).count()
-        if not moved:
-            return labels.select("row", "entity")
-    raise RuntimeError(f"chains of shared keys are longer than {rounds}")
+    both = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpoint(both.select(F.col("a").alias("row"), F.col("a").alias("entity")).distinct())
+    while True:
+        near = both.join(labels.withColumnRenamed("row", "b"), "b").groupBy(F.col("a").alias("row")).agg(F.min("entity").alias("near"))
+        step = labels.join(near, "row").select("row", "entity", F.least("entity", "near").alias("to"))
+        far = labels.select(F.col("row").alias("to"), F.col("entity").alias("far"))
+        after = checkpoint(step.join(far, "to").select("row", F.least("to", "far").alias("entity"), (F.least("to", "far") < F.col("entity")).alias("moved")))
+        labels = after.select("row", "entity")
+        if after.filter("moved").isEmpty():
+            return labels
+
+
+def _entities(rows: DataFrame) -> DataFrame:
+    """``row`` and ``entity`` of rows that share a URL or a provider id with others of their source. A missing key is shared with nothing."""
+    links = None
+    for key in ("provider_id", "url_canonical"):
+        keyed = rows.filter(F.col(key).isNotNull()).select("source", key, "row")
+        lead = checkpoint(keyed.groupBy("source", key).agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+        own = keyed.join(lead, ["source", key]).filter("row <> b").select(F.col("row").alias("a"), "b")
+        links = own if links is None else links.unionByName(own)
+    return components(links)
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Rows of entities with ``run``: one number for rows that follow each other with the same two keys."""
+    order = Window.partitionBy("entity").orderBy("row")
+    same = F.col("url_canonical").eqNullSafe(F.lag("url_canonical").over(order)) & F.col("provider_id").eqNullSafe(F.lag("provider_id").over(order)) & F.lag("row").over(order).isNotNull()
+    return rows.withColumn("_new", (~same).cast("int")).withColumn("run", F.sum("_new").over(order)).drop("_new")
+
+
+def _collapsed(rows: DataFrame) -> DataFrame:
+    """The first row of each run, and one row of what the others of the run would leave behind them, marked ``rest``.
+
+    A document that a run has found is found again by each of its rows, so a hot key is one pair of rows.
+    """
+    order = Window.partitionBy("entity", "run").orderBy("row")
+    marked = rows.withColumn("rest", F.lag("row").over(order).isNotNull())
+    fresh = ~F.col("rest") | (F.col("fulltext").isNotNull() & (F.col("url_canonical").isNull() | (F.col("fulltext") != "")))
+    texts = ("fulltext", "fulltext_source", "fulltext_fetched_at")
+    kept = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row"))).alias(c) for c in KEPT]
+    took = [F.max_by(c, F.when(fresh, F.col("row"))).alias(c) for c in texts]
+    same = [F.first(c).alias(c) for c in rows.columns if c not in ("entity", "run", "row", *KEPT, *texts)]
+    return marked.groupBy("entity", "run", "rest").agg(*same, *kept, *took, F.min("row").alias("row")).select(*rows.columns, "rest")
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Articles of one entity, one after another, as the store would take them."""
+    """Runs of one entity, one after another, as the store would take them."""
+    known = lambda x: x is not None and (isinstance(x, str) or not pd.isna(x))
+    by_url: dict[str, dict] = {}
+    by_id: dict[str, dict] = {}
     out: list[dict] = []
-    missing = lambda x: x is None or (not isinstance(x, str) and pd.isna(x))
+    own: dict | None = None
     for new in rows.sort_values("row").to_dict("records"):
-        url, fresh = new["url_canonical"], new["fulltext"]
-        by_url = next((r for r in out if not r["rejected"] and not missing(url) and r["url_canonical"] == url), None)
-        by_id = next((r for r in out if not r["rejected"] and r["provider_id"] == new["provider_id"]), None)
-        if by_url is not None and by_id is not None and by_id is not by_url:
+        url, key, text = new["url_canonical"], new["provider_id"], new["fulltext"]
+        if new["rest"]:
+            if own is not None:  # else the run was refused
+                own.update({c: new[c] for c in KEPT if known(new[c])})
+                own.update({c: new[c] for c in ("fulltext", "fulltext_source", "fulltext_fetched_at")} if known(text) else {})
+            continue
+        at_url, at_id = by_url.get(url) if known(url) else None, by_id.get(key) if known(key) else None
+        if at_url is not None and at_id is not None and at_id is not at_url:
             # Its provider id belongs to another document: the store would refuse it.
             out.append(new | {"rejected": True})
+            own = None
             continue
-        own = by_url if by_url is not None else by_id
+        own = at_url if at_url is not None else at_id
         if own is None:
-            out.append(new | {"rejected": False})
-            continue
-        own.update({c: new[c] for c in KEPT if not missing(new[c])})
-        if by_url is not None:
-            own.update(provider_id=new["provider_id"], url_canonical=url)
-            take = not missing(fresh) and fresh != ""
+            own = new | {"rejected": False}
+            out.append(own)
         else:
-            own.update({"url_canonical": url} if not missing(url) else {})
-            take = not missing(fresh)
-        if take:
-            own.update({c: new[c] for c in ("fulltext", "fulltext_source", "fulltext_fetched_at")})
+            own.update({c: new[c] for c in KEPT if known(new[c])})
+            if known(text) and (at_url is None or text != ""):
+                own.update({c: new[c] for c in ("fulltext", "fulltext_source", "fulltext_fetched_at")})
+            if at_url is not None and key != own["provider_id"]:
+                by_id.pop(own["provider_id"], None)
+                own["provider_id"] = key
+            if known(url) and url != own["url_canonical"]:
+                by_url.pop(own["url_canonical"], None)
+                own["url_canonical"] = url
+        if known(own["url_canonical"]):
+            by_url[own["url_canonical"]] = own
+        if known(own["provider_id"]):
+            by_id[own["provider_id"]] = own
     return pd.DataFrame(out, columns=[*rows.columns, "rejected"])
 
 
@@ -85,25 +130,26 @@ def upsert_articles(target: DataFrame, batch: DataFrame, *, now: str, merge_acro
     """(new target, rejects) after taking in the articles in the order of ``seq``.
 
     Within a source an article belongs to the document of its URL, else to that of
-    its provider id. Rows without a partner in the batch or target need no fold.
+    its provider id; a missing URL or id is no key. Rows without a partner in the batch or
+    target need no fold, and rows that follow each other with the same keys are one.
     """
     new = prepare_articles(batch).withColumn("fulltext_fetched_at", F.when(F.col("fulltext").isNotNull(), F.lit(now).cast("timestamp")))
-    # Stored rows come before new ones.
-    old = target.select(*ARTICLE).withColumn("row", F.xxhash64("source", "provider_id").bitwiseAND(F.lit(2**61 - 1)) - F.lit(2**62))
+    # Stored rows come before new ones; nothing else depends on their numbers.
+    old = target.select(*ARTICLE).withColumn("row", F.monotonically_increasing_id() - F.lit(2**62))
     rows = old.unionByName(new.select(*ARTICLE, F.col("seq").cast("long").alias("row")))
     if merge_across_sources:
         rows = rows.withColumn("_source", F.col("source")).withColumn("source", F.lit("*"))
     rows = checkpoint(rows)
-    grouped = rows.join(_entities(rows), "row")
-    size = F.count(F.lit(1)).over(Window.partitionBy("entity"))
-    grouped = grouped.withColumn("_size", size)
-    single = grouped.filter("_size = 1").drop("_size", "entity").withColumn("rejected", F.lit(False))
-    schema = single.schema
-    many = grouped.filter("_size > 1").drop("_size").groupBy("entity").applyInPandas(lambda pdf: _fold(pdf.drop(columns="entity")), schema)
-    found = single.unionByName(many)
+    entities = checkpoint(_entities(rows))
+    single = rows.join(entities, "row", "left_anti")
+    many = checkpoint(_runs(rows.join(entities, "row")))
+    input_ = _collapsed(many)
+    folded = checkpoint(input_.groupBy("entity").applyInPandas(_fold, input_.withColumn("rejected", F.lit(False)).schema))
+    found = single.unionByName(folded.filter("not rejected").select(*rows.columns))
+    refused = many.join(folded.filter("rejected").select("entity", "run"), ["entity", "run"], "left_semi").select(*rows.columns)
     if merge_across_sources:
-        found = found.withColumn("source", F.col("_source")).drop("_source")
-    return found.filter("not rejected").drop("rejected", "row"), found.filter("rejected").drop("rejected", "row").withColumn("reason", F.lit("provider_id belongs to another document"))
+        found, refused = (x.withColumn("source", F.col("_source")).drop("_source") for x in (found, refused))
+    return found.drop("row"), refused.drop("row").withColumn("reason", F.lit("provider_id belongs to another document"))
 
 
 def upsert_highlights(target: DataFrame, batch: DataFrame) -> DataFrame:

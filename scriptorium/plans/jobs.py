@@ -7,16 +7,28 @@ from pyspark.sql import functions as F
 
 from scriptorium.durable import checkpoint
 from scriptorium.functions.html import extract_text
+from scriptorium.functions.text import blank_to_null
 from scriptorium.operators import chunking, clustering, embedding, fulltext, library, maintenance, stats
 
 
-def sync(docs: DataFrame, batch: DataFrame, chunks: DataFrame, embeddings: DataFrame, embedder: embedding.Embedder, *, provider: str, model: str, now: str) -> dict[str, DataFrame]:
-    """Import, chunk, embed and index. Returns documents, rejects, new chunks, new embeddings and postings."""
-    stored, rejected = maintenance.upsert_articles(docs, batch, now=now)
+def sync(
+    docs: DataFrame, batch: DataFrame, chunks: DataFrame, embeddings: DataFrame, embedder: embedding.Embedder, *, provider: str, model: str, now: str, highlights: DataFrame | None = None, new_highlights: DataFrame | None = None, price: float = 0.0
+) -> dict[str, DataFrame]:
+    """Import, chunk, embed and index. Returns documents, rejects, new chunks, new embeddings, usage and postings.
+
+    Articles without text get that of their HTML. With ``highlights`` (the table) and ``new_highlights`` (with source,
+    parent_id and seq) also the new highlight table, each highlight at the document of its parent.
+    """
+    text = F.coalesce(blank_to_null(F.col("fulltext")), extract_text(F.col("fulltext_html")))
+    stored, rejected = maintenance.upsert_articles(docs, batch.withColumn("fulltext", text), now=now)
     keyed = checkpoint(stored.withColumn("id", F.xxhash64("source", "provider_id")))
     new_chunks, vectors = embedding.embed_chunks(keyed, chunks, embeddings, embedder, provider=provider, model=model)
     postings = fulltext.build_postings(keyed, ["title", "author", "fulltext", "summary"], id_col="id")
-    return {"documents": keyed, "rejects": rejected, "chunks": new_chunks, "embeddings": vectors, "postings": postings}
+    done = {"documents": keyed, "rejects": rejected, "chunks": new_chunks, "embeddings": vectors, "usage": embedding.usage_events(vectors, "embed", price, now), "postings": postings}
+    if highlights is not None and new_highlights is not None:
+        owner = keyed.select("source", F.col("provider_id").alias("parent_id"), F.col("id").alias("document_id"))
+        done["highlights"] = maintenance.upsert_highlights(highlights, new_highlights.join(owner, ["source", "parent_id"]).drop("source", "parent_id"))
+    return done
 
 
 def process_fetches(docs: DataFrame, captured: DataFrame, failures: DataFrame, *, job_id: str, now: str) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.durable import shared_folder
@@ -238,14 +238,13 @@ def c09(spark, sf_dir):
 @query("d02_embedding_chunk_document", t.with_tables("docs chunks emb", "SELECT e.id, c.id AS chunk_id, d.title FROM emb e JOIN chunks c ON c.id = e.chunk_id JOIN docs d ON d.id = c.document_id"))
 def d02(spark, sf_dir):
     c, d = t.chunks(spark, sf_dir), t.documents(spark, sf_dir)
-    own = t.embeddings(spark, sf_dir).filter("chunk_id is not null").select("id", "chunk_id")
-    return own.join(c.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id").join(d.select(F.col("id").alias("document_id"), "title"), "document_id").select("id", "chunk_id", "title")
+    found = library.embedded_chunks(t.embeddings(spark, sf_dir), t.chunks(spark, sf_dir), t.documents(spark, sf_dir), "title")
+    return found.select("id", "chunk_id", F.col("document_title").alias("title"))
 
 
 @query("d04_chunk_counts", t.with_tables("docs chunks", "SELECT docs.id, count(chunks.id) AS n_chunks FROM docs LEFT JOIN chunks ON chunks.document_id = docs.id GROUP BY docs.id"))
 def d04(spark, sf_dir):
-    c = t.chunks(spark, sf_dir).groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return t.documents(spark, sf_dir).join(c, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+    return library.chunk_counts(t.documents(spark, sf_dir), t.chunks(spark, sf_dir))
 
 
 @query("d05_without_embedding", t.with_tables("chunks emb", "SELECT id FROM chunks WHERE id NOT IN (SELECT chunk_id FROM emb WHERE model = 'odd' AND chunk_id IS NOT NULL)"))
@@ -275,9 +274,9 @@ def d10(spark, sf_dir):
     return library.citations(cited, t.documents(spark, sf_dir), topic_id=1).select("chunk_id", "document_id", "title")
 
 
-@query("e02_library_stats", t.with_tables("docs highlights", "SELECT count(*) AS documents, CAST(sum(word_count) AS BIGINT) AS total_words, count(DISTINCT category) AS categories, (SELECT count(*) FROM highlights) AS highlights FROM docs"))
+@query("e02_library_stats", t.with_tables("docs highlights", "SELECT count(*) AS documents, CAST(sum(word_count) AS BIGINT) AS total_words, count(DISTINCT category) AS categories, round_even(sum(word_count) / 250.0 / 60.0, 1)::DOUBLE AS reading_hours, (SELECT count(*) FROM highlights) AS highlights FROM docs"))
 def e02(spark, sf_dir):
-    return stats.library_stats(t.documents(spark, sf_dir), t.highlights(spark, sf_dir)).drop("reading_hours")
+    return stats.library_stats(t.documents(spark, sf_dir), t.highlights(spark, sf_dir)).withColumn("reading_hours", F.col("reading_hours").cast("double"))
 
 
 @query("e03_category_counts", t.with_tables("docs", "SELECT coalesce(category, 'article') AS category, count(*) AS n FROM docs GROUP BY 1"))
@@ -335,10 +334,10 @@ def e12(spark, sf_dir):
     return stats.distinct_categories(t.documents(spark, sf_dir))
 
 
-@query("e14_digest_cost", t.with_tables("docs chunks", f"""SELECT chunks, 'gpt-4.1-mini' AS model, (chunks * 200 + 2000) * 2 AS tokens_in, 3500 AS tokens_out, round_even((chunks * 200 + 2000) * 2 / 1e6 * 0.4, 4) AS input_cost_usd, 0.0056::DOUBLE AS output_cost_usd
+@query("e14_digest_cost", t.with_tables("docs chunks", f"""SELECT chunks, 'gpt-4.1-mini' AS model, (chunks * 200 + 2000) * 2 AS tokens_in, 3500 AS tokens_out, round_even((chunks * 200 + 2000) * 2 / 1e6 * 0.4, 4) AS input_cost_usd, 0.0056::DOUBLE AS output_cost_usd, round((chunks * 200 + 2000) * 2 / 1e6 * 0.4 + 0.0056, 3)::DOUBLE AS total_cost_usd
     FROM (SELECT count(*) AS chunks FROM docs d JOIN chunks c ON c.document_id = d.id WHERE d.saved_at BETWEEN DATE '{FIRST}' AND DATE '{LAST}')"""))
 def e14(spark, sf_dir):
-    return stats.digest_cost(stats.range_counts(t.documents(spark, sf_dir), t.chunks(spark, sf_dir), FIRST, LAST).select("chunks")).drop("total_cost_usd")
+    return stats.digest_cost(stats.range_counts(t.documents(spark, sf_dir), t.chunks(spark, sf_dir), FIRST, LAST).select("chunks")).withColumn("total_cost_usd", F.round("total_cost_usd", 3))
 
 
 @query("e18_run_counters", "SELECT CAST(user_id % 10 AS VARCHAR) AS job_id, 'run' AS phase, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY 1")
@@ -347,10 +346,11 @@ def e18(spark, sf_dir):
     return stats.run_counters(e, ["view", "error"])
 
 
-@query("f02_next_versions", t.with_tables("chunks", "SELECT document_id AS draft_id, chunk_index AS seq, CAST(3 + row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS INTEGER) AS version_index FROM chunks WHERE chunk_index > 2 AND document_id % 2 = 0"))
+@query("f02_next_versions", t.with_tables("chunks", "SELECT document_id AS draft_id, chunk_index AS seq, CAST(CASE WHEN document_id % 2 = 0 THEN 3 ELSE 0 END + row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS INTEGER) AS version_index FROM chunks WHERE chunk_index > 2"))
 def f02(spark, sf_dir):
-    c = t.chunks(spark, sf_dir).filter("document_id % 2 = 0")
-    old = c.filter("chunk_index <= 2").select(F.col("document_id").alias("draft_id"), F.lit(3).alias("version_index"))
+    c = t.chunks(spark, sf_dir)
+    # Every second document has stored versions, the others start anew.
+    old = c.filter("chunk_index <= 2 and document_id % 2 = 0").select(F.col("document_id").alias("draft_id"), F.lit(3).alias("version_index"))
     new = c.filter("chunk_index > 2").select(F.col("document_id").alias("draft_id"), F.col("chunk_index").alias("seq"))
     return library.next_versions(old, new).select("draft_id", "seq", "version_index")
 
@@ -389,14 +389,40 @@ _RANKED = ["ontion", "thing"]
 
 @query("g04_search_ranked", _BM25.replace("@words", ", ".join(f"'{w}'" for w in _RANKED)).replace("@n", "2"))
 def g04(spark, sf_dir):
+    return fulltext.search_texts(t.table(spark, sf_dir, "documents"), ["text"], _RANKED, limit=20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("g04_search_postings", _BM25.replace("@words", ", ".join(f"'{w}'" for w in _RANKED)).replace("@n", "2"))
+def g04_postings(spark, sf_dir):
     postings = fulltext.build_postings(t.table(spark, sf_dir, "documents"), ["text"])
     return fulltext.search(postings, _RANKED, limit=20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("g04_search_phrase", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)')")
 def g04_phrase(spark, sf_dir):
-    postings = fulltext.build_postings(t.table(spark, sf_dir, "documents"), ["text"])
-    return fulltext.search(postings, [], phrase=["of", "the"], limit=None).select("doc_id")
+    return fulltext.search_texts(t.table(spark, sf_dir, "documents"), ["text"], [], phrase=["of", "the"], limit=None).select("doc_id")
+
+
+@query("g04_search_marks", f"WITH {_TOK} SELECT DISTINCT doc_id FROM tok WHERE term = 'les' INTERSECT SELECT doc_id FROM tok WHERE term = 'reux'")
+def g04_marks(spark, sf_dir):
+    return fulltext.search_texts(t.table(spark, sf_dir, "documents"), ["text"], fulltext.query_words("Lés, RÊUX!"), limit=None).select("doc_id")
+
+
+@query("g04_search_prefix_exclude", f"WITH {_TOK} SELECT DISTINCT doc_id FROM tok WHERE starts_with(term, 'und') EXCEPT SELECT doc_id FROM tok WHERE term = 'the'")
+def g04_prefix(spark, sf_dir):
+    return fulltext.search_texts(t.table(spark, sf_dir, "documents"), ["text"], ["und"], prefix=True, exclude=["the"], limit=None).select("doc_id")
+
+
+@query("g04_search_column", t.with_tables("docs", "SELECT id AS doc_id FROM docs WHERE list_contains(regexp_extract_all(lower(title), '[a-zß-ÿ]+'), 'the')"))
+def g04_column(spark, sf_dir):
+    return fulltext.search_texts(t.documents(spark, sf_dir), ["title", "fulltext"], ["the"], id_col="id", columns=["title"], limit=None).select("doc_id")
+
+
+@query("d01_search_documents", _BM25.replace("@words", ", ".join(f"'{w}'" for w in _RANKED)).replace("@n", "2").replace("SELECT doc_id, round(score, 6) AS score FROM hit", "SELECT row_number() OVER (ORDER BY hit.score DESC, doc_id) AS position, doc_id, lang, source, text FROM hit JOIN documents USING (doc_id)"))
+def d01(spark, sf_dir):
+    found = fulltext.search_documents(t.table(spark, sf_dir, "documents"), ["text"], " Ontion, THING? ", limit=20)
+    # The order of the rows is the result: numbers given in that order.
+    return found.select("doc_id", "lang", "source", "text", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long").alias("position"))
 
 
 @query("g05_search_substring", t.with_tables("docs", "SELECT id FROM docs WHERE contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'thing') OR contains(translate(fulltext, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'thing') ORDER BY saved_at DESC NULLS LAST, id DESC LIMIT 50"))
@@ -427,16 +453,25 @@ def g07(spark, sf_dir):
     return knn.nearest_filtered(t.embeddings(spark, sf_dir), _query_vector(spark, sf_dir), 10, where).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query("g08_search_chunks")
+_HIT = """q AS (SELECT embedding AS v FROM emb WHERE id = 0),
+    hit AS (SELECT e.id AS embedding_id, e.chunk_id, c.document_id, c.chunk_index, c.chunk_text, list_distance(e.embedding, q.v) AS d FROM emb e JOIN chunks c ON c.id = e.chunk_id, q)"""
+
+
+@query("g08_search_chunks", t.with_tables("docs chunks emb", f"""SELECT h.embedding_id, h.chunk_id, d.title, round(h.d, 6) AS distance,
+    coalesce((SELECT string_agg(o.chunk_text, chr(10) ORDER BY o.chunk_index) FROM chunks o WHERE o.document_id = h.document_id AND o.chunk_index = h.chunk_index - 1), '') AS context_before,
+    coalesce((SELECT string_agg(o.chunk_text, chr(10) ORDER BY o.chunk_index) FROM chunks o WHERE o.document_id = h.document_id AND o.chunk_index = h.chunk_index + 1), '') AS context_after
+    FROM (SELECT * FROM hit WHERE embedding_id IN (SELECT id FROM emb, q WHERE chunk_id IS NOT NULL ORDER BY list_distance(embedding, v), id LIMIT 10)) h JOIN docs d ON d.id = h.document_id""").replace("\nSELECT h.", f",\n{_HIT}\nSELECT h."))
 def g08(spark, sf_dir):
     found = knn.search_chunks(t.embeddings(spark, sf_dir), t.chunks(spark, sf_dir), t.documents(spark, sf_dir), _query_vector(spark, sf_dir))
     return found.select("embedding_id", "chunk_id", "title", F.round("distance", 6).alias("distance"), "context_before", "context_after")
 
 
-@query("g09_search_library")
+@query("g09_search_library", t.with_tables("docs chunks emb", """SELECT f.document_id, f.embedding_id, round(f.d, 6) AS distance, (SELECT count(*) FROM r WHERE r.document_id = f.document_id AND r.k BETWEEN 2 AND 4 AND (r.d, r.embedding_id) <= ALL (SELECT (s.d, s.embedding_id) FROM stop s)) AS n_others FROM f""").replace("\nSELECT f.", f""",\n{_HIT},
+    near AS (SELECT * FROM hit WHERE document_id IN (SELECT id FROM docs) ORDER BY d, embedding_id LIMIT 50), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY d, embedding_id) AS k FROM near),
+    f AS (SELECT * FROM r WHERE k = 1 ORDER BY d, embedding_id LIMIT 10), stop AS (SELECT d, embedding_id FROM f WHERE (SELECT count(*) FROM f) >= 10 ORDER BY d DESC, embedding_id DESC LIMIT 1)\nSELECT f."""))
 def g09(spark, sf_dir):
     found = knn.search_library(t.embeddings(spark, sf_dir), t.chunks(spark, sf_dir), t.documents(spark, sf_dir), _query_vector(spark, sf_dir), limit=10)
-    return found.select("document_id", "embedding_id", F.round("distance", 6).alias("distance"), F.coalesce(F.array_size("other_hits"), F.lit(0)).alias("n_others"))
+    return found.select("document_id", "embedding_id", F.round("distance", 6).alias("distance"), F.coalesce(F.array_size("other_hits"), F.lit(0)).cast("long").alias("n_others"))
 
 
 @query("f01_best_per_document", """WITH hit AS (SELECT a.vec_id, a.label, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b),
@@ -449,9 +484,28 @@ def f01(spark, sf_dir):
     return knn.best_per_document(hits, doc_col="label", id_col="vec_id", limit=5).select("label", "vec_id", F.round("distance", 6).alias("distance"), F.coalesce(F.array_size("other_hits"), F.lit(0)).cast("long").alias("n_others"))
 
 
+def _asked(spark, sf_dir):
+    return t.table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("g06_nearest_ties", """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN [0.0, 1.0] ELSE [CAST(vec_id % 7 AS DOUBLE), 0.0] END AS v FROM embeddings), q(query_id, w) AS (VALUES (1, [0.0, 1.0]), (2, [3.0, 0.0]))
+    SELECT query_id, vec_id FROM e, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_distance(v, w), vec_id) <= 40""")
+def g06_ties(spark, sf_dir):
+    e = t.table(spark, sf_dir, "embeddings").selectExpr("vec_id", "CASE WHEN vec_id % 3 = 0 THEN array(0D, 1D) ELSE array(double(vec_id % 7), 0D) END AS v")
+    asked = spark.sql("SELECT * FROM VALUES (1, array(0D, 1D)), (2, array(3D, 0D)) AS t(query_id, vector)")
+    return knn.nearest_many(e, asked, 40, id_col="vec_id", vector_col="v", vector_block=300).select("query_id", "vec_id")
+
+
 @query("g10_nearest_approximate")
 def g10(spark, sf_dir):
-    return knn.nearest_approximate(t.table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 10, id_col="vec_id")
+    return knn.nearest_approximate(t.table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 10, id_col="vec_id")
+
+
+@query("g10_recall", "SELECT count(*) FILTER (vec_id % 50 = 0) AS n_queries, true AS reached FROM embeddings")
+def g10_recall(spark, sf_dir):
+    e, asked = t.table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)
+    found = knn.recall(knn.nearest_many(e, asked, 10, id_col="vec_id"), knn.nearest_approximate(e, asked, 10, id_col="vec_id"), id_col="vec_id", query_col="query_id")
+    return asked.agg(F.count(F.lit(1)).alias("n_queries")).crossJoin(found.select((F.col("recall") >= 0.9).alias("reached")))
 
 
 @query("g11_duplicate_ratio", "SELECT 1 - count(DISTINCT text)::DOUBLE / count(*) AS duplicate_ratio, 1 - count(DISTINCT text)::DOUBLE / count(*) <= 0.1 AS acceptable FROM documents WHERE text <> ''")
@@ -482,24 +536,62 @@ def _article_batch(spark, sf_dir):
     )
 
 
-@query("h01_upsert_articles")
+def _stored_articles(spark, sf_dir):
+    """Every second page is stored already, under an old title and with text."""
+    old = _article_batch(spark, sf_dir).filter("seq % 2 = 0").withColumns({"title": F.lit("old"), "provider_id": F.concat(F.lit("s"), F.col("seq").cast("string")), "author": F.lit("known"), "fulltext": F.lit("stored")})
+    return maintenance.prepare_articles(old).withColumn("fulltext_fetched_at", F.lit(NOW).cast("timestamp")).drop("seq")
+
+
+def _new_articles(spark, sf_dir):
+    """Every page once more: the stored ones by their URL, the others by a provider id, which every fifth lacks; and then each again."""
+    b = _article_batch(spark, sf_dir).withColumn("provider_id", F.when(F.col("seq") % 5 != 0, F.concat(F.lit("n"), F.col("seq").cast("string"))))
+    again = b.withColumns({"title": F.concat(F.lit("again "), F.col("seq").cast("string")), "seq": F.col("seq") + 10_000_000})
+    return b.unionByName(again)
+
+
+_UPSERTED = rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(replace({_BARE}, '//www.', '//'), ';[^/]*$', ''), '/+$', '') AS url, url AS raw FROM pages),
+    u AS (SELECT url, max(page_id) AS page_id, arg_max(CASE WHEN page_id % 3 = 0 THEN raw END, page_id) AS text, bool_or(page_id % 2 = 0) AS stored FROM p GROUP BY url)
+    SELECT url AS url_canonical, CASE WHEN page_id % 5 <> 0 THEN 'n' || page_id END AS provider_id, 'again ' || page_id AS title, CASE WHEN stored THEN 'known' END AS author, coalesce(text, CASE WHEN stored THEN 'stored' END) AS fulltext FROM u"""
+
+
+@query("h01_upsert_articles", _UPSERTED)
 def h01(spark, sf_dir):
-    batch = _article_batch(spark, sf_dir)
-    stored, _ = maintenance.upsert_articles(maintenance.prepare_articles(batch).withColumn("fulltext_fetched_at", F.lit(None).cast("timestamp")).limit(0), batch, now=NOW)
-    return stored.select("source", "provider_id", "url_canonical", "title", "category")
+    stored, _ = maintenance.upsert_articles(_stored_articles(spark, sf_dir), _new_articles(spark, sf_dir), now=NOW)
+    return stored.select("url_canonical", "provider_id", "title", "author", "fulltext")
+
+
+@query("h02_upsert_across_sources", rf"SELECT count(DISTINCT regexp_replace(regexp_replace(replace({_BARE}, '//www.', '//'), ';[^/]*$', ''), '/+$', '')) AS documents FROM pages")
+def h02(spark, sf_dir):
+    new = _new_articles(spark, sf_dir).withColumn("source", F.when(F.col("seq") % 2 == 0, "web").otherwise("feed"))
+    return maintenance.upsert_articles(_stored_articles(spark, sf_dir), new, now=NOW, merge_across_sources=True)[0].agg(F.count(F.lit(1)).alias("documents"))
+
 
+_HASH = r"substr(sha256(trim(regexp_replace(nfc_normalize(text), '[\s\x{0085}\x{00A0}]+', ' ', 'g'))), 1, 16)"
+_TWICE = f"""WITH n AS (SELECT conv_id % 50 AS document_id, text, conv_id * 1000 + turn AS seq, role, {_HASH} AS text_hash FROM conversations),
+    every AS (SELECT *, CASE WHEN role = 'user' THEN role END AS note FROM n UNION ALL SELECT document_id, text, -1, role, text_hash, 'stored' FROM n WHERE seq % 2 = 0)
+    SELECT document_id, text_hash, arg_max(text, seq) AS text, coalesce(arg_max(note, seq) FILTER (note IS NOT NULL AND seq >= 0), max(note) FILTER (seq < 0)) AS note FROM every GROUP BY 1, 2"""
 
-@query("h03_upsert_highlights", r"SELECT document_id, text_hash, arg_max(text, seq) AS text FROM (SELECT conv_id % 50 AS document_id, text, conv_id * 1000 + turn AS seq, substr(sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 16) AS text_hash FROM conversations) GROUP BY 1, 2")
+
+def _highlight_batch(spark, sf_dir):
+    c = t.table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") % 50).alias("document_id"), "text", F.when(F.col("role") == "user", F.col("role")).alias("note"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+
+
+def _stored_highlights(spark, sf_dir):
+    old = _highlight_batch(spark, sf_dir).filter("seq % 2 = 0").withColumn("text_hash", text.text_hash(F.col("text")))
+    return old.groupBy("document_id", "text_hash").agg(F.max_by("text", "seq").alias("text"), F.lit("stored").alias("note"))
+
+
+@query("h03_upsert_highlights", _TWICE)
 def h03(spark, sf_dir):
-    c = t.table(spark, sf_dir, "conversations").select((F.col("conv_id") % 50).alias("document_id"), "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
-    old = c.filter("false").withColumn("text_hash", F.lit("")).drop("seq")
-    return maintenance.upsert_highlights(old, c)
+    return maintenance.upsert_highlights(_stored_highlights(spark, sf_dir), _highlight_batch(spark, sf_dir))
 
 
-@query("h04_upsert_failures", "SELECT user_id AS document_id, arg_max(event_type, event_id) AS error_type, CAST(count(*) - 1 AS INTEGER) AS retry_count FROM events GROUP BY 1")
+@query("h04_upsert_failures", t.with_tables("failures", """SELECT coalesce(n.document_id, f.document_id) AS document_id, coalesce(n.error_type, f.error_type) AS error_type, CAST(CASE WHEN f.document_id IS NULL THEN n.k - 1 ELSE coalesce(n.k, 0) END AS INTEGER) AS retry_count
+    FROM failures f FULL JOIN (SELECT user_id AS document_id, arg_max(event_type, event_id) AS error_type, count(*) AS k FROM events GROUP BY 1) n ON n.document_id = f.document_id"""))
 def h04(spark, sf_dir):
     e = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.lit("j").alias("job_id"), F.lit("u").alias("url"), F.col("event_type").alias("error_type"), F.lit("").alias("error_message"), F.lit(0).alias("http_status"), F.col("ts").cast("timestamp").alias("last_attempt"), F.col("event_id").alias("seq"))
-    return maintenance.upsert_failures(t.failures(spark, sf_dir).limit(0), e).select("document_id", "error_type", "retry_count")
+    return maintenance.upsert_failures(t.failures(spark, sf_dir), e).select("document_id", "error_type", "retry_count")
 
 
 @query("h05_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -570,7 +662,10 @@ def j05(spark, sf_dir):
     return clustering.sample_prompts(c.select(F.col("role").alias("cluster"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("conv_id").cast("string").alias("title"), F.col("text").alias("chunk_text")))
 
 
-@query("j06_topic_terms")
+@query("j06_topic_terms", rf"""WITH t AS (SELECT lang AS cluster, unnest(regexp_extract_all(translate(lower(text), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
+    tf AS (SELECT cluster, term, count(*) AS tf FROM t WHERE length(term) >= 4 GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    w AS (SELECT cluster, term, round(tf * ln((1 + (SELECT count(DISTINCT lang) FROM documents)) / df), 6) AS weight FROM tf JOIN df USING (term)), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS k FROM w)
+    SELECT cluster, string_agg(term, ',' ORDER BY k) AS terms FROM r WHERE k <= 5 GROUP BY 1""")
 def j06(spark, sf_dir):
     d = t.table(spark, sf_dir, "documents").select(F.col("lang").alias("cluster"), F.col("text").alias("chunk_text"))
     return clustering.topic_terms(d).select("cluster", F.array_join("terms", ",").alias("terms"))
@@ -676,7 +771,7 @@ def i01(spark, sf_dir):
 @query("j04_cluster_members", "SELECT label AS cluster, count(*) AS n_chunks, min(vec_id) AS first_id FROM embeddings GROUP BY 1")
 def j04(spark, sf_dir):
     e = t.table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"))
-    return clustering.cluster_members(e).select("cluster", "n_chunks", F.get("chunk_ids", F.lit(0)).alias("first_id"))
+    return clustering.cluster_members(e).select("cluster", "n_chunks", "first_id")
 
 
 @query("j08_topic_overview", "SELECT string_agg('**' || r_name || '** (' || r_regionkey || ' Chunks)' || chr(10) || 'about ' || r_name || chr(10) || '- a' || chr(10) || '- b', chr(10) || chr(10) ORDER BY r_regionkey) AS overview FROM region")
@@ -701,22 +796,151 @@ def k04(spark, sf_dir):
     return spark.read.parquet(f"{folder}/chunks")
 
 
-@query("m01_sync")
+@query("m01_sync", _UPSERTED.replace("url AS raw FROM pages", "url AS raw FROM pages").replace("SELECT url AS url_canonical, ", "SELECT "))
 def m01(spark, sf_dir):
-    batch = _article_batch(spark, sf_dir)
-    empty = maintenance.prepare_articles(batch).withColumn("fulltext_fetched_at", F.lit(None).cast("timestamp")).limit(0)
-    done = jobs.sync(empty, batch, t.chunks(spark, sf_dir), t.embeddings(spark, sf_dir), embedding.hashing_embedder(), provider="local", model="hash", now=NOW)
-    return done["documents"].select("source", "provider_id", "title")
+    done = jobs.sync(_stored_articles(spark, sf_dir), _new_articles(spark, sf_dir), t.chunks(spark, sf_dir), t.embeddings(spark, sf_dir), embedding.hashing_embedder(), provider="local", model="hash", now=NOW)
+    return done["documents"].select("provider_id", "title", "author", "fulltext")
 
 
-@query("m02_process_fetches")
+@query("m02_process_fetches", "SELECT count(*) AS processed, count(*) FILTER (page_id % 6 <> 0) AS succeeded, count(*) FILTER (page_id % 6 = 0) AS failed FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 13 = 0)")
 def m02(spark, sf_dir):
     p = t.pages(spark, sf_dir)
     docs = p.select(F.col("page_id").alias("id"), F.col("url").alias("url_original"), F.lit(None).cast("string").alias("fulltext"), F.lit(None).cast("string").alias("fulltext_source"), F.lit(None).cast("timestamp").alias("fulltext_fetched_at"))
-    captured = p.dropDuplicates(["url"]).select("url", F.when(F.col("page_id") % 6 == 0, 404).otherwise(200).alias("http_status"), F.lit(1000).alias("content_length"), "html", F.lit(None).cast("string").alias("error_kind"))
-    return jobs.process_fetches(docs, captured, t.failures(spark, sf_dir).limit(0), job_id="j", now=NOW)["counters"]
+    # A page of its own for each document, with a paragraph that is long enough.
+    page = F.concat(F.lit("<p>"), F.repeat(F.lit("A plain sentence. "), F.lit(20)), F.lit("</p>"), "html")
+    docs = docs.withColumn("url_original", F.concat(F.lit("https://pages.example/"), F.col("id").cast("string")))
+    captured = p.select(F.concat(F.lit("https://pages.example/"), F.col("page_id").cast("string")).alias("url"), F.when(F.col("page_id") % 6 == 0, 404).otherwise(200).alias("http_status"), F.lit(1000).alias("content_length"), page.alias("html"), F.lit(None).cast("string").alias("error_kind"))
+    return jobs.process_fetches(docs, captured, t.failures(spark, sf_dir), job_id="j", now=NOW)["counters"]
 
 
 @query("m04_library_page", t.with_tables("docs", "SELECT coalesce(category, 'article') AS category, count(*) AS n FROM docs GROUP BY 1"))
 def m04(spark, sf_dir):
     return jobs.library_page(t.documents(spark, sf_dir), t.highlights(spark, sf_dir))["facets"]
+
+
+def _landed(spark, rows, name, size=40):
+    """Records as landed JSON pages of ``size`` or so, in the shared folder."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    key = F.pmod(F.xxhash64(F.to_json(F.struct(*rows.columns))), F.lit(max(1, rows.count() // size)))
+    rows.groupBy(key.alias("k")).agg(F.collect_list(F.struct(*rows.columns)).alias("results")).select("results").write.json(folder)
+    spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.mode("append").text(folder)
+    return folder
+
+
+@query("a01_document_feed", """SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 5 = 4 THEN CAST(page_id - 1 AS VARCHAR) END AS parent_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CASE WHEN page_id % 5 = 4 THEN 'highlight' ELSE 'article' END AS category, page_id AS word_count FROM pages""")
+def a01(spark, sf_dir):
+    return feeds.read_document_feed(spark, _landed(spark, _page_feed(spark, sf_dir), "documents")).select("id", "parent_id", "url", "title", "category", "word_count")
+
+
+@query("a14_valid_embeddings", t.with_tables("emb", "SELECT id FROM emb WHERE id % 7 <> 0 AND (document_id IS NOT NULL OR chunk_id IS NOT NULL)"))
+def a14(spark, sf_dir):
+    e = t.embeddings(spark, sf_dir)
+    none = lambda c: F.when(F.col("id") % 7 != 0, F.col(c)).alias(c)
+    return sinks.valid_embeddings(e.select("id", none("document_id"), none("chunk_id"))).select("id")
+
+
+def _book_feed(spark, sf_dir):
+    """Conversations as books: assistant turns are highlights, every fourth book has no source."""
+    c = t.table(spark, sf_dir, "conversations")
+    h = F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("book_id"), "text", F.lit(None).cast("string").alias("note"), F.lit("2024-02-03T04:05:06Z").alias("highlighted_at"))
+    books = c.groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "assistant", h)).alias("highlights"))
+    k, none = F.col("conv_id"), F.lit(None).cast("string")
+    return books.select(k.alias("user_book_id"), F.when(k % 4 != 0, "kindle").otherwise("").alias("source"), F.when(k % 3 != 0, F.concat(F.lit("https://books.example/"), k.cast("string"))).alias("source_url"), F.concat(F.lit("https://unique.example/"), k.cast("string")).alias("unique_url"),
+                        F.concat(F.lit("Book "), k.cast("string")).alias("title"), none.alias("author"), none.alias("summary"), F.lit("books").alias("category"), none.alias("cover_image_url"), F.lit("2024-02-03T04:05:06Z").alias("last_highlight_at"), F.when(k % 2 == 0, "2024-03-01T00:00:00Z").otherwise("").alias("updated"), "highlights")
+
+
+@query("a06_books", """SELECT DISTINCT 'export:' || conv_id AS item_id, CASE WHEN conv_id % 4 <> 0 THEN 'kindle' ELSE 'export' END AS source, CASE WHEN conv_id % 3 <> 0 THEN 'https://books.example/' ELSE 'https://unique.example/' END || conv_id AS url_original, 'Book ' || conv_id AS title,
+    TIMESTAMP '2024-02-03 04:05:06' AS published_at, CASE WHEN conv_id % 2 = 0 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-02-03 04:05:06' END AS saved_at FROM conversations""")
+def a06(spark, sf_dir):
+    feed = feeds.read_book_feed(spark, _landed(spark, _book_feed(spark, sf_dir), "books"))
+    return feeds.books(feed).select("item_id", "source", "url_original", "title", "published_at", "saved_at")
+
+
+@query("a07_book_highlights", "SELECT CAST(conv_id AS VARCHAR) AS parent_id, CAST(conv_id * 1000 + turn AS VARCHAR) AS provider_highlight_id, text, CASE WHEN conv_id % 4 <> 0 THEN 'kindle' ELSE 'export' END AS provider, TIMESTAMP '2024-02-03 04:05:06' AS highlighted_at FROM conversations WHERE role = 'assistant'")
+def a07(spark, sf_dir):
+    feed = feeds.read_book_feed(spark, _landed(spark, _book_feed(spark, sf_dir), "books"))
+    return feeds.book_highlights(feed).select("parent_id", "provider_highlight_id", "text", "provider", "highlighted_at")
+
+
+@query("a05_feed_highlights", """SELECT CAST(page_id - 1 AS VARCHAR) AS parent_id, CAST(page_id AS VARCHAR) AS provider_highlight_id, CASE WHEN page_id % 3 = 0 THEN 'said ' || page_id ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS text, TIMESTAMP '2024-03-01' AS highlighted_at, 'reader' AS provider FROM pages WHERE page_id % 5 = 4""")
+def a05(spark, sf_dir):
+    feed = _page_feed(spark, sf_dir).withColumn("content", F.when(F.col("id").cast("long") % 3 == 0, F.concat(F.lit("said "), "id")).otherwise(F.lit("")))
+    return feeds.feed_highlights(feed).select("parent_id", "provider_highlight_id", "text", "highlighted_at", "provider")
+
+
+@query("a16_append_usage", t.with_tables("usage", "SELECT model, count(*) AS calls, CAST(sum(tokens_input) AS BIGINT) AS tokens_input FROM usage GROUP BY 1"))
+def a16(spark, sf_dir):
+    """Two appends to a partitioned usage table, read back."""
+    folder, u = f"{shared_folder(spark)}/usage-{uuid.uuid4().hex}", t.usage(spark, sf_dir)
+    for part in (u.filter("success"), u.filter("not success")):
+        sinks.append(part, folder, ["provider"])
+    return spark.read.parquet(folder).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_input").alias("tokens_input"))
+
+
+@query("b08_reading_hours", "SELECT doc_id, round_even(n_chars / 250.0 / 60.0, 1)::DOUBLE AS hours FROM documents")
+def b08(spark, sf_dir):
+    return t.table(spark, sf_dir, "documents").select("doc_id", text.reading_hours(F.col("n_chars")).cast("double").alias("hours"))
+
+
+@query("b27_split_list", "SELECT doc_id, 3 AS n, source || '|' || lang || '|x' AS entries FROM documents")
+def b27(spark, sf_dir):
+    own = text.split_list(F.concat(F.lit(" "), "source", F.lit(" ,, "), "lang", F.lit(" , x,")))
+    return t.table(spark, sf_dir, "documents").select("doc_id", F.size(own).alias("n"), F.array_join(own, "|").alias("entries"))
+
+
+@query("d03_highlights_with_documents", t.with_tables("docs highlights", "SELECT h.document_id, h.seq, d.title AS document_title, d.author AS document_author FROM highlights h JOIN docs d ON d.id = h.document_id"))
+def d03(spark, sf_dir):
+    return library.with_documents(t.highlights(spark, sf_dir), t.documents(spark, sf_dir), "title", "author").select("document_id", "seq", "document_title", "document_author")
+
+
+@query("d03_failures_with_documents", t.with_tables("docs failures", "SELECT f.document_id, f.error_type, d.url_original AS document_url_original FROM failures f JOIN docs d ON d.id = f.document_id"))
+def d03_failures(spark, sf_dir):
+    return library.with_documents(t.failures(spark, sf_dir), t.documents(spark, sf_dir), "url_original").select("document_id", "error_type", "document_url_original")
+
+
+@query("h15_digest_topics", "SELECT CAST(4 AS BIGINT) AS digest_id, role AS topic_name, count(*) AS n_chunks, min(conv_id * 1000 + turn) AS first_chunk FROM conversations GROUP BY 2")
+def h15(spark, sf_dir):
+    c = t.table(spark, sf_dir, "conversations")
+    rank = F.dense_rank().over(Window.orderBy("role"))
+    topics = c.select("role").distinct().select(rank.alias("topic_index"), F.col("role").alias("topic_name"), F.lit("").alias("summary"), F.array().cast("array<string>").alias("key_points"))
+    members = c.join(topics.select("topic_index", F.col("topic_name").alias("role")), "role").select("topic_index", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return clustering.digest_topics(topics, members, 4).select("digest_id", "topic_name", F.size("chunk_ids").cast("long").alias("n_chunks"), F.get("chunk_ids", F.lit(0)).alias("first_chunk"))
+
+
+@query("h15_digest_citations", t.with_tables("chunks", "SELECT CAST(4 AS BIGINT) AS digest_id, CAST(chunk_index % 3 AS BIGINT) AS topic_id, document_id, id AS chunk_id, substr(chunk_text, 1, 200) AS excerpt FROM chunks"))
+def h15_citations(spark, sf_dir):
+    c = t.chunks(spark, sf_dir)
+    return clustering.digest_citations(c.select((F.col("chunk_index") % 3).alias("topic_index"), "id"), c, 4)
+
+
+def _stream_of(spark, rows, name):
+    """Rows as a stream of landed Parquet files, and a folder for what comes of it."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/landed")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/landed"), folder
+
+
+@query("k02_ingest_highlights", f"SELECT document_id, text_hash, arg_max(text, seq) AS text FROM (SELECT conv_id % 50 AS document_id, text, conv_id * 1000 + turn AS seq, {_HASH} AS text_hash FROM conversations) GROUP BY 1, 2")
+def k02(spark, sf_dir):
+    """Landed in files that each hold whole documents, so the order of the files does not matter."""
+    stream, folder = _stream_of(spark, _highlight_batch(spark, sf_dir).repartition(4, "document_id"), "highlights")
+    table = incremental.Snapshot(spark, f"{folder}/table", "document_id long, text_hash string, text string, note string")
+    incremental.ingest_highlights(stream, table, f"{folder}/checkpoint").awaitTermination()
+    return table.read().select("document_id", "text_hash", "text")
+
+
+@query("k03_resume_embedding", t.with_tables("chunks", "SELECT id, length(chunk_text) AS n FROM chunks"))
+def k03(spark, sf_dir):
+    folder, c = f"{shared_folder(spark)}/waves-{uuid.uuid4().hex}", t.chunks(spark, sf_dir)
+    size = max(1, -(-c.count() // 3))
+    incremental.resume_embedding(spark, c, lambda wave: wave.select("id", F.length("chunk_text").alias("n")), f"{folder}/table", f"{folder}/marks", size=size, at=NOW)
+    return spark.read.parquet(f"{folder}/table")
+
+
+@query("k06_distinct_highlights", f"SELECT document_id, text_hash, count(*) AS n FROM (SELECT DISTINCT conv_id % 50 AS document_id, {_HASH} AS text_hash FROM conversations) GROUP BY 1, 2")
+def k06(spark, sf_dir):
+    rows = _highlight_batch(spark, sf_dir).withColumn("created_at", F.lit(NOW).cast("timestamp"))
+    stream, folder = _stream_of(spark, rows, "arrivals")
+    found = incremental.distinct_highlights(stream).select("document_id", "text_hash")
+    found.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("document_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))

@@ -25,7 +25,9 @@ def read_book_feed(spark: SparkSession, path: str, *, stream: bool = False) -> D
 
 def rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Landed lines that do not parse."""
-    return _pages(spark, path, schema, False).cache().filter("_corrupt is not null").select(F.col("_corrupt").alias("record"), F.lit("unparsable").alias("reason"))
+    # Spark reads no file for the corrupt column alone, so a field of the schema is looked at too.
+    broken = _pages(spark, path, schema, False).filter(F.col("_corrupt").isNotNull() & (F.coalesce(F.size("results"), F.lit(0)) >= 0))
+    return broken.select(F.col("_corrupt").alias("record"), F.lit("unparsable").alias("reason"))
 
 
 def split_valid(items: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,40 @@ def changed_since(items: DataFrame, mark: str | None, *, at_col: str = "updated_
     return items.filter(since.isNull() | (F.col(at_col) > since))
 
 
+def read_mark(spark: SparkSession, path: str, name: str) -> str | None:
+    """The latest mark of a job in the table at ``path``; None before its first run."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    place = jvm.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    own = spark.read.schema("name string, mark string, at timestamp").parquet(path).filter(F.col("name") == name)
+    # Of marks of one time the greatest counts, numbers as numbers.
+    return own.agg(F.max_by("mark", F.struct("at", F.expr("try_cast(mark AS bigint)"), "mark"))).first()[0]
+
+
+def save_mark(spark: SparkSession, path: str, name: str, mark: str, *, at: str) -> None:
+    """Appends a job's mark: the start of the run that has just ended, or the last id it took."""
+    row = spark.range(1).select(F.lit(name).alias("name"), F.lit(mark).alias("mark"), F.lit(at).cast("timestamp").alias("at"))
+    row.coalesce(1).write.mode("append").parquet(path)
+
+
+def resume_embedding(spark: SparkSession, todo: DataFrame, embed: Callable[[DataFrame], DataFrame], table: str, marks: str, *, name: str = "embed", size: int = 10_000, at: str) -> int:
+    """Embeds rows (id) in waves of ``size`` by id, after the wave that ended last; returns the number of waves.
+
+    A wave is written before its mark, and a wave whose mark was lost finds its rows done.
+    """
+    waves = 0
+    while True:
+        cursor = int(read_mark(spark, marks, name) or -(2**63))
+        wave = todo.filter(F.col("id") > cursor).orderBy("id").limit(size)
+        last = wave.agg(F.max("id")).first()[0]
+        if last is None:
+            return waves
+        embed(wave).write.mode("append").parquet(table)
+        save_mark(spark, marks, name, str(last), at=at)
+        waves += 1
+
+
 class Snapshot:
     """A table kept as versions of one folder; a batch that is taken in again changes nothing."""
 
