@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -225,6 +226,30 @@ def test_pipeline_stages_take_odd_rows(spark, odd_docs, no_docs):
         assert stage(spark, no_docs, SF).count() == 0
 
 
+def test_one_row_of_a_key_stays_with_columns_that_have_no_order(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, "b words", {"k": 1}), (1, "a words", {"k": 3}), (1, "a words", {"k": 2}), (2, None, None), (2, None, None), (None, "a words", {"k": 4})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    kept = pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.dtypes == docs.dtypes
+    assert {(r.doc_id, r.text, str(r.more)) for r in kept.collect()} == {(1, "a words", "{'k': 2}"), (2, None, "None"), (None, "a words", "{'k': 4}")}
+
+
+def test_stage_files_are_deleted_once_they_were_read(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs.inputFiles()[0].rsplit("/", 2)[0])
+        return docs
+
+    monkeypatch.setattr(pipeline, "STAGES", [(n, stage) for n in ("one", "two", "three", "four")])
+    assert pipeline.run(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert [p.name for p in Path(seen[-1].removeprefix("file:").replace("///", "/")).iterdir()] == ["three"]
+
+
 def test_queries_return_the_contract(spark):
     from scriptorium.llm import queries
 
