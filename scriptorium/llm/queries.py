@@ -3,13 +3,15 @@ production parameters, to its whole table and returns the digest columns."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat_format, decontaminate, language_id, pii, quality_model, quality_rules, set_join, token_counts, toxicity
+from scriptorium.llm import byte_bpe, chat_format, decontaminate, language_id, periodic_runs, pii, quality_model, quality_rules, set_join, spelling_variants, token_counts, token_files, toxicity
+from scriptorium.llm.durable import shared_folder
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -96,6 +98,56 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("clauses").alias("n_clauses"))
 
 
+def with_lost_letters(runs: DataFrame, every: int = 31) -> DataFrame:
+    """Runs of letters (doc_id, word), one of ``every`` by hash without one of its letters."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "word").cast("binary"))
+    lost = (F.col("h") % F.length("word")).cast("int")
+    short = F.concat(F.substr("word", F.lit(1), lost), F.substr("word", lost + 2))
+    return runs.withColumn("h", h).select(F.when(F.col("h") % every == 0, short).otherwise(F.col("word")).alias("word"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling_variants.letter_runs(table(spark, sf_dir, "documents"))
+    words = spelling_variants.word_counts(with_lost_letters(runs))
+    return spelling_variants.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), folder, WORD_VOCABULARY, end_id=2)
+    back = token_files.read(spark, folder)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts (doc_id, text), those of one key in ten by hash with words repeated from some word on."""
+    h, g = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 10)
+
+    def repeated(ws):
+        n = F.size(ws)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.when(n > 0, F.array_join(quality_rules.let(F.struct(a.alias("a"), p.alias("p")), lambda k: F.transform(ws, lambda w, i: F.when(i < k["a"], w).otherwise(F.get(ws, k["a"] + (i - k["a"]) % k["p"])))), " ")).otherwise(F.col("text"))
+
+    ws = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    return docs.select("doc_id", F.when(h % 10 == 0, quality_rules.let(ws, repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -108,6 +160,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_decontaminate": op9_decontaminate,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_token_files": op12_token_files,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
