@@ -1,24 +1,32 @@
 """Full-text search: BM25 ranking over texts or over postings, and the substring fallback.
 
-``search_texts`` answers one query by two scans of the texts and no shuffle of them.
-Postings (term, doc_id, field, tf, positions) serve many queries: a query touches the
-rows of its terms only, so a postings table written in the order of ``term`` is pruned
-by Parquet statistics. Scores are positive, higher is better.
+``search_texts`` answers one query by one scan of the texts and no shuffle of them.
+Postings (term, doc_id, field, tf, positions) serve many queries; ``search_index`` keeps
+them as a table that a query reads in part. Scores are positive, higher is better.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.durable import checkpoint
 from scriptorium.functions.text import contains_ascii_folded
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Tokens that a task groups at once.
+SLICE_TOKENS = 1 << 20
+#: Hits up to this number are broadcast to find their documents.
+BROADCAST_HITS = 100_000
 
 
 def _latin_marks() -> dict[str, str]:
@@ -58,45 +66,91 @@ def query_words(query: str, *, fold: bool = True) -> list[str]:
 def search_texts(docs: DataFrame, fields: list[str], terms: list[str], *, id_col: str = "doc_id", mode: str = "all", exclude: list[str] | None = None, prefix: bool = False, phrase: list[str] | None = None, columns: list[str] | None = None, fold: bool = True, limit: int | None = 50) -> DataFrame:
     """``doc_id`` and ``score`` of the best matches, as ``search`` over the postings of ``fields``.
 
-    The first scan counts documents, lengths and documents of each term in one row; the second rates.
+    One scan makes tokens of each text once and keeps a few numbers a document (written to the shared folder), from which documents are rated.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), *[tokens(docs[f], fold=fold).alias(f"t{k}") for k, f in enumerate(fields)])
-    own = [f"t{k}" for k, f in enumerate(fields) if columns is None or f in columns]
     total = lambda parts: reduce(lambda a, b: a + b, parts)
     wanted = list(dict.fromkeys([*terms, *(phrase or [])]))
 
-    def frequency(word: str, last: bool) -> Column:
-        same = (lambda x: F.startswith(x, F.lit(word))) if prefix and last else (lambda x: x == word)
-        return total([F.size(F.filter(t, same)) for t in own])
-
-    rows = rows.select("*", total([F.size(f"t{k}") for k in range(len(fields))]).alias("dl"), *[frequency(w, k == len(wanted) - 1).alias(f"tf{k}") for k, w in enumerate(wanted)]).filter("dl > 0")
+    def measures(row: Column) -> Column:
+        every = [row[f"t{k}"] for k in range(len(fields))]
+        own = [t for t, f in zip(every, fields, strict=True) if columns is None or f in columns]
+
+        def frequency(word: str, last: bool) -> Column:
+            same = (lambda x: F.startswith(x, F.lit(word))) if prefix and last else (lambda x: x == word)
+            return total([F.size(F.filter(t, same)) for t in own])
+
+        met = F.lit(True)
+        if exclude:
+            met = ~F.exists(F.concat(*own), lambda x: x.isin(exclude))
+        if phrase:
+            held = reduce(lambda a, b: a & b, [F.array_contains(F.concat(*own), w) for w in phrase])
+            follows = lambda t: F.exists(F.sequence(F.lit(0), F.size(t) - 1), lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(t, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)]))
+            met = met & F.when(held, reduce(lambda a, b: a | b, [(F.size(t) >= len(phrase)) & follows(t) for t in own])).otherwise(F.lit(False))
+        return F.struct(total([F.size(t) for t in every]).alias("dl"), *[frequency(w, k == len(wanted) - 1).alias(f"tf{k}") for k, w in enumerate(wanted)], met.alias("met"))
+
+    # A generator is a wall for the optimiser: no filter that stands behind it makes tokens again.
+    bound = F.transform(F.array(F.struct(*[tokens(docs[f], fold=fold).alias(f"t{k}") for k, f in enumerate(fields)])), measures)
+    rows = checkpoint(docs.select(docs[id_col].alias("doc_id"), F.inline(bound)).filter("dl > 0"))
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]).first()
     n, mean = seen["n"], seen["mean"] or 1.0
+    held = [F.col(f"tf{k}") > 0 for k in range(len(wanted))]
+    rows = rows.filter(reduce(lambda a, b: (a & b) if mode == "all" else (a | b), held, F.lit(mode == "all")) & F.col("met"))
+    parts = [_idf(F.lit(n), F.lit(seen[f"df{k}"])) * _saturation(F.col(f"tf{k}"), F.col("dl"), mean) for k in range(len(wanted))]
+    scored = rows.select("doc_id", total(parts or [F.lit(0.0)]).alias("score"))
+    return scored if limit is None else scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 
-    def part(k: int) -> Column:
-        idf = F.greatest(F.log(F.lit((n - seen[f"df{k}"] + 0.5) / (seen[f"df{k}"] + 0.5))), F.lit(LEAST_IDF))
-        return idf * F.col(f"tf{k}") * (K1 + 1) / (F.col(f"tf{k}") + K1 * (1 - B + B * F.col("dl") / mean))
 
-    met = [F.col(f"tf{k}") > 0 for k in range(len(wanted))]
-    rows = rows.filter(reduce(lambda a, b: (a & b) if mode == "all" else (a | b), met, F.lit(mode == "all")))
-    for word in exclude or []:
-        rows = rows.filter(~total([F.array_contains(t, word).cast("int") for t in own]).cast("boolean"))
-    if phrase:
-        follows = lambda t: F.exists(F.sequence(F.lit(0), F.size(t) - 1), lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(t, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)]))
-        rows = rows.filter(reduce(lambda a, b: a | b, [F.when(F.size(t) >= len(phrase), follows(F.col(t))).otherwise(F.lit(False)) for t in own]))
-    scored = rows.select("doc_id", total([part(k) for k in range(len(wanted))] or [F.lit(0.0)]).alias("score"))
-    return scored if limit is None else scored.orderBy(F.desc("score"), "doc_id").limit(limit)
+def _idf(n_docs: Column, df: Column) -> Column:
+    return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
 
-def build_postings(docs: DataFrame, fields: list[str], *, id_col: str = "doc_id", fold: bool = True) -> DataFrame:
-    """One row per term, document and field, with its positions. Documents without any of the fields are not indexed."""
-    parts = [_field(docs, f, fold) for f in fields]
-    rows = docs.select(docs[id_col].alias("doc_id"), F.explode(F.concat(*parts)).alias("t"))
-    return rows.groupBy("doc_id", "t.term", "t.field").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
+def _saturation(tf: Column, dl: Column, mean) -> Column:
+    """What ``tf`` occurrences in a text of ``dl`` tokens count."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
 
+def document_postings(docs: DataFrame, fields: list[str], *, id_col: str = "doc_id", fold: bool = True) -> DataFrame:
+    """``doc_id``, ``term``, ``field``, ``tf``, ``positions``, ``dl`` (tokens of the document) and ``lead`` (true once a document).
 
-def _field(docs: DataFrame, field: str, fold: bool) -> Column:
-    return F.transform(tokens(docs[field], fold=fold), lambda t, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("term")))
+    Occurrences are grouped where the document is, so nothing is shuffled; a task holds about ``SLICE_TOKENS`` tokens, or those of one document.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def group(keys: pa.Array, columns: list[pa.ListArray]) -> Iterator[pa.RecordBatch]:
+        sizes = [np.asarray(pc.list_value_length(c), np.int64) for c in columns]
+        dl = np.sum(sizes, axis=0)
+        fresh = np.ones(len(keys), bool)
+        for field, column, size in zip(fields, columns, sizes, strict=True):
+            coded = column.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(keys)), size)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            key = doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            lead = np.flatnonzero(np.diff(key[order], prepend=-1))
+            own = doc[order][lead]
+            first = (np.diff(own, prepend=-1) != 0) & fresh[own]
+            fresh[own] = False
+            cuts = np.append(lead, len(doc)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(own)), coded.dictionary.take(coded.indices.take(pa.array(order[lead]))), pa.array([field] * len(lead), pa.string()), pa.array(np.diff(cuts).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(at[order].astype(np.int32))), pa.array(dl[own]), pa.array(first)],
+                ["doc_id", "term", "field", "tf", "positions", "dl", "lead"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.sum([np.asarray(pc.list_value_length(c), np.int64) for c in batch.columns[1:]], axis=0)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // SLICE_TOKENS)) + 1).tolist(), len(size)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i < j:
+                    yield from group(batch.column(0).slice(i, j - i), [c.slice(i, j - i) for c in batch.columns[1:]])
+
+    rows = docs.select(docs[id_col].alias("doc_id"), *[tokens(docs[f], fold=fold).alias(f"t{k}") for k, f in enumerate(fields)])
+    return rows.mapInArrow(run, f"doc_id {kind}, term string, field string, tf long, positions array<int>, dl long, lead boolean")
+
+
+def build_postings(docs: DataFrame, fields: list[str], *, id_col: str = "doc_id", fold: bool = True) -> DataFrame:
+    """One row per term, document and field, with its positions. Documents without any of the fields are not indexed; keys are distinct."""
+    return document_postings(docs, fields, id_col=id_col, fold=fold).drop("dl", "lead")
 
 
 def doc_lengths(postings: DataFrame) -> DataFrame:
@@ -137,10 +191,10 @@ def search(postings: DataFrame, terms: list[str], *, mode: str = "all", exclude:
         named = F.coalesce(named, F.when(F.startswith("term", F.lit(wanted[-1])), F.lit(wanted[-1] + "*")))
     hits = own.withColumn("q", named).filter("q is not null").groupBy("doc_id", "q").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    idf = _idf(F.col("n_docs"), F.col("df"))
     # The term and corpus statistics are one row a term and one row in all.
     rated = df.crossJoin(F.broadcast(stats)).select("q", idf.alias("idf"), "avg_dl")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    part = F.col("idf") * _saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))
     scored = hits.join(F.broadcast(rated), "q").join(lengths, "doc_id").groupBy("doc_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n_terms"))
     if mode == "all":
         scored = scored.filter(F.col("n_terms") == len(wanted))
@@ -163,7 +217,8 @@ def search_documents(docs: DataFrame, fields: list[str], query: str, *, postings
         return docs.withColumn("score", F.lit(None).cast("double")).orderBy(newest, F.col(id_col).desc()).limit(limit)
     options = {"prefix": query.rstrip().endswith("*"), **options}
     hits = search_texts(docs, fields, words, id_col=id_col, limit=limit, **options) if postings is None else search(postings, words, limit=limit, **options)
-    return docs.join(F.broadcast(hits.withColumnRenamed("doc_id", id_col)), id_col).orderBy(F.desc("score"), id_col)
+    hits = hits.withColumnRenamed("doc_id", id_col)
+    return docs.join(F.broadcast(hits) if limit <= BROADCAST_HITS else hits, id_col).orderBy(F.desc("score"), id_col)
 
 
 def search_substring(docs: DataFrame, query: str, fields: list[str], *, id_col: str = "doc_id", saved_col: str | None = None, limit: int = 50) -> DataFrame:
@@ -182,8 +237,7 @@ def search_many(postings: DataFrame, queries: DataFrame, *, limit: int = 100) ->
     hits = postings.join(asked, "term").groupBy("query_id", "n_asked", "term", "doc_id").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     rated = df.crossJoin(F.broadcast(corpus_stats(lengths)))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    part = _idf(F.col("n_docs"), F.col("df")) * _saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))
     scored = hits.join(rated, ["query_id", "term"]).join(lengths, "doc_id").groupBy("query_id", "n_asked", "doc_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n")).filter("n = n_asked")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("position", nth).filter(F.col("position") <= limit).select("query_id", "doc_id", "score", "position")

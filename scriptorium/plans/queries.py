@@ -8,16 +8,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.durable import shared_folder
 from scriptorium.functions import html, text, vectors
-from scriptorium.operators import chunking, clustering, embedding, fulltext, knn, library, maintenance, stats
+from scriptorium.operators import chunking, clustering, embedding, fulltext, knn, library, maintenance, search_index, stats
 from scriptorium.plans import jobs
 from scriptorium.plans import tables as t
 from scriptorium.sources import feeds, sinks
-from scriptorium.streaming import incremental
+from scriptorium.streaming import incremental, metrics, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -334,10 +335,10 @@ def e12(spark, sf_dir):
     return stats.distinct_categories(t.documents(spark, sf_dir))
 
 
-@query("e14_digest_cost", t.with_tables("docs chunks", f"""SELECT chunks, 'gpt-4.1-mini' AS model, (chunks * 200 + 2000) * 2 AS tokens_in, 3500 AS tokens_out, round_even((chunks * 200 + 2000) * 2 / 1e6 * 0.4, 4) AS input_cost_usd, 0.0056::DOUBLE AS output_cost_usd, round((chunks * 200 + 2000) * 2 / 1e6 * 0.4 + 0.0056, 3)::DOUBLE AS total_cost_usd
+@query("e14_digest_cost", t.with_tables("docs chunks", f"""SELECT chunks, 'gpt-4.1-mini' AS model, (chunks * 200 + 2000) * 2 AS tokens_in, 3500 AS tokens_out, round_even((chunks * 200 + 2000) * 2 / 1e6 * 0.4, 4) AS input_cost_usd, 0.0056::DOUBLE AS output_cost_usd, round((chunks * 200 + 2000) * 2 / 1e6 * 0.4 + 0.0056, 4)::DOUBLE AS total_cost_usd
     FROM (SELECT count(*) AS chunks FROM docs d JOIN chunks c ON c.document_id = d.id WHERE d.saved_at BETWEEN DATE '{FIRST}' AND DATE '{LAST}')"""))
 def e14(spark, sf_dir):
-    return stats.digest_cost(stats.range_counts(t.documents(spark, sf_dir), t.chunks(spark, sf_dir), FIRST, LAST).select("chunks")).withColumn("total_cost_usd", F.round("total_cost_usd", 3))
+    return stats.digest_cost(stats.range_counts(t.documents(spark, sf_dir), t.chunks(spark, sf_dir), FIRST, LAST).select("chunks"))
 
 
 @query("e18_run_counters", "SELECT CAST(user_id % 10 AS VARCHAR) AS job_id, 'run' AS phase, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY 1")
@@ -398,14 +399,31 @@ def g04_postings(spark, sf_dir):
     return fulltext.search(postings, _RANKED, limit=20).select("doc_id", F.round("score", 6).alias("score"))
 
 
+_INDEXED = _BM25.replace("@words", ", ".join(f"'{w}'" for w in _RANKED))
+
+
+def _index(spark, sf_dir):
+    return search_index.write_index(t.table(spark, sf_dir, "documents"), ["text"], f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", bucket_docs=64)
+
+
+@query("g04_search_index", _INDEXED.replace("@n", "2"))
+def g04_index(spark, sf_dir):
+    return _index(spark, sf_dir).search(_RANKED, limit=20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("g04_search_index_any", _INDEXED.replace("WHERE k = @n", "").replace("LIMIT 20", "LIMIT 10"))
+def g04_index_any(spark, sf_dir):
+    return _index(spark, sf_dir).search(_RANKED, mode="any", limit=10).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("g04_search_phrase", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)')")
 def g04_phrase(spark, sf_dir):
     return fulltext.search_texts(t.table(spark, sf_dir, "documents"), ["text"], [], phrase=["of", "the"], limit=None).select("doc_id")
 
 
-@query("g04_search_marks", f"WITH {_TOK} SELECT DISTINCT doc_id FROM tok WHERE term = 'les' INTERSECT SELECT doc_id FROM tok WHERE term = 'reux'")
+@query("g04_search_marks", f"WITH {_TOK} SELECT DISTINCT doc_id FROM tok WHERE term = 'fur' UNION SELECT doc_id FROM tok WHERE term = 'eeau'")
 def g04_marks(spark, sf_dir):
-    return fulltext.search_texts(t.table(spark, sf_dir, "documents"), ["text"], fulltext.query_words("Lés, RÊUX!"), limit=None).select("doc_id")
+    return fulltext.search_texts(t.table(spark, sf_dir, "documents"), ["text"], fulltext.query_words("FÜR éÉau!"), mode="any", limit=None).select("doc_id")
 
 
 @query("g04_search_prefix_exclude", f"WITH {_TOK} SELECT DISTINCT doc_id FROM tok WHERE starts_with(term, 'und') EXCEPT SELECT doc_id FROM tok WHERE term = 'the'")
@@ -698,6 +716,11 @@ def l08(spark, sf_dir):
     return fulltext.index_report(fulltext.build_postings(t.table(spark, sf_dir, "documents"), ["text"]))
 
 
+@query("l08_stored_index", f"WITH {_TOK} SELECT count(DISTINCT doc_id) AS n_docs, count(DISTINCT term) AS n_terms, count(DISTINCT (doc_id, term)) AS n_postings, count(*) AS n_tokens FROM tok")
+def l08_stored(spark, sf_dir):
+    return _index(spark, sf_dir).report()
+
+
 @query("m05_saved_queries", rf"""WITH {_TOK}, q AS (SELECT DISTINCT n_nationkey AS query_id, 'th' AS a FROM nation) SELECT query_id, least(100, (SELECT count(DISTINCT doc_id) FROM tok WHERE term = 'the')) AS n FROM q""")
 def m05(spark, sf_dir):
     asked = t.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.lit("The").alias("query"))
@@ -924,17 +947,92 @@ def _stream_of(spark, rows, name):
 def k02(spark, sf_dir):
     """Landed in files that each hold whole documents, so the order of the files does not matter."""
     stream, folder = _stream_of(spark, _highlight_batch(spark, sf_dir).repartition(4, "document_id"), "highlights")
-    table = incremental.Snapshot(spark, f"{folder}/table", "document_id long, text_hash string, text string, note string")
+    table = snapshots.KeyedSnapshot(spark, f"{folder}/table", "document_id long, text_hash string, text string, note string", "document_id", parts=8)
     incremental.ingest_highlights(stream, table, f"{folder}/checkpoint").awaitTermination()
     return table.read().select("document_id", "text_hash", "text")
 
 
-@query("k03_resume_embedding", t.with_tables("chunks", "SELECT id, length(chunk_text) AS n FROM chunks"))
+@query("k03_resume_embedding", t.with_tables("chunks", "SELECT id, length(chunk_text) AS n, count(*) AS times FROM chunks GROUP BY 1, 2"))
 def k03(spark, sf_dir):
-    folder, c = f"{shared_folder(spark)}/waves-{uuid.uuid4().hex}", t.chunks(spark, sf_dir)
-    size = max(1, -(-c.count() // 3))
-    incremental.resume_embedding(spark, c, lambda wave: wave.select("id", F.length("chunk_text").alias("n")), f"{folder}/table", f"{folder}/marks", size=size, at=NOW)
-    return spark.read.parquet(f"{folder}/table")
+    """A run that breaks off in its second batch, and one that goes on where it ended."""
+    stream, folder = _stream_of(spark, t.chunks(spark, sf_dir).repartition(6), "chunks")
+    calls = []
+
+    def embed(batch, broken):
+        calls.append(batch)
+        if broken and len(calls) == 2:
+            raise ConnectionError("the service is away")
+        return batch.select("id", F.length("chunk_text").alias("n"))
+
+    for broken in (True, False):
+        run = incremental.embed_stream(stream, f"{folder}/vectors", f"{folder}/checkpoint", lambda batch, broken=broken: embed(batch, broken))
+        try:
+            run.awaitTermination()
+        except StreamingQueryException:
+            if not broken:
+                raise
+    return spark.read.parquet(f"{folder}/vectors").groupBy("id", "n").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("k05_refresh_index", f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM tok GROUP BY 1")
+def k05(spark, sf_dir):
+    """Documents arrive in four batches, of which the second half were indexed with other texts before."""
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    stream, folder = _stream_of(spark, docs.repartition(8, "doc_id"), "indexed")
+    table = snapshots.KeyedSnapshot(spark, f"{folder}/postings", "doc_id long, term string, field string, tf long, positions array<int>", "doc_id", parts=16)
+    table.take(-1, docs.filter("doc_id % 2 = 0").withColumn("text", F.lit("outdated words")), lambda old, new: fulltext.append_postings(old, new, ["text"], id_col="doc_id"), batch_key="doc_id")
+    incremental.refresh_index(stream, table, f"{folder}/checkpoint", ["text"], id_col="doc_id").awaitTermination()
+    return table.read().groupBy("term").agg(F.count_distinct("doc_id").alias("n_docs"), F.sum("tf").alias("n"))
+
+
+@query("a15_reject_stream", "SELECT CASE WHEN text IS NULL THEN 'has text' WHEN NOT n_chars >= 100 OR n_chars IS NULL THEN 'short' END AS reason, count(*) AS n, (SELECT count(*) FROM documents) AS rows_seen FROM documents GROUP BY 1")
+def a15_stream(spark, sf_dir):
+    """Documents as they land, in two sinks, with a second run that finds nothing new."""
+    stream, folder = _stream_of(spark, t.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").repartition(5), "arrivals")
+    rules = {"has text": F.col("text").isNotNull(), "short": F.col("n_chars") >= 100}
+    for _ in range(2):
+        incremental.split_stream(stream, rules, f"{folder}/good", f"{folder}/bad", f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    good, bad, counts = (spark.read.parquet(f"{folder}/{x}") for x in ("good", "bad", "counts"))
+    every = good.select(F.lit(None).cast("string").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return every.crossJoin(F.broadcast(counts.agg(F.sum("rows").alias("rows_seen"))))
+
+
+@query("e18_landed_metrics", "SELECT count(*) AS rows, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error FROM events")
+def e18_landed(spark, sf_dir):
+    """Counters of a stream over the events, as its listener wrote them."""
+    stream, folder = _stream_of(spark, t.table(spark, sf_dir, "events").select("event_id", "event_type").repartition(5), "watched")
+    log = metrics.RunLog(spark, f"{folder}/events", every=2)
+    spark.streams.addListener(log)
+    try:
+        kinds = ["view", "error"]
+        watched = stream.observe("kinds", *[F.count_if(F.col("event_type") == k).alias(k) for k in kinds])
+        run = watched.writeStream.queryName(f"watched_{uuid.uuid4().hex}").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+        run.awaitTermination()
+        if not log.wait(run.runId):
+            raise TimeoutError("the listener did not end")
+    finally:
+        spark.streams.removeListener(log)
+    return metrics.landed(spark.read.parquet(f"{folder}/events"), "kinds", kinds).agg(*[F.sum(c).alias(c) for c in ("rows", *kinds)])
+
+
+@query("f05_delay_stream", SQL["f05_domain_delays"])
+def f05_stream(spark, sf_dir):
+    """The events in files by time, one a batch: delays as they arrive."""
+    e = t.table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("https://www.h"), F.col("user_id").cast("string"), F.lit(".com/x")).alias("url"), (F.col("event_type") == "view").alias("success"), (F.col("event_type") == "error").alias("retriable"))
+    folder = f"{shared_folder(spark)}/outcomes-{uuid.uuid4().hex}"
+    cuts = e.agg(F.percentile_approx("event_id", F.array(F.lit(0.33), F.lit(0.67)))).first()[0]
+    setting, before = incremental.ROCKSDB[0], spark.conf.get(incremental.ROCKSDB[0])
+    spark.conf.set(*incremental.ROCKSDB)
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):  # a file after another, as they would land
+            own = rows.filter((F.lit(low).isNull() | (F.col("seq") > F.lit(low))) & (F.lit(high).isNull() | (F.col("seq") <= F.lit(high))))
+            own.coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+            found = incremental.domain_delay_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/landed"))
+            found.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.parquet(f"{folder}/out").select("seq", F.round("delay", 6).alias("delay"))
 
 
 @query("k06_distinct_highlights", f"SELECT document_id, text_hash, count(*) AS n FROM (SELECT DISTINCT conv_id % 50 AS document_id, {_HASH} AS text_hash FROM conversations) GROUP BY 1, 2")

@@ -30,10 +30,14 @@ def rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return broken.select(F.col("_corrupt").alias("record"), F.lit("unparsable").alias("reason"))
 
 
+def mark_invalid(items: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Items with ``reason``, the first rule they break, NULL if none; a rule that is NULL is broken."""
+    return items.withColumn("reason", F.coalesce(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+
+
 def split_valid(items: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Items that pass all rules, and the others with the first rule they break; a rule that is NULL is broken."""
-    broken = F.coalesce(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])
-    marked = items.withColumn("reason", broken)
+    """Items that pass all rules, and the others with the first rule they break."""
+    marked = mark_invalid(items, rules)
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
