@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.durable import shared_folder
 from scriptorium.functions import html, text, vectors
-from scriptorium.operators import chunking, clustering, embedding, fulltext, knn, library, maintenance, search_index, stats
+from scriptorium.operators import chunking, clustering, embedding, fulltext, knn, library, maintenance, search_index, stats, vector_index
 from scriptorium.plans import jobs
 from scriptorium.plans import tables as t
 from scriptorium.sources import feeds, sinks
@@ -526,6 +526,34 @@ def g10_recall(spark, sf_dir):
     return asked.agg(F.count(F.lit(1)).alias("n_queries")).crossJoin(found.select((F.col("recall") >= 0.9).alias("reached")))
 
 
+def _vector_index(spark, rows):
+    return vector_index.write_index(rows, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", id_col="vec_id")
+
+
+def _clustered(spark, sf_dir):
+    """The vectors drawn together around twenty centres."""
+    centre = F.col("label") * 2 + F.col("vec_id") % 2 + 1
+    return t.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x, i: x * 0.1 + F.sin(centre * (i + 1))).alias("embedding"))
+
+
+@query("g10_inverted_file", SQL["g06_nearest_many"])
+def g10_inverted(spark, sf_dir):
+    """The stored index in its exact mode, on vectors without clusters."""
+    found = _vector_index(spark, t.table(spark, sf_dir, "embeddings")).search(_asked(spark, sf_dir), 5, exact=True)
+    return found.select("query_id", "vec_id", F.round("distance", 4).alias("distance"))
+
+
+@query("g10_inverted_recall", "SELECT count(*) FILTER (vec_id % 50 = 0) AS n_queries, true AS reached, true AS few FROM embeddings")
+def g10_inverted_recall(spark, sf_dir):
+    """Recall at 10 and the share of pairs read on vectors in clusters, against 0.9 and a tenth."""
+    rows = _clustered(spark, sf_dir)
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = _vector_index(spark, rows)
+    probes = max(1, len(index.cell) // 16)
+    found = knn.recall(knn.nearest_many(rows, asked, 10, id_col="vec_id"), index.search(asked, 10, probes=probes), id_col="vec_id", query_col="query_id")
+    return asked.agg(F.count(F.lit(1)).alias("n_queries")).crossJoin(found.select((F.col("recall") >= 0.9).alias("reached"))).crossJoin(index.pairs_read(asked, probes=probes).select((F.col("share") <= 0.1).alias("few")))
+
+
 @query("g11_duplicate_ratio", "SELECT 1 - count(DISTINCT text)::DOUBLE / count(*) AS duplicate_ratio, 1 - count(DISTINCT text)::DOUBLE / count(*) <= 0.1 AS acceptable FROM documents WHERE text <> ''")
 def g11(spark, sf_dir):
     return library.duplicate_ratio(t.table(spark, sf_dir, "documents"), "text")
