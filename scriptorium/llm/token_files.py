@@ -32,9 +32,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -275,25 +278,107 @@ class TokenFiles(DataSource):
         return _Reader(self.options["path"], int(self.options.get("piece_ids", 1 << 22)))
 
 
+#: Fixed value: the pattern by which the vocabulary for which ``WordIds`` has a shorter way parts words from marks.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@lru_cache(maxsize=2)
+def _opened(vocabulary: str):
+    """The library's tokenizer; if its rules allow, one of its model alone, and which ids end words. Opened once a worker."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    library = Tokenizer.from_file(vocabulary)
+    rules = json.loads(library.to_str())
+    parts = lambda x, name: x.get(name, [x]) if x else []
+    folds = [x["type"] for x in parts(rules["normalizer"], "normalizers")] == ["NFC", "Replace", "Lowercase"]
+    splits = parts(rules["pre_tokenizer"], "pretokenizers")
+    suffix = rules["model"].get("end_of_word_suffix")
+    if not (folds and suffix and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": WORD_PATTERN}):
+        return library, None, None
+    lean = Tokenizer.from_str(json.dumps({**rules, "normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, splits[1]]}}))
+    ends = np.zeros(lean.get_vocab_size(), bool)
+    ends[[i for token, i in lean.get_vocab().items() if token.endswith(suffix)]] = True
+    return library, lean, ends
+
+
 class WordIds:
-    """Ids of texts as bytes, by way of pieces between ASCII white space, each distinct one encoded once."""
+    """Ids of texts as bytes, by way of pieces between ASCII white space, each distinct one encoded once.
 
-    def __init__(self, vocabulary: str, width: int, remembered: int = 400_000):
-        from tokenizers import Tokenizer
+    Where the vocabulary's own rules are NFC, lower case and ``WORD_PATTERN``, a piece is looked up by its folded stem and the
+    ASCII marks after it, so that fewer pieces are encoded; and many stems of letters are encoded as one text by the vocabulary's
+    model alone, without rules that do nothing to them, and told apart by the ids that end words. Of pieces
+    seen, those of the last ``remembered`` at least stay known.
+    """
+
+    MARKS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library, self.width, self.remembered = Tokenizer.from_file(vocabulary), width, remembered
+    def __init__(self, vocabulary: str, width: int, remembered: int = 200_000):
+        self.kind, self.remembered = {2: "H", 4: "I"}[width], remembered
+        self.library, self.lean, self.ends = _opened(vocabulary)
+        self.plain = self.lean is not None
         self.seen: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.before: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
+
+    def _stems(self, pieces: list[bytes]) -> tuple[list[bytes], dict[int, bytes]]:
+        """Pieces as they are encoded, and the marks taken off by index; what may be a special string stays as it is."""
+        if not self.plain:
+            return pieces, {}
+        every = b"\n".join(pieces)
+        stems = every.lower().split(b"\n")
+        if b"<" in every:
+            stems = [piece if b"<" in piece else stem for piece, stem in zip(pieces, stems, strict=True)]
+        marks: dict[int, bytes] = {}
+        for i in [i for i, x in enumerate(stems) if x[-1] in self.MARKS]:
+            stem = stems[i].rstrip(self.MARKS)
+            if stem and b"<" not in stem and (stem[-1:].isalnum() or stem[-1] > 127 and unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower()[-1].isalpha()):
+                stems[i], marks[i] = stem, stems[i][len(stem) :]
+        return stems, marks
+
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece."""
+        texts = [x.decode("utf-8", "replace") for x in pieces]
+        if not self.plain:
+            return [array(self.kind, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        letters = [i for i, x in enumerate(texts) if x.isalpha() and (x.isascii() or x == x.lower() and unicodedata.is_normalized("NFC", x))]
+        out: list = [None] * len(texts)
+        if letters:
+            ids = np.array(self.lean.encode_batch_fast([" ".join([texts[i] for i in letters])], add_special_tokens=False)[0].ids, np.dtype(self.kind))
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            data = ids.tobytes()
+            if len(cuts) == len(letters):
+                for i, a, b in zip(letters, [0, *cuts], cuts, strict=False):
+                    out[i] = data[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array(self.kind, x.ids).tobytes()
+        return out
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        old, old_stems = self.before
+        kept = pieces & old.keys()
+        self.seen.update((x, old[x]) for x in kept)
+        some = list(pieces - kept)
+        if not some:
+            return
+        stems, marks = self._stems(some)
+        new = {*stems, *marks.values()}.difference(self.stems)
+        kept = new & old_stems.keys()
+        self.stems.update((x, old_stems[x]) for x in kept)
+        todo = list(new - kept)
+        for k in range(0, len(todo), 1024):
+            self.stems.update(zip(todo[k : k + 1024], self._encoded(todo[k : k + 1024]), strict=True))
+        ids = list(map(self.stems.__getitem__, stems))
+        for i, x in marks.items():
+            ids[i] += self.stems[x]
+        self.seen.update(zip(some, ids, strict=True))
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         if len(self.seen) > self.remembered:
-            self.seen.clear()
+            self.before, self.seen, self.stems = (self.seen, self.stems), {}, {}
         split = [text.split() for text in texts]
-        new = list(set().union(*split).difference(self.seen))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.seen.update(zip(some, (np.array(x.ids, f"<u{self.width}").tobytes() for x in found), strict=True))
+        self._learn(set().union(*split).difference(self.seen))
         known = self.seen.__getitem__
         return [b"".join(map(known, ws)) + end for ws in split]
 

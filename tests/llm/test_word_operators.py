@@ -141,6 +141,15 @@ def test_op12_equals_the_library(spark, texts):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got.collect()} == expected and got.count() == len(expected)
 
 
+def test_ids_of_odd_strings_equal_the_library():
+    rng, library = random.Random(5), Tokenizer.from_file(queries.WORD_VOCABULARY)
+    own = token_files.WordIds(queries.WORD_VOCABULARY, 2, remembered=500)
+    parts = ["a", "B", "z", "é", "É", "ß", "\u0130", "ı", "e\u0301", "\u0338", "漢", "字", "1", "²", "'", "’", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|", ">", ".", ",", "***", "&", "-", "_", " ", "\xa0", "\u3000", "\u200b", "\U0001f600", "ﬁ", "ǅ", "Σ", "\n", "\t", "\x0b", "\x1f", "\x85", "\u0958", "ŉ"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(own.encode([text.encode()], b"")[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_of_odd_texts_and_keys(spark, odd_docs, no_docs, tmp_path):
     far = spark.createDataFrame([(-(2**63), "far below"), (2**63 - 1, "far above")], "doc_id long, text string")
     docs = odd_docs.unionByName(far, allowMissingColumns=True)
