@@ -205,11 +205,14 @@ def test_encode_counts_every_byte():
 
 def test_toxicity_grammar():
     g = toxicity.Grammar({"zork*": 2.0, "blip": 1.5})
-    assert g.score("you are an idiot") > g.score("he is an idiot") > 0.5
+    assert g.score("you are an idiot") > g.score("he is an idiot") > 0.5 and g.score("you idiot") > 0.5
+    for lone in ("an idiot", "trash day is tuesday", "the idiot sat in a room", "never call anyone an idiot", "she wrote that the teacher of his sons was an idiot", "nobody would say that of you or of any other idiot"):
+        assert g.score(lone) < 0.5, lone
+    assert g.score("what a stupid idiot") > 0.5 and g.score("an idiot. a moron.") > 0.5 and g.score("an idiot. an idiot.") < 0.5
     assert g.score("you are not an idiot") < 0.5 and g.score("she said he was an idiot") < 0.5
     assert g.score("she said so. you idiot") > 0.5
     assert g.score("i will kill you") > 0.5 and g.score("they kill time") < 0.5
-    assert g.score("a zorker here") == 0 and toxicity.Grammar({"zorke*": 2.0}).score("a zorker here") > 0.5
+    assert g.score("a zorker here") == 0 and toxicity.Grammar({"zorke*": 2.0}).score("you zorker") > 0.5
     assert g.score(None) == g.score("") == g.score("a nice day.") == 0
     assert g.clauses("fine here. you blip! ok")[0][0] == "you blip!"
 
@@ -220,7 +223,7 @@ def test_composition_equals_the_parts():
     rng = random.Random(2)
     state, own = 0, [p[0] for p in parts]
     for _ in range(500):
-        symbol = rng.randrange(7)
+        symbol = rng.randrange(toxicity.END + 1)
         steps = [p[1](s, symbol) for p, s in zip(parts, own, strict=True)]
         assert abs(factor[state][symbol] - np.prod([x[1] for x in steps])) < 1e-12 and emits[state][symbol] == any(x[2] for x in steps)
         state, own = to[state][symbol], [x[0] for x in steps]
@@ -231,8 +234,9 @@ def test_toxicity_learns(spark, odd_docs, no_docs):
     rows += [(100 + i, "one toxic text of many copies", 1) for i in range(12)] + [(200 + i, "one more", 0) for i in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     grammar = toxicity.learn(frame, frame.select("doc_id", "toxic"), label_col="toxic")
-    assert {r.doc_id for r in toxicity.score(frame, grammar).collect() if r.score >= 0.5} == {i for i in range(80) if i % 4 == 0}  # copies teach nothing
-    assert [r.doc_id for r in frame.filter(toxicity.score_column(grammar, frame["text"]) >= 0.5).collect()] == list(range(0, 80, 4))
+    assert {r.doc_id for r in toxicity.score(frame, grammar).collect() if r.score > 0} == {i for i in range(80) if i % 4 == 0}  # copies teach nothing
+    assert [r.doc_id for r in frame.filter(toxicity.score_column(grammar, frame["text"]) > 0).collect()] == list(range(0, 80, 4))
+    assert grammar.score("a grobian here") < 0.5 < grammar.score("you grobian") and grammar.patterns == dict.fromkeys(toxicity.PATTERNS, toxicity.STRONG)
     assert all(r.score == 0 for r in toxicity.score(odd_docs, grammar).collect()) and toxicity.score(no_docs, grammar).count() == 0
     assert toxicity.learn(no_docs, frame.select("doc_id", "toxic"), label_col="toxic").stems == {}
 
@@ -265,7 +269,7 @@ def test_learned_words_equal_brute_force(spark):
         table = [(bad, total * n[1]), (good, total * n[0]), (n[1] - bad, (n[0] + n[1] - total) * n[1]), (n[0] - good, (n[0] + n[1] - total) * n[0])]
         gain = 2 * sum(x * math.log(x * (n[0] + n[1]) / y) for x, y in table if x)
         if bad >= 4 and low >= 0.5 and gain >= 20 and len(contexts[w]) >= min(8, 0.8 * bad):
-            want[w] = round(min(4.0, -math.log(1 - low)), 9)
+            want[w] = round(min(1.3, -math.log(1 - low)), 9)
     learned = {w: round(v, 9) for w, v in grammar.insults.items() if w not in toxicity.FIXED}
     assert learned == want and "grobian" in want and "path" not in want and not grammar.stems
 
@@ -282,6 +286,31 @@ def test_an_insult_counts_once_and_more_with_a_target():
     assert g.score("blip") == g.score("blip. blip. blip") < 0.5 < g.score("you blip") and g.score("they are not a blip") < 0.2
 
 
+def test_patterns_are_learned_from_labels(spark):
+    """A pattern that meets insults in clean documents too is worth less than one that does not."""
+    rows = [(i, ("you grobian lump " if i % 4 == 0 else "you sat there well and so is the cat of a man ") + chr(97 + i % 26) * 3, int(i % 4 == 0)) for i in range(160)]
+    rows += [(200 + i, f"the grobian {chr(97 + i)} sat there", 1) for i in range(26)] + [(300 + i, f"there is a lump of {chr(97 + i) * 2}", 0) for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.learn(frame, frame.select("doc_id", "toxic"), label_col="toxic")
+    assert grammar.patterns["target"] == grammar.patterns["pair"] == 1 + toxicity.least_share(40, 0) and grammar.patterns["copula"] == 1 + toxicity.least_share(0, 10)
+    assert grammar.score("you lump") > 0.5 > grammar.score("it is a lump") > 0
+
+
+def test_the_grammar_changes_predictions_on_held_out_documents(spark):
+    """Without patterns, negations and reports the predictions are others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    grammar = toxicity.learn(docs, labels.filter(~queries.held_out()), label_col="toxic")
+    ablated = toxicity.Grammar(grammar.insults, {f"!{k}": v for k, v in grammar.threats.items()}, dict.fromkeys(toxicity.PATTERNS, 1.0))
+    ablated.table = toxicity.compose([toxicity._insult(), toxicity._threat()])
+    held = docs.join(labels.filter(queries.held_out()).filter("toxic is not null"), "doc_id").select("text", "toxic")
+    rows = [(r.toxic, grammar.score(r.text) >= 0.5, ablated.score(r.text) >= 0.5) for r in held.collect()]
+    hits = lambda k: sum(t and r[k] for t, *r in rows for r in [r])
+    marked = lambda k: sum(r[k] for _, *r in rows)
+    print("held out", len(rows), "toxic", sum(t for t, *_ in rows), "found, marked", hits(0), marked(0), "ablated", hits(1), marked(1), grammar.patterns)
+    assert sum(a != b for _, a, b in rows) > 0
+    assert hits(0) >= 0.9 * sum(t for t, *_ in rows) and hits(0) >= 0.97 * marked(0)
+
+
 def test_toxicity_takes_clashing_names_and_repeated_keys(spark):
     rows = [(i, "such a grobian here" if i % 4 == 0 else "fine here", 1) for i in range(80)] + [(None, "no key", 1), (0, "a second text", 1)]
     frame = spark.createDataFrame([(*r, r[0]) for r in rows], "doc_id long, text string, toxic int, id long")
@@ -295,8 +324,8 @@ def test_fixed_words_of_clean_documents_do_not_count(spark):
     rows += [(500 + i, f"{said[0]} number {chr(97 + i)}", 0) for i in range(20)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     grammar = toxicity.learn(frame, frame.select("doc_id", "toxic"), label_col="toxic")
-    assert all(grammar.score(x) == 0 for x in said) and grammar.score("what a moron") > 0.5
-    assert grammar.score("i will kill you") > 0.5 and grammar.score("an idiot") > 0.5  # not in any labelled document
+    assert all(grammar.score(x) == 0 for x in said) and grammar.score("you moron") > 0.5 > grammar.score("what a moron") > 0
+    assert grammar.score("i will kill you") > 0.5 and grammar.score("you idiot") > 0.5  # not in any labelled document
     untaught = toxicity.learn(frame, frame.filter("toxic = 0").select("doc_id", "toxic"), label_col="toxic")
     assert untaught.score("we beat them") > 0.5
 
