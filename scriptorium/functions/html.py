@@ -1,8 +1,15 @@
-"""Text of HTML pages: tags go by expressions, each evaluated once; entities need one Arrow stage."""
+"""Text of HTML pages, read in one pass over the tags with a stack of what is open.
+
+A page is read by ``scan`` from left to right, each character once, whatever its tags: nesting of
+any depth, tags that are never closed, comments and scripts without an end. The pages of a batch go through
+an Arrow stage, so the scan is the only Python work.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -10,74 +17,152 @@ from pyspark.sql import functions as F
 
 #: Blocks that hold no main content.
 FURNITURE = "nav header footer aside form noscript template svg button select".split()
+#: Elements whose edges part blocks of text.
+PARTING = "p div section article main h1 h2 h3 h4 h5 h6 li ul ol table tr td th blockquote pre br body html".split()
+#: Elements whose content is no text at all.
+RAW = ("script", "style")
+#: Elements that hold nothing, so they are never open.
+VOID = "area base br col embed hr img input link meta source track wbr".split()
 #: White space as Unicode has it, which Java's \\s does by flag only.
 _SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-_TAG = "<[^>]++>"
-
 
-def _element(names: list[str]) -> str:
-    """A whole element of one of these names, from its opening to its first closing tag."""
-    return rf"(?is)<({'|'.join(names)})\b[^>]*+>.*?</\1[^>]*+>"
+_SPACES = re.compile(_SPACE)
+_NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
+_RAW_END = {name: re.compile(f"</{name}\\b", re.IGNORECASE) for name in RAW}
+_SKIPPED = frozenset([*FURNITURE, "head"])
+_EDGES = frozenset([*PARTING, *FURNITURE])
+_VOID = frozenset(VOID)
+
+
+def _letters(text: str) -> int:
+    return len(text) - sum(map(len, _SPACES.findall(text)))
+
+
+def scan(page: str) -> tuple[str, str]:
+    """(main content, all text) of a page, entities not decoded yet.
+
+    Main content leaves out page furniture at any depth, and blocks in which links make up more than half of
+    the letters; blocks stand one a line. A closing tag closes all that was opened inside its element, and is passed over if
+    nothing of its name is open; what is never closed ends with its parent or the page.
+    """
+    blocks: list[str] = []
+    bare: list[str] = []
+    own: list[str] = []
+    counts = [0, 0]  # letters of the block, and of links in it
+    stack: list[str] = []
+    opened: dict[str, int] = {}
+    skipped = at = 0
+    absent: set[str] = set()  # ends that the rest of the page does not hold
+
+    def text(piece: str) -> None:
+        bare.append(piece)
+        if not skipped:
+            own.append(piece)
+            n = _letters(piece)
+            counts[0] += n
+            counts[1] += n if opened.get("a") else 0
+
+    def edge() -> None:
+        if counts[0] and counts[1] * 2 <= counts[0]:
+            blocks.append(_SPACES.sub(" ", "".join(own)).strip(" "))
+        own.clear()
+        counts[:] = [0, 0]
+
+    def close(name: str) -> None:
+        nonlocal skipped
+        while opened.get(name):
+            last = stack.pop()
+            opened[last] -= 1
+            skipped -= last in _SKIPPED
+            if last == name:
+                return
+
+    def find(end: str, start: int, pattern: re.Pattern | None = None) -> int:
+        if end in absent:
+            return -1
+        found = pattern.search(page, start) if pattern else None
+        place = page.find(end, start) if pattern is None else found.start() if found else -1
+        if place < 0:
+            absent.add(end)
+        return place
+
+    while at < len(page):
+        tag = find("<", at)
+        stop = find(">", tag) if tag >= 0 else -1
+        if stop <= tag + 1 and stop >= 0:  # "<>" is text
+            text(page[at : stop + 1])
+            at = stop + 1
+            continue
+        if stop < 0:
+            text(page[at:])
+            break
+        text(page[at:tag])
+        if page.startswith("<!--", tag) and (end := find("-->", tag + 4)) >= 0:
+            bare.append(" ")
+            at = end + 3
+            continue
+        at = stop + 1
+        named = _NAME.match(page, tag, at)
+        name = named[1].lower() if named else ""
+        closing = page.startswith("</", tag)
+        if name in RAW and not closing:
+            end = find(f"</{name}", at, _RAW_END[name])
+            stop = find(">", end) if end >= 0 else -1
+            at = stop + 1 if stop >= 0 else len(page)
+            continue
+        bare.append(" ")
+        if name in _EDGES and not skipped:
+            edge()
+        elif not skipped:
+            own.append(" ")
+        if closing:
+            close(name)
+        elif name and name not in _VOID and not page.startswith("/>", stop - 1):
+            if name == "a":
+                close("a")
+            stack.append(name)
+            opened[name] = opened.get(name, 0) + 1
+            skipped += name in _SKIPPED
+    edge()
+    return "\n".join(blocks), "".join(bare)
 
 
 def decode_entities(text: Column) -> Column:
     """HTML entities as characters. The stage sees all rows, also those without an ampersand."""
+    return _by_page(text, lambda x: unescape(x) if "&" in x else x)
 
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from html import unescape
 
-        for texts in batches:
-            yield pa.array([x if x is None or "&" not in x else unescape(x) for x in texts.to_pylist()], pa.string())
+def _by_page(html: Column, read: Callable[[str], str | None]) -> Column:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield pa.array([None if x is None else read(x) for x in pages.to_pylist()], pa.string())
 
-    return decode(text)
+    return run(html)
 
 
-def _bare(html: Column) -> Column:
-    """A page without scripts and styles, tags as blanks."""
-    return F.regexp_replace(F.regexp_replace(html, _element(["script", "style"]), ""), _TAG, " ")
+def _all_text(bare: str) -> str:
+    return _SPACES.sub(" ", unescape(bare)).strip(" ")
 
 
-def strip_tags(html: Column) -> Column:
-    """All text of a page: without scripts and styles, tags as blanks, entities decoded, white space collapsed."""
-    return F.trim(F.regexp_replace(decode_entities(_bare(html)), _SPACE, " "))
+def _best(page: str) -> str | None:
+    main, bare = scan(page)
+    text = unescape(main).strip(" ")
+    if len(text) <= 50:
+        text = _all_text(bare)
+    return text if len(text) > 10 else None
 
 
-def _blocks(html: Column) -> Column:
-    """Text of the blocks that read like content, entities not decoded yet: page furniture is dropped, and so are
-    blocks in which links make up more than half of the letters."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), _element(["script", "style", "head"]), "")
-    for _ in range(2):  # furniture may stand inside furniture
-        bare = F.regexp_replace(bare, _element(FURNITURE), "\n")
-    parts = F.split(bare, r"(?i)</?(?:p|div|section|article|main|h[1-6]|li|ul|ol|table|tr|td|th|blockquote|pre|br|body|html)\b[^>]*+>")
-    letters = lambda x: F.length(F.regexp_replace(x, rf"{_TAG}|\s+", ""))
-    linked = lambda x: F.when(F.contains(x, F.lit("<")), letters(F.array_join(F.regexp_extract_all(x, F.lit(r"(?is)<a\b[^>]*+>(.*?)</a>"), F.lit(1)), " "))).otherwise(F.lit(0))
-    good = F.filter(parts, lambda x: (letters(x) > 0) & (linked(x) * 2 <= letters(x)))
-    return F.array_join(F.transform(good, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, _TAG, " "), _SPACE, " "))), "\n")
+def strip_tags(html: Column) -> Column:
+    """All text of a page: without scripts, styles and comments, tags as blanks, entities decoded, white space collapsed."""
+    return _by_page(html, lambda page: _all_text(scan(page)[1]))
 
 
 def main_text(html: Column) -> Column:
     """Main content of a page, entities decoded."""
-    return F.trim(decode_entities(_blocks(html)))
+    return _by_page(html, lambda page: unescape(scan(page)[0]).strip(" "))
 
 
 def extract_text(html: Column) -> Column:
     """Main content if longer than 50 characters, else all text if longer than 10, else NULL."""
-
-    @F.arrow_udf("string")
-    def choose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import re
-        from html import unescape
-
-        def best(parts: str) -> str | None:
-            main, _, bare = parts.partition("\0")
-            text = unescape(main).strip(" ")
-            if len(text) <= 50:
-                text = re.sub(_SPACE, " ", unescape(bare)).strip(" ")
-            return text if len(text) > 10 else None
-
-        for pages in batches:
-            yield pa.array([None if x is None else best(x) for x in pages.to_pylist()], pa.string())
-
-    clean = F.replace(html, F.lit("\0"), F.lit(""))
-    return choose(F.concat(_blocks(clean), F.lit("\0"), _bare(clean)))
+    return _by_page(html, _best)

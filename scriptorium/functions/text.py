@@ -93,6 +93,15 @@ def _last(text: Column, mark: str) -> Column:
     return F.when(at == 0, F.lit(-1)).otherwise(F.length(text) - at - (len(mark) - 1))
 
 
+#: Characters that the plain embedding path keeps, and the provider's.
+LONG_CUT, SHORT_CUT = 30_000, 20_000
+
+
+def hard_cut(text: Column, limit: int = SHORT_CUT) -> Column:
+    """The first ``limit`` characters, wherever that falls."""
+    return F.substring(text, 1, limit)
+
+
 def truncate_at_space(text: Column, size: int = 20_000) -> Column:
     """At most ``size`` characters and '...', cut at the last blank if that loses less than a fifth."""
     head = F.substring(text, 1, size)

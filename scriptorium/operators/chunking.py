@@ -32,6 +32,21 @@ def _pieces(text: str, gap: re.Pattern) -> Iterator[tuple[str, int]]:
         at = cut.end() if cut else at
 
 
+def spans(docs: DataFrame, level: str, *, id_col: str = "id", text_col: str = "fulltext") -> DataFrame:
+    """``document_id``, ``ordinal``, ``char_start``, ``char_end`` and ``text`` of the sentences or paragraphs (``level``) of each text, trimmed, as a relation."""
+    gap, kind = {"sentence": _SENTENCE_GAP, "paragraph": _PARAGRAPH_GAP}[level], dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                rows = [(i, n, at, at + len(piece), piece) for i, text in enumerate(part.column(1).to_pylist()) if text for n, (piece, at) in enumerate(_pieces(text, gap))]
+                owner, *columns = zip(*rows, strict=True) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["document_id", "ordinal", "char_start", "char_end", "text"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"document_id {kind}, ordinal long, char_start long, char_end long, text string")
+
+
 @dataclass
 class _Packer:
     """The chunk being filled. A chunk shorter than ``least`` is carried on, never written."""

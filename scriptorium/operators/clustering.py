@@ -199,12 +199,24 @@ def topic_overview(topics: DataFrame) -> DataFrame:
     return topics.agg(F.array_join(F.sort_array(F.collect_list(F.struct("topic_index", part.alias("part")))).getField("part"), "\n\n").alias("overview"))
 
 
-def compile_digest(topics: DataFrame, selected: DataFrame, first: str, last: str, *, strategy: str = "semantic_kmeans") -> DataFrame:
-    """The digest row: topics as JSON with counters; without chunks an empty digest."""
+def digest_overview(topics: DataFrame) -> DataFrame:
+    """``title``, ``summary`` and ``highlights`` of a digest without a written reply: no title, the topics' summaries, and the first key point of each topic."""
+    own = topics.agg(F.sort_array(F.collect_list(F.struct("topic_index", "summary", F.get("key_points", F.lit(0)).alias("point")))).alias("t"))
+    said = lambda name: F.filter(F.col(f"t.{name}"), lambda x: x.isNotNull() & (x != ""))
+    return own.select(F.lit(None).cast("string").alias("title"), F.nullif(F.array_join(said("summary"), "\n"), F.lit("")).alias("summary"), said("point").alias("highlights"))
+
+
+def compile_digest(topics: DataFrame, selected: DataFrame, first: str, last: str, *, strategy: str = "semantic_kmeans", overview: DataFrame | None = None) -> DataFrame:
+    """The digest row: topics and highlights as JSON with counters; without chunks an empty digest.
+
+    overview: one row (title, summary, highlights), as a reply gives it; without one, that of ``digest_overview``.
+    """
     body = topics.agg(F.coalesce(F.to_json(F.sort_array(F.collect_list(F.struct("topic_index", "topic_name", "n_chunks", "summary", "key_points")))), F.lit("[]")).alias("topics_json"), F.count(F.lit(1)).alias("n_topics"))
+    said = (digest_overview(topics) if overview is None else overview).select("title", F.col("summary").alias("summary_text"), F.when(F.size("highlights") > 0, F.to_json("highlights")).alias("highlights_json"))
     counts = selected.agg(F.count(F.lit(1)).alias("chunks_analyzed"), F.count_distinct("document_id").alias("documents_analyzed"))
-    named = F.concat(F.lit("Digest "), F.date_format(F.lit(first).cast("date"), "dd.MM.yyyy"), F.lit(" bis "), F.date_format(F.lit(last).cast("date"), "dd.MM.yyyy"))
-    return counts.crossJoin(F.broadcast(body)).select(named.alias("name"), F.lit(strategy).alias("strategy"), "topics_json", "n_topics", "chunks_analyzed", "documents_analyzed")
+    named = F.concat(F.lit("Digest "), F.lit(first).cast("date").cast("string"), F.lit(" bis "), F.lit(last).cast("date").cast("string"))
+    # Both sides are one row.
+    return counts.crossJoin(F.broadcast(body)).crossJoin(F.broadcast(said)).select(named.alias("name"), "title", F.lit(strategy).alias("strategy"), "summary_text", "topics_json", "highlights_json", "n_topics", "chunks_analyzed", "documents_analyzed")
 
 
 def digest_topics(topics: DataFrame, members: DataFrame, digest_id: int) -> DataFrame:

@@ -6,7 +6,9 @@ Plain Parquet has no MERGE; a new snapshot is written beside the old one
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
     Labels also jump along themselves, so a chain needs as many rounds as the logarithm of its length.
     """
     both = checkpoint(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.select(F.col("a").alias("row"), F.col("a").alias("entity")).distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("row")).agg(F.min("b").alias("near")).select("row", F.least("row", "near").alias("entity")))
     while True:
         near = both.join(labels.withColumnRenamed("row", "b"), "b").groupBy(F.col("a").alias("row")).agg(F.min("entity").alias("near"))
         step = labels.join(near, "row").select("row", "entity", F.least("entity", "near").alias("to"))
@@ -54,84 +56,66 @@ def components(links: DataFrame) -> DataFrame:
 
 def _entities(rows: DataFrame) -> DataFrame:
     """``row`` and ``entity`` of rows that share a URL or a provider id with others of their source. A missing key is shared with nothing."""
-    links = None
-    for key in ("provider_id", "url_canonical"):
-        keyed = rows.filter(F.col(key).isNotNull()).select("source", key, "row")
-        lead = checkpoint(keyed.groupBy("source", key).agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-        own = keyed.join(lead, ["source", key]).filter("row <> b").select(F.col("row").alias("a"), "b")
-        links = own if links is None else links.unionByName(own)
-    return components(links)
-
-
-def _runs(rows: DataFrame) -> DataFrame:
-    """Rows of entities with ``run``: one number for rows that follow each other with the same two keys."""
-    order = Window.partitionBy("entity").orderBy("row")
-    same = F.col("url_canonical").eqNullSafe(F.lag("url_canonical").over(order)) & F.col("provider_id").eqNullSafe(F.lag("provider_id").over(order)) & F.lag("row").over(order).isNotNull()
-    return rows.withColumn("_new", (~same).cast("int")).withColumn("run", F.sum("_new").over(order)).drop("_new")
+    keys = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("provider_id", "url_canonical")]
+    keyed = rows.select("source", "row", F.inline(F.array(*keys))).filter("key is not null")
+    # A row whose keys are its own alone stops here: only shared keys are joined.
+    lead = keyed.groupBy("source", "kind", "key").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return components(keyed.join(lead, ["source", "kind", "key"]).filter("row <> b").select(F.col("row").alias("a"), "b"))
 
 
-def _collapsed(rows: DataFrame) -> DataFrame:
-    """The first row of each run, and one row of what the others of the run would leave behind them, marked ``rest``.
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by entity and row, one after another, as the store would take them; ``rejected`` marks those that it refuses.
 
-    A document that a run has found is found again by each of its rows, so a hot key is one pair of rows.
+    Only the documents of one entity are held, however many rows made them.
     """
-    order = Window.partitionBy("entity", "run").orderBy("row")
-    marked = rows.withColumn("rest", F.lag("row").over(order).isNotNull())
-    fresh = ~F.col("rest") | (F.col("fulltext").isNotNull() & (F.col("url_canonical").isNull() | (F.col("fulltext") != "")))
     texts = ("fulltext", "fulltext_source", "fulltext_fetched_at")
-    kept = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row"))).alias(c) for c in KEPT]
-    took = [F.max_by(c, F.when(fresh, F.col("row"))).alias(c) for c in texts]
-    same = [F.first(c).alias(c) for c in rows.columns if c not in ("entity", "run", "row", *KEPT, *texts)]
-    return marked.groupBy("entity", "run", "rest").agg(*same, *kept, *took, F.min("row").alias("row")).select(*rows.columns, "rest")
-
-
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Runs of one entity, one after another, as the store would take them."""
-    known = lambda x: x is not None and (isinstance(x, str) or not pd.isna(x))
-    by_url: dict[str, dict] = {}
-    by_id: dict[str, dict] = {}
-    out: list[dict] = []
-    own: dict | None = None
-    for new in rows.sort_values("row").to_dict("records"):
-        url, key, text = new["url_canonical"], new["provider_id"], new["fulltext"]
-        if new["rest"]:
-            if own is not None:  # else the run was refused
-                own.update({c: new[c] for c in KEPT if known(new[c])})
-                own.update({c: new[c] for c in ("fulltext", "fulltext_source", "fulltext_fetched_at")} if known(text) else {})
-            continue
-        at_url, at_id = by_url.get(url) if known(url) else None, by_id.get(key) if known(key) else None
-        if at_url is not None and at_id is not None and at_id is not at_url:
-            # Its provider id belongs to another document: the store would refuse it.
-            out.append(new | {"rejected": True})
-            own = None
-            continue
-        own = at_url if at_url is not None else at_id
-        if own is None:
-            own = new | {"rejected": False}
-            out.append(own)
-        else:
-            own.update({c: new[c] for c in KEPT if known(new[c])})
-            if known(text) and (at_url is None or text != ""):
-                own.update({c: new[c] for c in ("fulltext", "fulltext_source", "fulltext_fetched_at")})
-            if at_url is not None and key != own["provider_id"]:
-                by_id.pop(own["provider_id"], None)
-                own["provider_id"] = key
-            if known(url) and url != own["url_canonical"]:
-                by_url.pop(own["url_canonical"], None)
-                own["url_canonical"] = url
-        if known(own["url_canonical"]):
-            by_url[own["url_canonical"]] = own
-        if known(own["provider_id"]):
-            by_id[own["provider_id"]] = own
-    return pd.DataFrame(out, columns=[*rows.columns, "rejected"])
+    entity, by_url, by_id, docs = None, {}, {}, []
+    done: list[dict] = []
+    schema = None
+    for batch in batches:
+        schema = schema or batch.schema.append(pa.field("rejected", pa.bool_()))
+        for new in batch.to_pylist():
+            if new["entity"] != entity:
+                done += docs
+                entity, by_url, by_id, docs = new["entity"], {}, {}, []
+            url, key, text = new["url_canonical"], new["provider_id"], new["fulltext"]
+            at_url, at_id = by_url.get(url), by_id.get(key)
+            if at_url is not None and at_id is not None and at_id is not at_url:
+                # Its provider id belongs to another document: the store would refuse it.
+                done.append(new | {"rejected": True})
+                continue
+            own = at_url if at_url is not None else at_id
+            if own is None:
+                own = new | {"rejected": False}
+                docs.append(own)
+            else:
+                own.update({c: new[c] for c in KEPT if new[c] is not None})
+                if text is not None and (at_url is None or text != ""):
+                    own.update({c: new[c] for c in texts})
+                if at_url is not None and key != own["provider_id"]:
+                    by_id.pop(own["provider_id"], None)
+                    own["provider_id"] = key
+                if url is not None and url != own["url_canonical"]:
+                    by_url.pop(own["url_canonical"], None)
+                    own["url_canonical"] = url
+            # A missing key is no key.
+            if own["url_canonical"] is not None:
+                by_url[own["url_canonical"]] = own
+            if own["provider_id"] is not None:
+                by_id[own["provider_id"]] = own
+        if len(done) >= 1000:
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+            done = []
+    if done or docs:
+        yield pa.RecordBatch.from_pylist(done + docs, schema=schema)
 
 
 def upsert_articles(target: DataFrame, batch: DataFrame, *, now: str, merge_across_sources: bool = False) -> tuple[DataFrame, DataFrame]:
     """(new target, rejects) after taking in the articles in the order of ``seq``.
 
     Within a source an article belongs to the document of its URL, else to that of
-    its provider id; a missing URL or id is no key. Rows without a partner in the batch or
-    target need no fold, and rows that follow each other with the same keys are one.
+    its provider id; a missing URL or id is no key. Rows without a partner in the batch or target
+    need no fold. The rows of an entity are folded in their order, so by one task, which streams them.
     """
     new = prepare_articles(batch).withColumn("fulltext_fetched_at", F.when(F.col("fulltext").isNotNull(), F.lit(now).cast("timestamp")))
     # Stored rows come before new ones; nothing else depends on their numbers.
@@ -140,13 +124,12 @@ def upsert_articles(target: DataFrame, batch: DataFrame, *, now: str, merge_acro
     if merge_across_sources:
         rows = rows.withColumn("_source", F.col("source")).withColumn("source", F.lit("*"))
     rows = checkpoint(rows)
-    entities = checkpoint(_entities(rows))
+    entities = _entities(rows)
     single = rows.join(entities, "row", "left_anti")
-    many = checkpoint(_runs(rows.join(entities, "row")))
-    input_ = _collapsed(many)
-    folded = checkpoint(input_.groupBy("entity").applyInPandas(_fold, input_.withColumn("rejected", F.lit(False)).schema))
+    many = rows.join(entities, "row").repartition("entity").sortWithinPartitions("entity", "row")
+    folded = checkpoint(many.mapInArrow(_fold, many.withColumn("rejected", F.lit(False)).schema))
     found = single.unionByName(folded.filter("not rejected").select(*rows.columns))
-    refused = many.join(folded.filter("rejected").select("entity", "run"), ["entity", "run"], "left_semi").select(*rows.columns)
+    refused = folded.filter("rejected").select(*rows.columns)
     if merge_across_sources:
         found, refused = (x.withColumn("source", F.col("_source")).drop("_source") for x in (found, refused))
     return found.drop("row"), refused.drop("row").withColumn("reason", F.lit("provider_id belongs to another document"))

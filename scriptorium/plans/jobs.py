@@ -21,7 +21,8 @@ def sync(
     """
     text = F.coalesce(blank_to_null(F.col("fulltext")), extract_text(F.col("fulltext_html")))
     stored, rejected = maintenance.upsert_articles(docs, batch.withColumn("fulltext", text), now=now)
-    keyed = checkpoint(stored.withColumn("id", F.xxhash64("source", "provider_id")))
+    # A document without a provider id is known by its URL.
+    keyed = checkpoint(stored.withColumn("id", F.xxhash64("source", F.coalesce(F.concat(F.lit("id "), "provider_id"), F.concat(F.lit("url "), "url_canonical")))))
     new_chunks, vectors = embedding.embed_chunks(keyed, chunks, embeddings, embedder, provider=provider, model=model)
     postings = fulltext.build_postings(keyed, ["title", "author", "fulltext", "summary"], id_col="id")
     done = {"documents": keyed, "rejects": rejected, "chunks": new_chunks, "embeddings": vectors, "usage": embedding.usage_events(vectors, "embed", price, now), "postings": postings}
