@@ -7,10 +7,10 @@ repeat; a tanh layer turns that into a representation, a gated attention
 the weighted representation is scored. Only documents carry labels; the
 attention is learned through them.
 
-The model is fitted on the driver on at most ``fit_rows`` labelled documents,
-chosen by a hash of the key. Every passage of these counts: of a text with more than
-``FIT_PASSAGES``, runs of neighbouring passages are averaged into so many, which bounds
-what the driver gets. Scoring reads every passage of every text by itself.
+The model is fitted on at most ``fit_rows`` labelled documents, chosen by a hash of the
+key. Every passage of these is fitted on by itself, as it is scored: the encoded documents
+are written to the shared folder, and each epoch streams them from there, so that the driver
+holds a mini-batch of at most ``BATCH`` documents and about ``BATCH_PASSAGES`` passages (or one document).
 
 Defined results: a null or empty text is one passage without words and gets a
 score like any other, and so does a text of any length; repeated rows get equal scores;
@@ -22,7 +22,7 @@ are ignored, whatever their names; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import textbatch
+from scriptorium.llm.durable import checkpoint
 from scriptorium.llm.textbatch import tidy
 
 PASSAGE = 64
-FIT_PASSAGES = 32
+BATCH, BATCH_PASSAGES = 128, 1 << 15
+KEEP_BYTES = 128 << 20
 _CLASSES = 16
 N_FEATURES = _CLASSES * _CLASSES + 4
 
@@ -89,12 +91,18 @@ def encode(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.sqrt(counts / np.maximum(size, 1)), shape.astype(np.float32)], axis=1), begin
 
 
-def condensed(x: np.ndarray, most: int = FIT_PASSAGES) -> np.ndarray:
-    """Passages of one text, runs of neighbours averaged so that ``most`` remain."""
-    if len(x) <= most:
-        return x
-    edge = np.arange(most + 1) * len(x) // most
-    return np.add.reduceat(x, edge[:-1], axis=0) / np.diff(edge)[:, None]
+def mini_batches(bags: Iterable[tuple[np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Passages, the index of each bag's first one (one more at the end) and labels of neighbouring bags."""
+    some: list[np.ndarray] = []
+    labels: list[int] = []
+    for bag, label in bags:
+        if some and (len(some) == BATCH or sum(map(len, some)) + len(bag) > BATCH_PASSAGES):
+            yield np.concatenate(some), np.cumsum([0, *map(len, some)]), np.array(labels, np.float32)
+            some, labels = [], []
+        some.append(bag)
+        labels.append(label)
+    if some:
+        yield np.concatenate(some), np.cumsum([0, *map(len, some)]), np.array(labels, np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,22 +134,23 @@ class AttentionModel:
             return np.full(len(begin) - 1, self.constant)
         return self._forward((x - self.mean) * self.scale, begin)[-1].astype(np.float64)
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = 15, batch: int = 128, rate: float = 0.004) -> AttentionModel:
-        if len(bags) == 0 or labels.min() == labels.max():
-            self.constant = float(labels.mean()) if len(bags) else 0.5
+    def fit(self, bags: Callable[[], Iterable[tuple[np.ndarray, int]]], epochs: int = 15, rate: float = 0.004) -> AttentionModel:
+        """``bags`` gives the (passages, label) of the documents anew for each epoch, in any fixed order that mixes the labels."""
+        n, total, squares = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+        ones, n_bags = 0.0, 0
+        for x, begin, labels in mini_batches(bags()):
+            n, total, squares = n + len(x), total + x.sum(axis=0, dtype=np.float64), squares + (x.astype(np.float64) ** 2).sum(axis=0)
+            ones, n_bags = ones + float(labels.sum()), n_bags + len(labels)
+        if n_bags == 0 or ones in (0, n_bags):
+            self.constant = ones / n_bags if n_bags else 0.5
             return self
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(axis=0), 1 / (every.std(axis=0) + 0.02)
-        rng = np.random.default_rng(11)
+        mean = total / n
+        self.mean, self.scale = mean.astype(np.float32), (1 / (np.sqrt(np.maximum(squares / n - mean**2, 0)) + 0.02)).astype(np.float32)
         slow, fast = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
         for _ in range(epochs):
-            order = rng.permutation(len(bags))
-            for k in range(0, len(order), batch):
-                own = order[k : k + batch]
-                begin = np.concatenate([[0], np.cumsum([len(bags[i]) for i in own])])
-                x = (np.concatenate([bags[i] for i in own]) - self.mean) * self.scale
-                grad = self._gradient(x, begin, labels[own])
+            for x, begin, labels in mini_batches(bags()):
+                grad = self._gradient((x - self.mean) * self.scale, begin, labels)
                 step += 1
                 for name, value in grad.items():
                     slow[name] += 0.1 * (value - slow[name])
@@ -172,14 +181,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in textbatch.slices(batch.column(2)):
-                x, begin = encode(*textbatch.utf8(batch.column(2).slice(i, j - i)))
-                some = [condensed(x[b:e]) for b, e in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.string()), batch.column(1).slice(i, j - i), pa.array([b.astype(np.float16).tobytes() for b in some], pa.binary())], ["id", "label", "bag"])
-
-    got = sorted(rows.mapInArrow(tidy(run), "id string, label int, bag binary").collect(), key=lambda r: r["id"])
-    bags = [np.frombuffer(r["bag"], np.float16).astype(np.float32).reshape(-1, N_FEATURES) for r in got]
-    return AttentionModel().fit(bags, np.array([r["label"] for r in got], np.float32))
+            for i, j in textbatch.slices(batch.column(1)):
+                x, begin = encode(*textbatch.utf8(batch.column(1).slice(i, j - i)))
+                own = [x[b:e].astype(np.float16).tobytes() for b, e in zip(begin[:-1], begin[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.binary())], ["label", "bag"])
+
+    # In an order by hash, so that every stretch of them mixes the labels.
+    ordered = rows.orderBy(F.xxhash64("id"), "id").select("label", "text")
+    encoded = checkpoint(ordered.mapInArrow(tidy(run), "label int, bag binary"))
+    return AttentionModel().fit(_Bags(encoded))
+
+
+class _Bags:
+    """The encoded documents in order, as often as asked; up to ``KEEP_BYTES`` are not read twice, with the same result."""
+
+    def __init__(self, encoded: DataFrame):
+        self.encoded = encoded
+        self.kept: list[tuple[bytes, int]] | None = None
+
+    def __call__(self) -> Iterator[tuple[np.ndarray, int]]:
+        kept, size = [], 0
+        for bag, label in self.kept if self.kept is not None else self.encoded.select("bag", "label").toLocalIterator():
+            size += len(bag)
+            if size <= KEEP_BYTES:
+                kept.append((bag, label))
+            else:
+                kept = []
+            yield np.frombuffer(bag, np.float16).astype(np.float32).reshape(-1, N_FEATURES), label
+        self.kept = kept if size <= KEEP_BYTES else None
 
 
 def score(docs: DataFrame, model: AttentionModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

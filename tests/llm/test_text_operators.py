@@ -181,12 +181,24 @@ def test_attention_gradient():
         assert abs((up - down) / 2e-5 - own[1 % len(flat)]) < 1e-5
 
 
-def test_condensed_passages_are_means_of_all():
-    x = np.random.default_rng(3).random((101, 5))
-    assert np.array_equal(quality_model.condensed(x[:32]), x[:32])
-    few = quality_model.condensed(x, 10)
-    edge = [k * 101 // 10 for k in range(11)]
-    assert np.allclose(few, [x[i:j].mean(axis=0) for i, j in zip(edge, edge[1:], strict=False)]) and np.allclose(sum(f * (j - i) for f, i, j in zip(few, edge, edge[1:], strict=False)), x.sum(axis=0))
+def test_bags_that_are_not_kept_give_the_same_model(spark, docs, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").limit(40)
+    models = []
+    for most in (quality_model.KEEP_BYTES, 1000):
+        monkeypatch.setattr(quality_model, "KEEP_BYTES", most)
+        models.append(quality_model.fit(docs, labels, label_col="quality").p)
+    assert all(np.array_equal(models[0][k], models[1][k]) for k in models[0])
+
+
+def test_mini_batches_hold_every_passage():
+    rng = np.random.default_rng(4)
+    sizes = [1, 3, 500, quality_model.BATCH_PASSAGES + 5, *rng.integers(1, 400, 300).tolist()]
+    bags = [(np.full((n, 2), k, np.float32), k % 2) for k, n in enumerate(sizes)]
+    seen = list(quality_model.mini_batches(bags))
+    assert [len(y) for *_, y in seen][:2] == [3, 1] and all(len(y) <= quality_model.BATCH for *_, y in seen)
+    assert np.array_equal(np.concatenate([x[:, 0] for x, *_ in seen]), np.repeat(np.arange(len(sizes)), sizes))
+    assert np.concatenate([np.diff(b) for _, b, _ in seen]).tolist() == sizes and np.concatenate([y for *_, y in seen]).tolist() == [k % 2 for k in range(len(sizes))]
+    assert list(quality_model.mini_batches([])) == []
 
 
 def test_quality_model_takes_repeated_keys_and_clashing_names(spark):
