@@ -9,8 +9,9 @@ matrix. Matches longer than ``LONG`` bytes, for which padded rows would cost the
 square of the length, are merged with a heap in the same order.
 
 Defined results: null or empty text has no ids and decodes to empty bytes;
-repeated rows are encoded each; an empty table gives an empty table; columns
-other than the key and the text are ignored.
+repeated rows are encoded each; of equal ranks the leftmost pair is merged; a text of any
+length is encoded whole; an empty table gives an empty table; columns other than the key
+and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ sends its counts per language, Spark sums them and keeps the top ranks.
 
 Defined results: text that is null or has no letter gives ``und`` with score 0;
 equal counts are ordered by n-gram; equal distances by language name; without
-training rows every prediction is ``und``; repeated rows are predicted each.
+training rows every prediction is ``und``; repeated rows are predicted each; a text of
+any length is read whole, so a task holds one text's n-grams; an empty table gives an empty
+table; other columns are not read, whatever their names (also ``id``, ``lang_pred``, ``score``).
 """
 
 from __future__ import annotations

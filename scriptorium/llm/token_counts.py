@@ -8,7 +8,8 @@ pieces are gathered into batches of about ``batch_bytes`` bytes, each distinct
 piece is encoded once per task, and a text's length is the sum of its pieces'.
 
 Defined results: null or empty text has 0 tokens and 0 bytes; an empty table
-gives an empty table; repeated rows are counted each; other columns are ignored.
+gives an empty table; repeated rows are counted each (so there are no ties); other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -86,6 +86,8 @@ def test_language_edge_cases(docs, odd_docs, no_docs):
     found = [(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(docs, odd_docs).collect()]
     assert all(p == "und" and s == 0 for i, p, s in found if i in (1, 2, 3)) and len(found) == 9 and all(0 <= s <= 1 for *_, s in found)
     assert language_id.identify(docs, no_docs).count() == 0
+    clash = odd_docs.withColumnsRenamed({"n": "lang_pred", "source": "score"})
+    assert sorted(map(str, language_id.identify(docs, clash).collect())) == sorted(map(str, language_id.identify(docs, odd_docs).collect()))
     assert {r.lang_pred for r in language_id.identify(no_docs, odd_docs).collect()} == {"und"}
     right = held(docs.collect())
     some = [r for r in language_id.identify(docs.filter(~queries.held_out()), docs).collect() if len(right[r.doc_id].text) > 200]
