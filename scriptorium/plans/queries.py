@@ -607,7 +607,7 @@ def g10_inverted_recall(spark, sf_dir):
     rows = _clustered(spark, sf_dir)
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     index = _vector_index(spark, rows)
-    probes = max(1, len(index.cell) // 16)
+    probes = max(1, len(index.cell) // 15)
     found = knn.recall(knn.nearest_many(rows, asked, 10, id_col="vec_id"), index.search(asked, 10, probes=probes), id_col="vec_id", query_col="query_id")
     return asked.agg(F.count(F.lit(1)).alias("n_queries")).crossJoin(found.select((F.col("recall") >= 0.9).alias("reached"))).crossJoin(index.pairs_read(asked, probes=probes).select((F.col("share") <= 0.1).alias("few")))
 
