@@ -13,8 +13,13 @@ near copies of one text show nothing),
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 + ln p(e | t) / -ln p(e)
 
-with probabilities from document counts over the whole corpus. Words of any length and
-with digits are terms. Terms at or over ``threshold`` (of a value or part) or
+with probabilities from document counts over the whole corpus. That they stand together must
+also be more than chance: if t fell on documents at random, the probability that as many of
+its n documents hold e is at most exp(-n KL(p(e | t) || p(e))) (Hoeffding's bound, also of
+draws without replacement), and over all pairs of an entity and a word of a document these
+bounds may sum to ``max_chance``. So a corpus in which terms and entities are independent
+shows that many terms on average, whatever its size; a pair of rare ones needs three
+documents or so, a word and a kind rather more. Words of any length and with digits are terms. Terms at or over ``threshold`` (of a value or part) or
 ``kind_threshold`` (of a kind, which says less about a person, so only terms that
 never stand without it reveal it) become spans in every document that holds them: they
 are removed if they stand in no document without the entity (disclosure 1) and
@@ -27,7 +32,7 @@ documents, by bytes, below ``BROADCAST_BYTES``.
 
 Defined results: null text is empty and has no spans; a text of any length is read
 whole; spans of different kinds may overlap and are replaced together, by the first
-kind's mark; equal spans are reported once a kind; a term that reveals several entities
+kind's mark; a ``max_chance`` of infinity asks for no evidence beyond two documents; equal spans are reported once a kind; a term that reveals several entities
 is marked by the one of greatest disclosure, ties by kind; a term exactly at a threshold
 counts as over it; repeated rows are treated each, and count as one document in every
 probability; rows with a null key are documents like others; columns of any name pass
@@ -37,6 +42,8 @@ empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +170,7 @@ def _once(held: Column) -> Column:
 _ENTITY = ["kind", "level", "value"]
 
 
-def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, kind_threshold: float = 1.0, reach: int = 40) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, kind_threshold: float = 1.0, max_chance: float = 0.05, reach: int = 40) -> tuple[DataFrame, DataFrame]:
     """Terms that reveal entities, and where.
 
     Returns (kind, level, value, term, disclosure) and, for each row of ``docs`` that holds
@@ -174,7 +181,10 @@ def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Repeated rows share the count of one document; a weight a row needs no shuffle of the words.
     repeated = checkpoint(own.groupBy("_key").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"))
     n_repeated, too_many = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0))).first()
-    n_all = own.count() - too_many
+    weighed = own.join(F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated, "_key", "left") if n_repeated else own.withColumn("n_rows", F.lit(1))
+    weighed = weighed.select("_key", "_text", F.coalesce("n_rows", F.lit(1)).alias("n_rows"))
+    n_rows, n_words = weighed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(_words(text)) / F.col("n_rows")), F.lit(0.0))).first()
+    n_all = n_rows - too_many
     blank = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("mark")))
 
     def named(s: Column) -> Column:
@@ -192,16 +202,25 @@ def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     entity = met(rows.select(F.inline("held")), _ENTITY, "n_entity").filter(F.col("n_entity") * 2 <= n_all)
     entity = checkpoint(entity.select(*_ENTITY, "n_entity"))
-    side = F.broadcast(entity) if entity.count() <= BROADCAST_ROWS else entity
+    n_entities = entity.count()
+    side = F.broadcast(entity) if n_entities <= BROADCAST_ROWS else entity
     near = rows.select("terms", F.inline("held")).join(side, _ENTITY).select(F.xxhash64(*_ENTITY).alias("entity"), "side", "terms")
     named = side.select(F.xxhash64(*_ENTITY).alias("entity"), *_ENTITY, "n_entity")
     disclosure = lambda n: 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / n)) / -F.log(F.col("n_entity") / n_all)
     least = F.when(F.col("level") == "kind", F.lit(kind_threshold)).otherwise(F.lit(threshold))
+    evidence = max(0.0, math.log(max(1.0, n_entities * n_words)) - math.log(max_chance))
+
+    def telling(n: Column) -> Column:
+        """Whether a term of ``n`` documents discloses enough, by more than chance."""
+        share, rate = F.least(F.lit(1.0), F.col("n_both") / n), F.col("n_entity") / n_all
+        away = share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+        return (disclosure(n) >= least) & (F.when(share > rate, n * away).otherwise(0.0) >= evidence)
+
     # A term stands in at least as many documents as it stands beside entities in, which bounds its disclosure and
-    # spares the contexts and the corpus count of terms that cannot reach the threshold.
+    # evidence and spares the contexts and the corpus count of terms that cannot reach the threshold.
     beside = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_beside")).filter("n_beside > 1")
     together = near.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter("n_both > 1")
-    hopeful = together.join(named, "entity").join(beside, "term").filter(disclosure(F.col("n_beside")) >= least)
+    hopeful = together.join(named, "entity").join(beside, "term").filter(telling(F.col("n_beside")))
     hopeful = checkpoint(hopeful.select("entity", *_ENTITY, "n_entity", "term", "n_both"))
     few = hopeful.count() <= BROADCAST_ROWS
     met_in = near.select("entity", "side", F.explode("terms").alias("term"))
@@ -210,21 +229,20 @@ def disclosing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rated = checkpoint(hopeful.join(varied, ["entity", "term"]).drop("entity"))
     terms = rated.select("term").distinct()
     small = terms.count() <= BROADCAST_ROWS
-    weighed = own.join(F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated, "_key", "left") if n_repeated else own.withColumn("n_rows", F.lit(1))
-    words = weighed.select("_key", F.coalesce("n_rows", F.lit(1)).alias("n_rows"), F.explode(_words(text)).alias("term"))
+    words = weighed.select("_key", "n_rows", F.explode(_words(text)).alias("term"))
     seen = words.join(F.broadcast(terms) if small else terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum(1 / F.col("n_rows"))).alias("n_term"))
     rated = rated.join(seen, "term").withColumn("disclosure", disclosure(F.col("n_term")))
-    rated = checkpoint(rated.filter(F.col("disclosure") >= least).select(*_ENTITY, "term", "disclosure"))
+    rated = checkpoint(rated.filter(telling(F.col("n_term"))).select(*_ENTITY, "term", "disclosure"))
     best = rated.groupBy("term").agg(F.max(F.struct("disclosure", "kind")).alias("best")).select("term", "best.kind", "best.disclosure")
     where = words.join(F.broadcast(best) if small else best, "term")
     return rated, where.groupBy("_key").agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias("terms"))
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans", threshold: float = 0.9, kind_threshold: float = 1.0) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans", threshold: float = 0.9, kind_threshold: float = 1.0, max_chance: float = 0.05) -> DataFrame:
     """``docs`` with ``spans_col``: (kind, start, end, value, mark) of patterns, by kind, and of disclosing terms, then start."""
     if spans_col.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {spans_col} exists; give another spans_col")
-    _, where = disclosing_terms(docs, id_col=id_col, text_col=text_col, threshold=threshold, kind_threshold=kind_threshold)
+    _, where = disclosing_terms(docs, id_col=id_col, text_col=text_col, threshold=threshold, kind_threshold=kind_threshold, max_chance=max_chance)
     where = checkpoint(where)
     each = F.aggregate("terms", F.lit(16).cast("long"), lambda n, t: n + F.octet_length(t["term"]) + 48)
     small = where.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0] <= BROADCAST_BYTES

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -371,10 +372,40 @@ def test_pii_disclosing_terms(spark):
     rows = [(i, f"filler{i} words the and common text number{i} here") for i in range(60)]
     rows += [(100, "zanzibar lead writes from ann@corp.example about the plan"), (101, "mail ann@corp.example when zanzibar is due"), (102, "we saw zanzibar with ann@corp.example last week"), (102, "we saw zanzibar with ann@corp.example last week")]
     frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _id string")
-    found = pii.find(frame).withColumn("masked", pii.replace(F.col("text"), F.col("spans"))).filter("doc_id >= 100").orderBy("doc_id").collect()
+    found = pii.find(frame, max_chance=math.inf).withColumn("masked", pii.replace(F.col("text"), F.col("spans"))).filter("doc_id >= 100").orderBy("doc_id").collect()
     assert [r.masked for r in found] == [" lead writes from [email] about the plan", "mail [email] when  is due", "we saw  with [email] last week", "we saw  with [email] last week"]
-    rated = pii.disclosing_terms(frame)[0].collect()
+    rated = pii.disclosing_terms(frame, max_chance=math.inf)[0].collect()
     assert {(r.kind, r.level, r.value, r.term, r.disclosure) for r in rated} == {("email", level, value, "zanzibar", 1.0) for level, value in (("value", "ann@corp.example"), ("part", "@corp.example"), ("kind", "*"))}
+    # Three of 63 documents are no evidence: 3 entities and 552 words of documents make such a pair likely enough.
+    assert pii.disclosing_terms(frame)[0].count() == 0
+
+
+def test_pii_planted_pairs_found_and_chance_shows_none(spark, docs):
+    """Names beside addresses of the given corpus are found; with the values dealt to documents at random no term is."""
+    rng = random.Random(12)
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    found = {r.doc_id: [s.value for s in r.spans] for r in pii.base_spans(docs.select("doc_id", "text"), "text", "spans").collect()}
+    bare = [(i, functools.reduce(lambda t, v: t.replace(v, " "), found[i], t)) for i, t in rows]
+    values = [v for own in found.values() for v in own]
+    assert len(values) > 20
+
+    def insert(text, part):
+        words = text.split(" ")
+        words.insert(rng.randint(0, len(words)), part)
+        return " ".join(words)
+
+    dealt = dict(bare)
+    for v in values + [f"user{k % 9}@dealt.example" for k in range(60)]:
+        i = rng.choice(bare)[0]
+        dealt[i] = insert(dealt[i], v)
+    schema = "doc_id long, text string"
+    assert pii.disclosing_terms(spark.createDataFrame(list(dealt.items()), schema))[0].count() == 0
+    for k in range(8):
+        for i, _ in rng.sample(bare, 5):
+            dealt[i] = insert(insert(dealt[i], f"qzxname{k}"), f"owner{k}@planted.example")
+    rated = pii.disclosing_terms(spark.createDataFrame(list(dealt.items()), schema))[0].collect()
+    assert {r.term for r in rated} == {f"qzxname{k}" for k in range(8)}
+    assert {(r.term, r.value) for r in rated if r.level == "value"} >= {(f"qzxname{k}", f"owner{k}@planted.example") for k in range(8)}
 
 
 def test_pii_terms_in_the_whole_document_and_in_all_that_hold_them(spark):
@@ -382,15 +413,15 @@ def test_pii_terms_in_the_whole_document_and_in_all_that_hold_them(spark):
     rows += [(700, "Li wrote as jdoe42 and said that the words here and others in it with text so common call +49 30 1234567 today"), (701, "ring +49 30 1234567 soon and ask with many words and others so common in the text here for jdoe42 or Li")]
     rows += [(702, "nobody but jdoe42 has the number here"), (None, "it was jdoe42 again")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = pii.find(frame, threshold=0.8).filter("doc_id is null or doc_id >= 700").withColumn("masked", pii.replace(F.col("text"), F.col("spans")))
+    found = pii.find(frame, threshold=0.8, max_chance=math.inf).filter("doc_id is null or doc_id >= 700").withColumn("masked", pii.replace(F.col("text"), F.col("spans")))
     masked = {r.doc_id: r.masked for r in found.collect()}
     assert not any("jdoe42" in m or re.search(r"\bLi\b", m) for m in masked.values())
-    rated = {(r.term, round(r.disclosure, 6)) for r in pii.disclosing_terms(frame, threshold=0.8)[0].collect()}
+    rated = {(r.term, round(r.disclosure, 6)) for r in pii.disclosing_terms(frame, threshold=0.8, max_chance=math.inf)[0].collect()}
     rare = -math.log(2 / 604)
     assert {("li", 1.0), ("jdoe42", round(1 + math.log(2 / 4) / rare, 6))} <= rated and "common" not in dict(rated)
 
 
-def brute_disclosure(rows, threshold, kind_threshold, reach=40):
+def brute_disclosure(rows, threshold, kind_threshold, max_chance=math.inf, reach=40):
     """Every (kind, level, value, term, disclosure) at or over the thresholds, counted one by one."""
     texts = {(i, t) for i, t in rows}
     plain = lambda x: re.sub(r"[^\w]|_", " ", x.lower()).split()
@@ -408,15 +439,17 @@ def brute_disclosure(rows, threshold, kind_threshold, reach=40):
             for e in ((k, "value", v), (k, "part", part), (k, "kind", "*")):
                 side.setdefault(e, {}).setdefault(own, (tuple(plain(text[max(0, i - reach) : i])), tuple(plain(text[j : j + reach]))))
     out = set()
+    side = {e: own for e, own in side.items() if len(own) * 2 <= len(texts) and min(len({s[x] for s in own.values()}) for x in (0, 1)) > 1}
+    n_tests = len(side) * sum(len(own) for own in holds.values())
     for e, own in side.items():
-        if len(own) * 2 > len(texts) or min(len({s[x] for s in own.values()}) for x in (0, 1)) < 2:
-            continue
         for term in set().union(*(terms[d] for d in own)) & holds.keys():  # what a value leaves of a word is none
             both = [d for d in own if term in terms[d]]
             contexts = {own[d] for d in both}
             if len(both) > 1 and 4 * len(contexts) >= 3 * len(both) and min(len({s[x] for s in contexts}) for x in (0, 1)) > 1:
                 far = 1 + math.log(min(1.0, len(both) / len(holds[term]))) / -math.log(len(own) / len(texts))
-                if far >= (kind_threshold if e[1] == "kind" else threshold):
+                a, p, n = len(both) / len(holds[term]), len(own) / len(texts), len(holds[term])
+                tail = ((p / a) ** a * ((1 - p) / (1 - a) if a < 1 else 1.0) ** (1 - a)) ** n if a > p else 1.0
+                if far >= (kind_threshold if e[1] == "kind" else threshold) and tail * n_tests <= max_chance:
                     out.add((*e, term, round(far, 6)))
     return out
 
@@ -437,9 +470,9 @@ def test_pii_disclosure_against_brute_force(spark):
         rows.append((i, " ".join(text)))
     rows += [rows[0], rows[4], (900, rows[4][1]), (901, rows[4][1] + " x"), (902, None), (902, None), (903, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for threshold, kind_threshold in ((0.9, 1.0), (0.3, 0.3)):
-        got = {(r.kind, r.level, r.value, r.term, round(r.disclosure, 6)) for r in pii.disclosing_terms(frame, threshold=threshold, kind_threshold=kind_threshold)[0].collect()}
-        want = brute_disclosure(rows, threshold, kind_threshold)
+    for threshold, kind_threshold, max_chance in ((0.9, 1.0, math.inf), (0.3, 0.3, math.inf), (0.9, 1.0, 0.05), (0.3, 0.3, 0.05)):
+        got = {(r.kind, r.level, r.value, r.term, round(r.disclosure, 6)) for r in pii.disclosing_terms(frame, threshold=threshold, kind_threshold=kind_threshold, max_chance=max_chance)[0].collect()}
+        want = brute_disclosure(rows, threshold, kind_threshold, max_chance)
         assert {x[3] for x in want} >= {"omar", "zed"} and got == want
 
 
