@@ -63,6 +63,25 @@ def _entities(rows: DataFrame) -> DataFrame:
     return components(keyed.join(lead, ["source", "kind", "key"]).filter("row <> b").select(F.col("row").alias("a"), "b"))
 
 
+def _merged(many: DataFrame) -> DataFrame:
+    """One row an entity, as if all its rows made one document, and ``plain``: whether they do.
+
+    They do if all have the same URL: each row then meets the one document by it, whatever its provider id. They
+    also do if all have the same provider id; whether an empty text counts then depends on the URL before, so there
+    must be none. Nothing but last known values by ``row`` is left to find, which aggregates before the shuffle, so an
+    entity may hold any share of the rows.
+    """
+    texts = ("fulltext", "fulltext_source", "fulltext_fetched_at")
+    same = lambda c: F.coalesce((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1))), F.lit(False))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row")))
+    got = F.max_by(F.struct(*texts), F.when(F.col("fulltext") != "", F.col("row")))
+    plain = same("url_canonical") | (same("provider_id") & (F.count_if(F.col("fulltext") == "") == 0))
+    values = {**{c: last(c) for c in (*KEPT, "url_canonical")}, "provider_id": F.max_by("provider_id", "row")}
+    once = many.groupBy("entity").agg(plain.alias("plain"), F.min_by(F.struct(*many.columns), "row").alias("_first"), got.alias("_texts"), *[v.alias(c) for c, v in values.items()])
+    taken = {c: F.when(F.col("_texts").isNotNull(), F.col(f"_texts.{c}")).otherwise(F.col(f"_first.{c}")) for c in texts}
+    return once.select("plain", *[(F.col(c) if c in values or c == "entity" else taken.get(c, F.col(f"_first.{c}"))).alias(c) for c in many.columns])
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by entity and row, one after another, as the store would take them; ``rejected`` marks those that it refuses.
 
@@ -115,7 +134,8 @@ def upsert_articles(target: DataFrame, batch: DataFrame, *, now: str, merge_acro
 
     Within a source an article belongs to the document of its URL, else to that of
     its provider id; a missing URL or id is no key. Rows without a partner in the batch or target
-    need no fold. The rows of an entity are folded in their order, so by one task, which streams them.
+    need no fold, and entities of one URL or one provider id are aggregated (``_merged``). Only the rows of an entity of
+    several URLs and several ids are folded in their order, so by one task, which streams them.
     """
     new = prepare_articles(batch).withColumn("fulltext_fetched_at", F.when(F.col("fulltext").isNotNull(), F.lit(now).cast("timestamp")))
     # Stored rows come before new ones; nothing else depends on their numbers.
@@ -126,9 +146,12 @@ def upsert_articles(target: DataFrame, batch: DataFrame, *, now: str, merge_acro
     rows = checkpoint(rows)
     entities = _entities(rows)
     single = rows.join(entities, "row", "left_anti")
-    many = rows.join(entities, "row").repartition("entity").sortWithinPartitions("entity", "row")
-    folded = checkpoint(many.mapInArrow(_fold, many.withColumn("rejected", F.lit(False)).schema))
-    found = single.unionByName(folded.filter("not rejected").select(*rows.columns))
+    many = rows.join(entities, "row")
+    merged = checkpoint(_merged(many))
+    knotted = many.join(merged.filter("not plain").select("entity"), "entity", "left_semi").select(*many.columns)
+    knotted = knotted.repartition("entity").sortWithinPartitions("entity", "row")
+    folded = checkpoint(knotted.mapInArrow(_fold, knotted.withColumn("rejected", F.lit(False)).schema))
+    found = single.unionByName(merged.filter("plain").select(*rows.columns)).unionByName(folded.filter("not rejected").select(*rows.columns))
     refused = folded.filter("rejected").select(*rows.columns)
     if merge_across_sources:
         found, refused = (x.withColumn("source", F.col("_source")).drop("_source") for x in (found, refused))
