@@ -31,7 +31,8 @@ The windows of the benchmark are broadcast only while its text is within
 beyond that all windows take part in a shuffled join.
 
 Defined results: null and empty texts match nothing; items with fewer words than
-``width`` are windows of their own length; documents with fewer words than that
+``width`` are windows of their own length; of several texts of one item id any is evidence
+(the least of (form, ``n_windows``, ``n_found``) is reported); documents with fewer words than that
 match nothing; repeated windows of an item count once; repeated rows with one key
 count once; rows without a key are left out; empty tables give an empty table;
 other columns are ignored.
@@ -212,7 +213,7 @@ def _cut(widths: list[int], min_plain: int, known: dict[int, np.ndarray] | None)
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 8, min_plain: int = 5, min_windows: int = 6) -> DataFrame:
     """Pairs of document and item that are contaminated: ``id_col``, ``item_col``,
     ``n_windows`` (of the item, in the first form that hits), ``n_found``, and ``exchanged`` (whether a slot's value differs). Keys are integers."""
-    items = benchmark.select(benchmark[item_col].cast("long").alias("id"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("text")).filter("id is not null").dropDuplicates(["id"])
+    items = benchmark.select(benchmark[item_col].cast("long").alias("id"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("text")).filter("id is not null").distinct()
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id is not null and text is not null")
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +221,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             first = parse(*textbatch.utf8(batch.column(1)))[3]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(np.diff(first), width), pa.int32()), batch.column(1)], ["id", "own_width", "text"])
 
-    sized = items.mapInArrow(tidy(lengths), "id long, own_width int, text string").filter("own_width > 0")
+    # Each text of an item is searched for by itself.
+    sized = items.mapInArrow(tidy(lengths), "id long, own_width int, text string").filter("own_width > 0").withColumn("key", F.xxhash64("id", "text"))
+    named = sized.select("id", F.col("key").alias("item")).withColumnRenamed("id", "of")
     seen = sized.groupBy("own_width").agg(F.sum(F.octet_length("text")).alias("size")).collect()
     widths = sorted({r["own_width"] for r in seen})
     small = sum(r["size"] for r in seen) <= BROADCAST_BYTES
-    items = sized.select("id", "text").mapInArrow(tidy(_cut_items(width, min_plain)), _ITEM_ROW)
+    items = sized.select("key", "text").mapInArrow(tidy(_cut_items(width, min_plain)), _ITEM_ROW)
     known = None
     if small:
         known = {w: np.zeros(0, np.uint64) for w in widths}
@@ -244,5 +247,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     lines = met.select("id", "item", "form", "line", "hash").distinct().join(slots, ["id", "item", "form", "line"], "left").filter(~F.coalesce("broken", F.lit(False)))
     sums = lines.groupBy("id", "item", "form").agg(F.count_distinct("hash").alias("n_found"), F.max(F.coalesce("exchanged", F.lit(False))).alias("exchanged"))
     hits = sums.join(F.broadcast(counts) if small else counts, ["item", "form"]).filter(F.col("n_found") >= F.least(F.ceil(F.col("n_windows") * 0.8), F.lit(min_windows)))
-    hits = hits.groupBy("id", "item").agg(F.min(F.struct("form", "n_windows", "n_found")).alias("best"), F.max("exchanged").alias("exchanged"))
-    return hits.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_windows", "best.n_found", "exchanged")
+    hits = hits.join(F.broadcast(named) if small else named, "item")
+    hits = hits.groupBy("id", "of").agg(F.min(F.struct("form", "n_windows", "n_found")).alias("best"), F.max("exchanged").alias("exchanged"))
+    return hits.select(F.col("id").alias(id_col), F.col("of").alias(item_col), "best.n_windows", "best.n_found", "exchanged")

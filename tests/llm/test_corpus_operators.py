@@ -156,6 +156,106 @@ def test_short_items_and_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.contamination(docs, bench.filter("false")).count() == 0
 
 
+def test_every_text_of_an_item_is_searched_for(spark):
+    other = "Nine grey geese crossed the wide frozen lake while two tired hunters slept under an old crooked pine"
+    bench = spark.createDataFrame([(1, ITEM), (1, other), (1, other), (2, other)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"So {ITEM} it goes"), (2, other), (3, f"{other} . {ITEM}"), (4, " ".join(ITEM.split()[:6] + other.split()[:6]))], "doc_id long, text string")
+    got = sorted(tuple(r)[:2] for r in decontaminate.contamination(docs, bench).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2)]
+
+
+def _words_of(text):
+    """(folded word, kind, whether it opens a passage) of each ASCII word, restated from the rules."""
+    out, end = [], None
+    for m in re.finditer(r"(?:[A-Za-z0-9_]|(?<=[0-9])[.,](?=[0-9]))+", text):
+        word = m[0]
+        opens = end is None or any(c in '.!?:\n"|' for c in text[end : m.start()])
+        kind = "number" if word[0].isdigit() else "name" if word[0].isupper() and len(word) > 1 and not word[1].isupper() and not opens else "plain"
+        if kind == "plain" and out and out[-1][1] == "number" and word.lower() in decontaminate.UNITS:
+            kind = "unit"
+        out.append((word.lower(), kind, opens))
+        end = m.end()
+    return out
+
+
+def _in_form(words, form):
+    """(canonical word, slot value or None) of each word."""
+    slot = ({"number", "name", "unit"}, {"number", "unit"}, set())[form]
+    return [(k, w) if k in slot else (w, None) for w, k, _ in words]
+
+
+def brute_contamination(docs, items):
+    """(document, item) pairs by trying every window of every item at every place of every document, one form after another."""
+    hits = {}
+    for i, item in items:
+        words = _words_of(item)
+        n, width = len(words), min(len(words), 8)
+        found = set()
+        for form in range(3):
+            if n == 0 or (form == 0 and width < 3):
+                continue
+            own = _in_form(words, form)
+            plain = [sum(s is None for _, s in own[k : k + width]) for k in range(n - width + 1)]
+            starts, alone = list(range(n - width + 1)), width < 3
+            if form < 2:
+                strong = any(p >= min(5, width) for p in plain)
+                starts = [k for k in starts if plain[k] >= (min(5, width) if strong else 3)]
+                if not strong and n > 8 and len(starts) < 3:
+                    starts = []
+                alone |= not strong and n <= 8
+            need = min(-(-len({tuple(c for c, _ in own[k : k + width]) for k in starts}) * 4 // 5), 6)
+            for d, text in docs:
+                there = _words_of(text)
+                canon = _in_form(there, form)
+                lines = defaultdict(list)
+                for k in starts:
+                    for at in range(len(canon) - width + 1):
+                        whole = there[at][2] and (at + width == len(there) or there[at + width][2])
+                        if [c for c, _ in canon[at : at + width]] == [c for c, _ in own[k : k + width]] and (whole or not alone):
+                            lines[at - k].append((k, at))
+                seen = set()
+                for pairs in lines.values():
+                    values = defaultdict(set)
+                    for k, at in pairs:
+                        for x in range(width):
+                            if own[k + x][1] is not None:
+                                values[own[k + x][1]].add(canon[at + x][1])
+                    if all(len(v) == 1 for v in values.values()):
+                        seen |= {tuple(c for c, _ in own[k : k + width]) for k, _ in pairs}
+                if seen and len(seen) >= need:
+                    found.add(d)
+        hits.update({(d, i): True for d in found})
+    return set(hits)
+
+
+def test_contamination_against_brute_force(spark):
+    """Slots, forms and short items on texts made of few words, so that windows meet in part, twice and by chance."""
+    rng = random.Random(17)
+    plain, names, numbers = "walk home red stone old river and the by to".split(), "Anna Otto Lima".split(), ["3", "14", "2,500", "7.5"]
+
+    def some(n):
+        out = []
+        for _ in range(n):
+            out.append(rng.choice(rng.choices([plain, names, numbers, ["km", "kg", "min"]], [8, 2, 2, 1])[0]))
+        return out
+
+    items = [(i, " ".join(some(rng.choice([1, 2, 3, 5, 7, 8, 9, 12, 20])))) for i in range(60)]
+    docs = []
+    for d in range(240):
+        own = items[rng.randrange(60)][1].split()
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(own))
+            pool = next((p for p in (names, numbers) if own[k] in p), None)
+            new = rng.choice(pool or plain) if rng.random() < 0.9 else "zebra"
+            own = [new if (x == own[k] and (pool or rng.random() < 0.2)) else x for x in own] if rng.random() < 0.7 else [*own[:k], new, *own[k + 1 :]]
+        stop = rng.choice([" ", ". ", ".\n"])
+        text = " ".join(some(rng.randint(0, 6))) + stop + " ".join(own) + stop + " ".join(some(rng.randint(0, 6)))
+        docs.append((d, rng.choice([str, str, str, str.lower, str.upper])(text)))
+    want = brute_contamination(docs, items)
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) > 150 and {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_items_without_template_windows_are_searched_for(spark):
     short, dense = "What is 12 times 15?", "Add 3 kg to 14 kg and 15 kg to 9 kg then 2 kg to 6 kg"
     named = "Tell Maria Lopez that Peter Novak from Porto met Clara Weiss of Basel near Lake Como on Friday with Anna Berg and Otto Lang"
