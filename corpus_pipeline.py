@@ -46,12 +46,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     classes = checkpoint(set_join.jaccard_classes(docs))
     kept = _without(docs, classes.filter("doc_id <> component_id"))
-    if docs.filter("doc_id is not null").count() == classes.count():
+    keys = checkpoint(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("doc_id is not null and _n > 1").select("doc_id"))
+    n_keys = keys.count()
+    if not n_keys:
         return kept
-    # Rows that repeat a key; columns of types without an order, such as maps, are ordered as JSON.
+    # Only rows that repeat a key are grouped; columns of types without an order, such as maps, are ordered as JSON.
+    side = F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
     whole = F.struct(*docs.columns)
-    once = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("_row")).select("_row.*")
-    return kept.filter("doc_id is null").unionByName(once.select(*docs.columns))
+    once = kept.join(side, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("_row")).select("_row.*")
+    return kept.join(side, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
