@@ -2,7 +2,8 @@
 
 Defined results of every stage: columns other than ``doc_id``, ``text`` and ``n_chars``
 pass through untouched, whatever their names and types; a text of any length is read
-whole; an empty table gives an empty table; the rest is said at each stage.
+whole; an empty table gives an empty table; the rest is said at each stage. Stages with
+Python workers bound the session's Arrow batches (``small_batches``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm import byte_bpe, decontaminate, pii, set_join, toxicity
 from scriptorium.llm.durable import checkpoint, shared_folder
 from scriptorium.llm.queries import BYTE_RANKS, PATTERN, held_out
+from scriptorium.llm.textbatch import small_batches
 
 #: Removed keys up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
@@ -32,6 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts score 0 and stay; a score of exactly one half goes; repeated rows
     score alike, so all or none of them stay; rows without a key are scored like others.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     grammar = toxicity.learn(docs, labels.filter(~held_out()), label_col="toxic")
     return docs.filter(toxicity.score_column(grammar, docs["text"]) < 0.5)
@@ -44,6 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     is a copy; of rows that repeat a key one stays, the one of least text, ties by the other
     columns; rows without a key stay.
     """
+    small_batches(spark)
     classes = checkpoint(set_join.jaccard_classes(docs))
     kept = _without(docs, classes.filter("doc_id <> component_id"))
     keys = checkpoint(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("doc_id is not null and _n > 1").select("doc_id"))
@@ -64,6 +68,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     exact share of windows too; of rows that repeat a key all go if one holds a passage;
     rows without a key stay.
     """
+    small_batches(spark)
     return _without(docs, decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
@@ -88,6 +93,7 @@ def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have no tokens; of pairs of equal rank the leftmost merges first;
     repeated rows and rows without a key give a row each.
     """
+    small_batches(spark)
     ids = byte_bpe.encode(docs, BYTE_RANKS, PATTERN)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("ids").alias("token_ids"))
 

@@ -175,12 +175,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 empty = pa.nulls(1, pa.binary())
                 yield pa.RecordBatch.from_arrays([*row.columns[1:7], empty, empty], [x.split()[0] for x in _MET.split(", ")])
     if blobs:
-        raw = np.concatenate([np.frombuffer(hashes, np.uint8) for _, hashes, _ in blobs]).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
+        wide = np.zeros((sum(len(owners) // 2 for _, _, owners in blobs), 8), np.uint8)
+        at = 0
+        for k, (slice_id, hashes, owners) in enumerate(blobs):
+            own = np.frombuffer(hashes, np.uint8).reshape(-1, 6)
+            wide[at : at + len(own), :6] = own
+            at += len(own)
+            blobs[k] = (slice_id, None, owners)
         token = wide.view(np.uint64)[:, 0]
         order = np.argsort(token)
-        same = token[order][1:] == token[order][:-1]
+        token = token[order]
+        same = token[1:] == token[:-1]
         met = np.zeros(len(token), bool)
         met[order[1:][same]] = True
         met[order[:-1][same]] = True

@@ -12,10 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch, and the setting that bounds it.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Bytes that separate words in the query contracts: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -53,6 +58,16 @@ def tidy(task):
     return run
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, unless the session names a bound of its own.
+
+    By rows alone a batch is all the text of a task; it is held by the JVM, outside of its
+    heap, and by the Python worker, and a buffer that grows is held twice.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold about ``max_bytes`` each."""
     if len(column) == 0:

@@ -326,6 +326,31 @@ def test_pipeline_stages_take_odd_rows(spark, odd_docs, no_docs):
         assert stage(spark, no_docs, SF).count() == 0
 
 
+def test_stages_bound_arrow_batches_by_bytes(spark, no_docs):
+    import corpus_pipeline as pipeline
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    texts = spark.range(0, 4000, 1, 1).selectExpr("repeat(string(id % 10), 4000) AS text")
+    try:
+        for name, stage in pipeline.STAGES:
+            if name != "personal_data":
+                spark.conf.unset(setting)
+                stage(spark, no_docs, SF)
+                n = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+                assert sum(n) >= 16_000_000 and max(n) < textbatch.BATCH_BYTES + 100_000, name
+        spark.conf.set(setting, "1m")
+        pipeline.to_token_ids(spark, no_docs, SF)
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+
 def test_one_row_of_a_key_stays_with_columns_that_have_no_order(spark):
     import corpus_pipeline as pipeline
 
