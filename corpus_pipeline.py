@@ -3,7 +3,7 @@
 Defined results of every stage: columns other than ``doc_id``, ``text`` and ``n_chars``
 pass through untouched, whatever their names and types; a text of any length is read
 whole; an empty table gives an empty table; the rest is said at each stage. Stages with
-Python workers bound the session's Arrow batches (``small_batches``).
+Python workers bound the session's Arrow batches and Parquet readers (``small_batches``).
 """
 
 from __future__ import annotations

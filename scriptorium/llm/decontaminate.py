@@ -52,6 +52,8 @@ from scriptorium.llm.textbatch import tidy
 
 BROADCAST_BYTES = 16 << 20
 LEAST_PLAIN = 3
+#: Bytes of text whose windows are held at once inside a task; each word has windows of three forms.
+SLICE_BYTES = textbatch.SLICE_BYTES // 4
 #: Units that count as such after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hours minutes seconds days weeks months years percent degrees dollars euros cents usd eur mph kmh kw kwh mb gb tb".split()
 
@@ -144,7 +146,7 @@ def _cut_items(width: int, min_plain: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in textbatch.slices(batch.column(1)):
+            for i, j in textbatch.slices(batch.column(1), SLICE_BYTES):
                 ids = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
                 low, kind, _, first = parse(*textbatch.utf8(batch.column(1).slice(i, j - i)))
                 n = np.diff(first)
@@ -185,7 +187,7 @@ def _cut(widths: list[int], min_plain: int, known: dict[int, np.ndarray] | None)
             bits[width] = np.zeros(1 << 20, bool)
             bits[width][(hashes >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
-            for i, j in textbatch.slices(batch.column(1)):
+            for i, j in textbatch.slices(batch.column(1), SLICE_BYTES):
                 ids = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
                 low, kind, opens, first = parse(*textbatch.utf8(batch.column(1).slice(i, j - i)))
                 edge = np.concatenate([opens, [True]])

@@ -58,6 +58,8 @@ BROADCAST_KEYS = 2_000_000
 #: Bytes of shingles that a task of the first step holds, and entries of a block of an index list.
 BUCKET_BYTES = 64 << 20
 BLOCK = 32
+#: Parts of a bucket's shingles that are sorted one after another (a divisor of 256).
+PARTS = 16
 _NOBODY = 0xFFFF
 #: Parity bits of a set.
 BITS = 512
@@ -183,12 +185,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(own)
             blobs[k] = (slice_id, None, owners)
         token = wide.view(np.uint64)[:, 0]
-        order = np.argsort(token)
-        token = token[order]
-        same = token[1:] == token[:-1]
         met = np.zeros(len(token), bool)
-        met[order[1:][same]] = True
-        met[order[:-1][same]] = True
+        # Equal shingles end on the same bits: a part of them is sorted at a time, so that no second array of all is held.
+        last = wide[:, 0] % PARTS
+        for part in range(PARTS):
+            some = np.flatnonzero(last == part)
+            some = some[np.argsort(token[some])]
+            own = token[some]
+            same = own[1:] == own[:-1]
+            met[some[1:][same]] = True
+            met[some[:-1][same]] = True
+        del wide, token, last
         at, rows = 0, []
         for slice_id, _, owners in blobs:
             owner = np.frombuffer(owners, np.uint16)

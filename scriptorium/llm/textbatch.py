@@ -17,9 +17,11 @@ from pyspark.sql import SparkSession
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 1 << 20
 
-#: Bytes of an Arrow batch, and the setting that bounds it.
-BATCH_BYTES = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch (a little less than a slice, so that few batches are cut) and rows
+#: that a Parquet reader unpacks at once, and the settings that bound them.
+BATCH_BYTES = SLICE_BYTES - (64 << 10)
+READER_ROWS = 512
+_SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": READER_ROWS}
 
 #: Bytes that separate words in the query contracts: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -38,34 +40,43 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(0, np.uint64), np.ones(0, np.uint64))
 
 
+def release() -> None:
+    """Gives freed memory, and what this module keeps, back to the system."""
+    import ctypes
+    import gc
+
+    global _powers
+    _powers = (np.ones(0, np.uint64), np.ones(0, np.uint64))
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(task):
     """``task`` for mapInArrow, giving freed memory back when it ends: Spark keeps idle
     Python workers, and what they hold counts against the executor in later stages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-        import gc
-
         try:
             yield from task(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return run
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of the session's Arrow batches, unless the session names a bound of its own.
+    """Bounds the bytes of the session's Arrow batches and the rows that its Parquet readers
+    unpack at once, unless the session names bounds of its own.
 
-    By rows alone a batch is all the text of a task; it is held by the JVM, outside of its
-    heap, and by the Python worker, and a buffer that grows is held twice.
+    By rows alone a batch is all the text of a task; it is held by the JVM, in and outside of
+    its heap, and by the Python worker, and a buffer that grows is held twice.
     """
-    if spark.conf.get(_BATCH_SETTING, None) is None:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    for setting, most in _SETTINGS.items():
+        if spark.conf.get(setting, None) is None:
+            spark.conf.set(setting, str(most))
 
 
 def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -116,7 +127,7 @@ def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     """A 64-bit hash of each word with A-Z lower-cased, by differences of a running polynomial."""
     global _powers
     if len(_powers[0]) < len(flat):
-        n = max(len(flat), SLICE_BYTES)
+        n = max(len(flat), SLICE_BYTES // 4)
         with np.errstate(over="ignore"):
             _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b)])) for b in (_BASE, _BASE_INV))
     with np.errstate(over="ignore"):

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.textbatch import tidy
+from scriptorium.llm.textbatch import release, tidy
 
 #: Small word lists of the grammar, in English, German, French and Spanish.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "idiota", "dummkopf", "imbécile")
@@ -315,8 +315,12 @@ def score_column(grammar: Grammar, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([grammar.score(x.as_py()) for x in texts], pa.float64())
+        try:
+            for texts in batches:
+                yield pa.array([grammar.score(x.as_py()) for x in texts], pa.float64())
+        finally:
+            grammar.seen.clear()
+            release()
 
     return scores(text.cast("string"))
 

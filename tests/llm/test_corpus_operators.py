@@ -351,6 +351,70 @@ def test_stages_bound_arrow_batches_by_bytes(spark, no_docs):
         spark.conf.set(setting, before) if before else spark.conf.unset(setting)
 
 
+def test_stages_bound_what_readers_and_batches_hold(spark, no_docs):
+    import corpus_pipeline as pipeline
+
+    settings = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(x, None) for x in settings]
+    try:
+        for name, stage in pipeline.STAGES:
+            if name != "personal_data":
+                for x in settings:
+                    spark.conf.unset(x)
+                stage(spark, no_docs, SF)
+                assert int(spark.conf.get(settings[0])) <= 1 << 20 and int(spark.conf.get(settings[1])) <= 512, name
+        spark.conf.set(settings[1], "64")
+        pipeline.to_token_ids(spark, no_docs, SF)
+        assert spark.conf.get(settings[1]) == "64"
+    finally:
+        for x, value in zip(settings, before, strict=True):
+            spark.conf.set(x, value) if value else spark.conf.unset(x)
+
+
+def _peak(run):
+    """What ``run`` gives, and the most bytes that it held besides what there was."""
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_shingles_meet_without_a_second_array_of_all():
+    rng, n, sent = np.random.default_rng(3), 60_000, []
+    for slice_id in range(8):
+        hashes = rng.integers(0, 256, (n, 6)).astype(np.uint8)
+        hashes[:500] = np.random.default_rng(4).integers(0, 256, (500, 6))
+        hashes[500:520] = slice_id // 2
+        owners = rng.integers(0, 200, n).astype(np.uint16)
+        owners[:5] = set_join._NOBODY
+        sent.append((slice_id, hashes, owners))
+    batches = [set_join._batch([(0, k, *(None,) * 5, h.tobytes(), o.tobytes())], set_join._SENT) for k, h, o in sent]
+    met, peak = _peak(lambda: [r for b in set_join._meet(iter(batches)) for r in b.to_pylist()])
+    times = Counter(x.tobytes() for _, h, _ in sent for x in h)
+    for row, (slice_id, hashes, owners) in zip(met, sent, strict=True):
+        there = Counter(int(o) for x, o in zip(hashes, owners, strict=True) if times[x.tobytes()] > 1 and o != set_join._NOBODY)
+        got = zip(np.frombuffer(row["owners"], np.uint16).tolist(), np.frombuffer(row["counts"], np.int32).tolist(), strict=True)
+        assert row["slice"] == slice_id and dict(got) == there
+    # A shingle has 8 bytes as it comes and 8 in the array of all.
+    assert peak < 20 * n * len(sent)
+
+
+def test_idle_workers_keep_no_tables_and_windows_are_cut_in_small_slices():
+    import pyarrow as pa
+
+    texts = ["the quick brown fox jumps over 12 lazy dogs of Mister Miller again. " * 50] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["id", "text"])
+    cut = textbatch.tidy(decontaminate._cut([8], 5, {8: np.zeros(1, np.uint64)}))
+    _, peak = _peak(lambda: sum(1 for _ in cut(iter([batch]))))
+    assert peak < 32 << 20
+    assert not any(map(len, textbatch._powers))
+
+
 def test_one_row_of_a_key_stays_with_columns_that_have_no_order(spark):
     import corpus_pipeline as pipeline
 
