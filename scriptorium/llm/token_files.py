@@ -41,11 +41,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from scriptorium.llm.textbatch import slices, tidy
+from scriptorium.llm.textbatch import slices, tidy, utf8
 
 MAGIC = b"TOKIDS01"
 MANIFEST = "manifest.json"
@@ -302,39 +303,52 @@ def _opened(vocabulary: str):
     return library, lean, ends
 
 
+#: Bytes of ASCII letters and digits.
+_ALNUM = np.array([bytes([x]).isalnum() for x in range(256)])
+
+
+def _as_bytes(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class WordIds:
-    """Ids of texts as bytes, by way of pieces between ASCII white space, each distinct one encoded once.
+    """Ids of texts, by way of pieces between ASCII white space, which Arrow parts and tells apart a slice at a time.
 
-    Where the vocabulary's own rules are NFC, lower case and ``WORD_PATTERN``, a piece is looked up by its folded stem and the
-    ASCII marks after it, so that fewer pieces are encoded; and many stems of letters are encoded as one text by the vocabulary's
-    model alone, without rules that do nothing to them, and told apart by the ids that end words. Of pieces
+    Where the vocabulary's own rules are NFC, lower case and ``WORD_PATTERN``, a piece is its folded stem and the ASCII marks
+    after it, so that fewer strings are encoded, each distinct one once; and many stems of letters are encoded as one text by the
+    vocabulary's model alone, without rules that do nothing to them, and told apart by the ids that end words. Of strings
     seen, those of the last ``remembered`` at least stay known.
     """
 
-    MARKS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
+    MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
 
     def __init__(self, vocabulary: str, width: int, remembered: int = 200_000):
         self.kind, self.remembered = {2: "H", 4: "I"}[width], remembered
         self.library, self.lean, self.ends = _opened(vocabulary)
         self.plain = self.lean is not None
         self.seen: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-        self.before: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
+        self.before: dict[bytes, bytes] = {}
 
-    def _stems(self, pieces: list[bytes]) -> tuple[list[bytes], dict[int, bytes]]:
-        """Pieces as they are encoded, and the marks taken off by index; what may be a special string stays as it is."""
+    def _parts(self, pieces: pa.Array) -> list[pa.Array]:
+        """Pieces as they are encoded, and the marks taken off (or nothing); what may be a special string stays as it is."""
         if not self.plain:
-            return pieces, {}
-        every = b"\n".join(pieces)
-        stems = every.lower().split(b"\n")
-        if b"<" in every:
-            stems = [piece if b"<" in piece else stem for piece, stem in zip(pieces, stems, strict=True)]
-        marks: dict[int, bytes] = {}
-        for i in [i for i, x in enumerate(stems) if x[-1] in self.MARKS]:
-            stem = stems[i].rstrip(self.MARKS)
-            if stem and b"<" not in stem and (stem[-1:].isalnum() or stem[-1] > 127 and unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower()[-1].isalpha()):
-                stems[i], marks[i] = stem, stems[i][len(stem) :]
-        return stems, marks
+            return [pieces]
+        special = pc.match_substring(pieces, "<")
+        folded = pc.if_else(special, pieces, pc.ascii_lower(pieces))
+        trimmed = pc.ascii_rtrim(folded, characters=self.MARKS)
+        flat, at = utf8(folded)
+        size, left = np.diff(at), np.asarray(pc.binary_length(trimmed), np.int64)
+        cut = (left < size) & (left > 0) & ~np.asarray(special)
+        last = np.zeros(len(cut), np.uint8)
+        last[cut] = flat[at[:-1][cut] + left[cut] - 1]
+        far = np.flatnonzero(last > 127)
+        cut &= _ALNUM[last]
+        cut[far] = [unicodedata.normalize("NFC", x.decode("utf-8", "replace")).lower()[-1].isalpha() for x in _as_bytes(trimmed.take(pa.array(far)))]
+        taken = np.where(cut, size - left, 0)
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(taken)])
+        places = np.arange(offsets[-1]) + np.repeat(at[1:] - offsets[1:], taken)
+        marks = pa.Array.from_buffers(pa.string(), len(cut), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat[places])])
+        return [pc.if_else(pa.array(cut), trimmed, folded), marks]
 
     def _encoded(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece."""
@@ -355,32 +369,39 @@ class WordIds:
             out[i] = array(self.kind, x.ids).tobytes()
         return out
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        old, old_stems = self.before
-        kept = pieces & old.keys()
-        self.seen.update((x, old[x]) for x in kept)
-        some = list(pieces - kept)
-        if not some:
-            return
-        stems, marks = self._stems(some)
-        new = {*stems, *marks.values()}.difference(self.stems)
-        kept = new & old_stems.keys()
-        self.stems.update((x, old_stems[x]) for x in kept)
-        todo = list(new - kept)
+    def _known(self, pieces: pa.Array) -> pa.Array:
+        """Ids of each piece; new ones are encoded."""
+        own = pieces.dictionary_encode()
+        distinct = _as_bytes(own.dictionary)
+        ids = list(map(self.seen.get, distinct))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i in new:
+            ids[i] = self.before.get(distinct[i])
+        todo = [i for i in new if ids[i] is None]
         for k in range(0, len(todo), 1024):
-            self.stems.update(zip(todo[k : k + 1024], self._encoded(todo[k : k + 1024]), strict=True))
-        ids = list(map(self.stems.__getitem__, stems))
-        for i, x in marks.items():
-            ids[i] += self.stems[x]
-        self.seen.update(zip(some, ids, strict=True))
+            some = todo[k : k + 1024]
+            for i, x in zip(some, self._encoded([distinct[i] for i in some]), strict=True):
+                ids[i] = x
+        self.seen.update((distinct[i], ids[i]) for i in new)
+        return pa.array(ids, pa.binary()).take(own.indices)
+
+    def encode_column(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """Ids of each text (null: empty) and ``end``, as binary."""
+        if len(self.seen) > self.remembered:
+            self.before, self.seen = self.seen, {}
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        ids = pc.binary_join_element_wise(*(self._known(x) for x in self._parts(words.dictionary)), b"")
+        # The end id is one more piece, after the last one of each text.
+        ends = np.cumsum(np.asarray(pc.list_value_length(split), np.int64))
+        order = np.insert(np.asarray(words.indices), ends, len(ids))
+        joined = pa.concat_arrays([ids, pa.array([end], pa.binary())]).take(pa.array(order))
+        _, offsets, data = joined.buffers()
+        ends = np.concatenate([np.zeros(1, np.int64), ends + np.arange(1, len(ends) + 1)])
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.frombuffer(offsets, np.int32)[ends]), data])
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        if len(self.seen) > self.remembered:
-            self.before, self.seen, self.stems = (self.seen, self.stems), {}, {}
-        split = [text.split() for text in texts]
-        self._learn(set().union(*split).difference(self.seen))
-        known = self.seen.__getitem__
-        return [b"".join(map(known, ws)) + end for ws in split]
+        return self.encode_column(pa.array(texts, pa.binary()).view(pa.string()), end).to_pylist()
 
 
 def encode(docs: DataFrame, vocabulary: str, *, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,8 +416,7 @@ def encode(docs: DataFrame, vocabulary: str, *, end_id: int, width: int, id_col:
         for batch in batches:
             column = batch.column(1)
             for i, j in slices(column, 1 << 22):
-                texts = [x or b"" for x in column.slice(i, j - i).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own.encode(texts, end), pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), own.encode_column(column.slice(i, j - i), end)], ["doc_id", "ids"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
 

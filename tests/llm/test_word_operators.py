@@ -8,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -150,6 +151,30 @@ def test_ids_of_odd_strings_equal_the_library():
         assert np.frombuffer(own.encode([text.encode()], b"")[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_strings_are_encoded_once_however_many_pieces_hold_them():
+    own = token_files.WordIds(queries.WORD_VOCABULARY, 2, remembered=100)
+    encoded, run = [], own._encoded
+    own._encoded = lambda xs: encoded.extend(xs) or run(xs)
+    marks = [a + b + c for a in "!,.;" for b in "?*%&" for c in ")]#"]
+    texts = ["Some Words here", *[" ".join(w + m for m in marks for w in (x, x.upper(), x.title())) for x in ("other", "pieces", "follow")], "some, WORDS!) here."]
+    library = Tokenizer.from_file(queries.WORD_VOCABULARY)
+    for text in texts:
+        assert np.frombuffer(own.encode([text.encode()], b"")[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert encoded.count(b"some") == encoded.count(b"words") == encoded.count(b"here") == 1 and len(encoded) == len(set(encoded)) < 70
+
+
+def test_ids_of_columns_equal_those_of_single_texts():
+    library = Tokenizer.from_file(queries.WORD_VOCABULARY)
+    texts = ["left out", None, "", " \n ", "Élan, vital: CAFÉ! ", "a <|endoftext|>. A< b>", "\x0bx\x0cy\r", "left out"]
+    own = token_files.WordIds(queries.WORD_VOCABULARY, 4)
+    for kind in (pa.string(), pa.large_string()):
+        got = own.encode_column(pa.array(texts, kind).slice(1, 6), (2).to_bytes(4, "little")).to_pylist()
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*library.encode(x or "", add_special_tokens=False).ids, 2] for x in texts[1:7]]
+    bad = own.encode_column(pa.array([b"\xff", b"ab\xc3, \xe9"], pa.binary()).view(pa.string()), b"").to_pylist()
+    assert bad == own.encode(["\ufffd".encode(), "ab\ufffd, \ufffd".encode()], b"")
+    assert own.encode_column(pa.array(["", None]), b"").to_pylist() == [b"", b""]
+
+
 def test_token_files_of_odd_texts_and_keys(spark, odd_docs, no_docs, tmp_path):
     far = spark.createDataFrame([(-(2**63), "far below"), (2**63 - 1, "far above")], "doc_id long, text string")
     docs = odd_docs.unionByName(far, allowMissingColumns=True)
