@@ -56,3 +56,23 @@ def test_columns(spark):
     assert [got[k].best for k in range(len(PAGES))] == [want for _, want in PAGES.values()] == [got[k].main for k in range(len(PAGES))]
     assert (got[98].best, got[98].main, got[98].bare, got[99].best, got[99].main, got[99].bare) == (None, None, None, None, "", "")
     assert got[0].bare.startswith("deep five four three two one A sentence")
+
+
+#: Text with references, and as characters: only what ends with a semicolon and has a known name is one.
+REFERENCES = {
+    "a title cut within &amp;&amp;am": "a title cut within &&am",
+    "a title cut before its end &amp;&amp": "a title cut before its end &&amp",
+    "an address /a?b=1&copy=2&lt=3 of parameters": "an address /a?b=1&copy=2&lt=3 of parameters",
+    "once only &amp;copy; &amp;amp; &#38;lt;": "once only &copy; &amp; &lt;",
+    "numbers &#65; &#x42; and &#66 alone": "numbers A B and &#66 alone",
+    "names &quot;&notin;&quot; and &notit; &Eacute;": 'names "∉" and &notit; É',
+}
+
+
+def _of_pages(spark, read, shape="<h1>{}</h1>"):
+    rows = spark.createDataFrame([(k, shape.format(text)) for k, text in enumerate(REFERENCES)], "id int, page string")
+    return [r.text for r in rows.select("id", read(F.col("page")).alias("text")).orderBy("id").collect()]
+
+
+def test_all_text_decodes_whole_references_only(spark):
+    assert _of_pages(spark, html.strip_tags) == list(REFERENCES.values())
