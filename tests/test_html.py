@@ -76,3 +76,8 @@ def _of_pages(spark, read, shape="<h1>{}</h1>"):
 
 def test_all_text_decodes_whole_references_only(spark):
     assert _of_pages(spark, html.strip_tags) == list(REFERENCES.values())
+
+
+def test_main_content_decodes_whole_references_only(spark):
+    body = f"\n{BODY.strip()}"
+    assert _of_pages(spark, html.extract_text, f"<h1>{{}}</h1><p>{BODY}</p>") == [text + body for text in REFERENCES.values()]
