@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import html
+from scriptorium.operators import maintenance
+from scriptorium.plans import jobs
 
 BODY = "A sentence that stands alone in the body of the page. "
 NESTED = "<nav><aside><header><footer><form>deep</form> five</footer> four</header> three</aside> two <a href=x>one</a></nav>"
@@ -81,3 +83,11 @@ def test_all_text_decodes_whole_references_only(spark):
 def test_main_content_decodes_whole_references_only(spark):
     body = f"\n{BODY.strip()}"
     assert _of_pages(spark, html.extract_text, f"<h1>{{}}</h1><p>{BODY}</p>") == [text + body for text in REFERENCES.values()]
+
+
+def test_cleaned_documents_keep_references_that_are_cut_off(spark):
+    docs = spark.createDataFrame([(k, "", f"<h1>{text}</h1><p>{BODY}</p>", None) for k, text in enumerate(REFERENCES)], "id long, title string, fulltext string, fulltext_html string")
+    chunks = spark.createDataFrame([], "id long, document_id long, chunk_index int, chunk_text string")
+    cleaned, _, counters = maintenance.clean_html(docs, chunks)
+    assert [r.fulltext for r in cleaned.orderBy("id").collect()] == [f"{text}\n{BODY.strip()}" for text in REFERENCES.values()]
+    assert counters.first()[:] == (len(REFERENCES), len(REFERENCES), 0)
