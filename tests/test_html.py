@@ -91,3 +91,14 @@ def test_cleaned_documents_keep_references_that_are_cut_off(spark):
     cleaned, _, counters = maintenance.clean_html(docs, chunks)
     assert [r.fulltext for r in cleaned.orderBy("id").collect()] == [f"{text}\n{BODY.strip()}" for text in REFERENCES.values()]
     assert counters.first()[:] == (len(REFERENCES), len(REFERENCES), 0)
+
+
+def test_captured_pages_keep_references_that_are_cut_off(spark):
+    more = BODY * 4  # shorter texts count as failed
+    at = lambda k: f"https://pages.example/{k}"
+    docs = spark.createDataFrame([(k, at(k), None, None, None) for k in range(len(REFERENCES))], "id long, url_original string, fulltext string, fulltext_source string, fulltext_fetched_at timestamp")
+    captured = spark.createDataFrame([(at(k), 200, 1000, f"<h1>{text}</h1><p>{more}</p>", None) for k, text in enumerate(REFERENCES)], "url string, http_status int, content_length int, html string, error_kind string")
+    failures = spark.createDataFrame([], "document_id long, job_id string, url string, error_type string, error_message string, http_status int, retry_count int, last_attempt timestamp")
+    done = jobs.process_fetches(docs, captured, failures, job_id="j", now="2024-01-31 00:00:00")
+    assert [r.fulltext for r in done["documents"].orderBy("id").collect()] == [f"{text}\n{more.strip()}" for text in REFERENCES.values()]
+    assert done["counters"].first()[:] == (len(REFERENCES), len(REFERENCES), 0)
