@@ -1,9 +1,11 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and settings that hold for one job."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written to the session's checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bounds of what a task unpacks at once, by bytes of an Arrow batch and rows of a Parquet reader: by rows alone, a batch is all the text of a task.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+#: Shuffle files go when their query has ended, not when the driver happens to collect its garbage.
+FREED_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings for the queries made and run inside, where the session names none of its own."""
+    own = {k: v for k, v in wanted.items() if spark.conf.get(k, None) is None}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in own:
+            spark.conf.unset(k)

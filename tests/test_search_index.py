@@ -63,3 +63,36 @@ def test_postings_of_a_document_are_grouped_where_it_is(docs):
     plain = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     own = lambda df: sorted((r.doc_id, r.term, r.tf, tuple(r.positions)) for r in df.collect())
     assert own(made.filter("field = 'text'")) == own(plain)
+
+
+def shuffled(spark):
+    """Bytes of shuffle files that the session's executors have written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    own = sc.statusStore().executorList(True)
+    return sum(own.apply(k).totalShuffleWrite() for k in range(own.size()))
+
+
+def test_postings_are_stored_in_the_index_only(spark, tmp_path, monkeypatch):
+    texts = spark.range(2000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("w"), ((k * 7 + F.col("id")) % 90).cast("string"))), " ").alias("text")).repartition(5)
+    stored = []
+    monkeypatch.setattr(search_index, "checkpoint", lambda df: stored.append(df.count()) or df)
+    texts.write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    before = shuffled(spark)
+    own = search_index.write_index(texts, ["text"], str(tmp_path / "index"), bucket_docs=16)
+    # 120,000 postings of 90 terms; only counts of terms are shuffled.
+    assert not stored and shuffled(spark) - before < 100_000
+    assert own.report().first()[:] == (2000, 90, 120_000, 120_000)
+
+
+def test_buckets_of_several_segments_and_slices(spark, tmp_path):
+    spark.createDataFrame([(k, "a b c " * 40_000 + f"own{k % 3} rare{k}", "b own0") for k in range(12)] + [(50, "", None), (51, None, "own1")], "doc_id long, text string, more string").repartition(2, "doc_id").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    own = search_index.write_index(texts, ["text", "more"], str(tmp_path / "index"), bucket_docs=3)
+    buckets = spark.read.parquet(f"{own.path}/postings").select("bucket", F.explode("doc_id").alias("doc_id")).distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(b.n for b in buckets) == 13 and max(b.n for b in buckets) <= 3 and len(buckets) == own.stats["buckets"] and own.stats["n_docs"] == 13
+    for options in ({"terms": ["a", "own1"]}, {"terms": ["own0", "rare5"], "mode": "any", "limit": 4}, {"terms": ["own0"], "limit": 2}, {"terms": [], "phrase": ["c", "own2"]}):
+        assert rows(own.search(**options)) == rows(fulltext.search_texts(texts, ["text", "more"], **options))
+    held = {(r.term, r.field): r.df for r in own.terms.collect()}
+    assert (held["own0", None], held["own0", "text"], held["own0", "more"], held["own1", None]) == (12, 4, 12, 5)
