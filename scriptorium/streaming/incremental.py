@@ -70,8 +70,8 @@ def chunk_stream(stream: DataFrame, **options) -> DataFrame:
 
 def refresh_index(stream: DataFrame, table: KeyedSnapshot, checkpoint: str, fields: list[str], *, id_col: str = "id", available_now: bool = True) -> StreamingQuery:
     """Postings of arriving documents into the index (by ``doc_id``), in place of those that they had."""
-    change = lambda old, new: fulltext.append_postings(old, new, fields, id_col=id_col).select(*old.columns)
-    return _start(stream, checkpoint, lambda df, i: table.take(i, df, change, batch_key=id_col), available_now)
+    make = lambda new: fulltext.build_postings(new, fields, id_col=id_col)
+    return _start(stream, checkpoint, lambda df, i: table.replace(i, df, make, batch_key=id_col), available_now)
 
 
 def embed_stream(stream: DataFrame, table: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame], *, available_now: bool = True) -> StreamingQuery:

@@ -12,7 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.durable import FREED_SHUFFLES, SMALL_BATCHES, settings
+
 Change = Callable[[DataFrame, DataFrame], DataFrame]
+#: Keys of a batch up to this number are broadcast to find their stored rows.
+BROADCAST_KEYS = 2_000_000
 
 
 class _Folder:
@@ -57,15 +61,20 @@ class Snapshot(_Folder):
 class KeyedSnapshot(_Folder):
     """A table dealt into ``parts`` by hash of ``key``; a batch rewrites the parts of its keys and leaves the files of the others.
 
-    ``manifests/<batch>.json`` names for each part the batch whose folder holds its rows. It is
+    ``manifests/<batch>.json`` names for each part the batches whose folders hold its rows. It is
     written beside and renamed, which is the commit: readers see the table before or after a
     batch. Files that none of the last ``keep`` manifests names are deleted.
 
-    ``change(rows, batch)`` gets the stored rows of the touched parts and returns them anew; rows of
-    one key always share a part. A large part is written as several files. ``parts`` is fixed when the
+    ``take``: ``change(rows, batch)`` gets the stored rows of the touched parts and returns them anew; rows of
+    one key always share a part. ``replace``: what is made of a batch's rows takes the place of all rows of their keys; it is
+    laid beside what a part holds, of which only folders that hold one of these keys are written anew. Once a part has ``LAYERS``
+    folders they become one. A large part is written as several files. ``parts`` is fixed when the
     table is made, by the size that a part may have.
     """
 
+    #: Folders of a part that are read side by side.
+    LAYERS = 8
+
     def __init__(self, spark: SparkSession, root: str, schema: str, key: str, *, parts: int = 64, keep: int = 2):
         super().__init__(spark, root)
         self.schema, self.key, self.keep = schema, key, keep
@@ -79,14 +88,16 @@ class KeyedSnapshot(_Folder):
         if not own:
             return None
         lines = self.spark.read.text(f"{self.root}/manifests/{own[-1] if batch_id is None else batch_id}.json", wholetext=True).first()[0]
-        return json.loads(lines)
+        found = json.loads(lines)
+        return found | {"held": {p: b if isinstance(b, list) else [b] for p, b in found["held"].items()}}
 
     def _part(self, key: str):
         return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.parts)).cast("int")
 
-    def _rows(self, held: dict[str, int]) -> DataFrame:
-        paths = [f"{self.root}/data/{batch}/_part={part}" for part, batch in held.items()]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+    def _rows(self, held: dict[str, list[int]], spark: SparkSession | None = None) -> DataFrame:
+        spark = spark or self.spark
+        paths = [f"{self.root}/data/{batch}/_part={part}" for part, batches in held.items() for batch in batches]
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
         return self._rows((self.manifest() or {"held": {}})["held"])
@@ -103,10 +114,41 @@ class KeyedSnapshot(_Folder):
         written = {n.removeprefix("_part=") for n in self._names("data", str(batch_id)) if n.startswith("_part=")}
         if not written <= touched:
             raise ValueError("the change gave rows with keys of parts that its batch does not touch")
-        held = {p: b for p, b in held.items() if p not in touched} | dict.fromkeys(sorted(written, key=int), batch_id)
+        held = {p: b for p, b in held.items() if p not in touched} | {p: [batch_id] for p in sorted(written, key=int)}
         self._commit({"batch": batch_id, "parts": self.parts, "held": held})
         self._sweep()
 
+    def replace(self, batch_id: int, batch: DataFrame, make: Callable[[DataFrame], DataFrame], *, batch_key: str | None = None) -> None:
+        """Puts ``make(batch)`` in place of the stored rows of the batch's keys, unless it or a later one is there.
+
+        ``make`` gives rows of the batch's keys only, without a shuffle: the batch is dealt by part before, stored rows are not.
+        """
+        last = self.manifest()
+        if last and batch_id <= last["batch"]:
+            return
+        held = last["held"] if last else {}
+        spark, own = batch.sparkSession, batch_key or self.key
+        with settings(spark, FREED_SHUFFLES | SMALL_BATCHES):
+            keys = batch.select(F.col(own).alias(self.key))
+            keys = F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+            anew = {p: b for p, b in held.items() if len(b) >= self.LAYERS}
+            rest = {p: b for p, b in held.items() if p not in anew}
+            if rest:  # which folders hold one of the keys; only their column of keys is read
+                folder = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(-?\d+/_part=\d+)/[^/]*$", 1)
+                for row in self._rows(rest, spark).select(self.key, folder.alias("folder")).join(keys, self.key, "left_semi").select("folder").distinct().collect():
+                    b, p = row["folder"].split("/_part=")
+                    anew[p] = [*anew.get(p, []), int(b)]
+            parts = lambda df, key: df.withColumn("_part", self._part(key))
+            columns = self._rows({}).columns
+            rows = parts(make(parts(batch, own).hint("rebalance", "_part").drop("_part")).select(*columns), self.key)
+            if anew:
+                rows = rows.unionByName(parts(self._rows(anew, spark).join(keys, self.key, "left_anti").select(*columns), self.key))
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy("_part").parquet(f"{self.root}/data/{batch_id}")
+        written = {n.removeprefix("_part=") for n in self._names("data", str(batch_id)) if n.startswith("_part=")}
+        after = {p: [x for x in held.get(p, []) if x not in anew.get(p, [])] + [batch_id] * (p in written) for p in sorted({*held, *written}, key=int)}
+        self._commit({"batch": batch_id, "parts": self.parts, "held": {p: b for p, b in after.items() if b}})
+        self._sweep()
+
     def _commit(self, manifest: dict) -> None:
         fs, name = self._fs(), f"{manifest['batch']}.json"
         out = fs.create(self._path("manifests", f"_{name}"), True)
@@ -117,7 +159,7 @@ class KeyedSnapshot(_Folder):
 
     def _sweep(self) -> None:
         own = self.manifests()
-        named = {(str(b), p) for k in own[-self.keep :] for p, b in self.manifest(k)["held"].items()}
+        named = {(str(b), p) for k in own[-self.keep :] for p, layers in self.manifest(k)["held"].items() for b in layers}
         fs = self._fs()
         for batch in self._names("data"):
             if int(batch) <= own[-1]:

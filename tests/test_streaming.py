@@ -187,3 +187,27 @@ def test_schemas_parse(spark):
     for name in dir(schemas):
         if name.isupper():
             assert spark.createDataFrame([], getattr(schemas, name)).count() == 0
+
+
+def test_replaced_keys_leave_other_folders_as_they_are(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, text string").repartition(3)
+    make = lambda new: new.select("id", F.explode(F.split("text", " ")).alias("text"))
+    stored = lambda: sorted((r.id, r.text) for r in table.read().collect())
+    table = KeyedSnapshot(spark, str(tmp_path / "t"), "id long, text string", "id", parts=2)
+    table.LAYERS = 4
+    table.replace(-1, rows(*[(k, "old older") for k in range(20)]), make)
+    first = files(tmp_path / "t" / "data")
+    table.replace(0, rows(*[(k, "new") for k in range(20, 40)]), make)
+    assert first.items() <= files(tmp_path / "t" / "data").items() and {len(b) for b in table.manifest()["held"].values()} == {2}
+    table.replace(0, rows((1, "twice")), make)  # a batch that comes again
+    table.replace(1, rows((7, "newer words"), (50, "added")), make)
+    want = sorted([(k, w) for k in range(20) if k != 7 for w in ("old", "older")] + [(k, "new") for k in range(20, 40)] + [(7, "newer"), (7, "words"), (50, "added")])
+    assert stored() == want
+    assert sorted(len([b for b in layers if b == -1]) for layers in table.manifest()["held"].values()) == [0, 1]
+    for k in range(2, 9):  # many layers become one, and what no manifest names goes
+        table.replace(k, rows((100 + k, f"t{k}"), (200 + k, "")), make)
+        want += [(100 + k, f"t{k}"), (200 + k, "")]
+        assert stored() == sorted(want) and max(len(b) for b in table.manifest()["held"].values()) <= 4
+    table.take(9, rows((7, "taken")), lambda old, new: old.join(new.select("id"), "id", "left_anti").unionByName(new))
+    assert stored() == sorted([x for x in want if x[0] != 7] + [(7, "taken")])
+    assert not any(p.startswith(("-1/", "0/", "1/")) for p in files(tmp_path / "t" / "data") if "_part=" + str(table.read().filter("id = 7").select(table._part("id")).first()[0]) in p)
