@@ -96,3 +96,13 @@ def test_buckets_of_several_segments_and_slices(spark, tmp_path):
         assert rows(own.search(**options)) == rows(fulltext.search_texts(texts, ["text", "more"], **options))
     held = {(r.term, r.field): r.df for r in own.terms.collect()}
     assert (held["own0", None], held["own0", "text"], held["own0", "more"], held["own1", None]) == (12, 4, 12, 5)
+
+
+def test_any_word_from_an_index_written_without_a_shuffle(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda k: F.concat(F.lit("w"), ((k * k + F.col("id")) % 70).cast("string"))), " ").alias("text")).write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    before = shuffled(spark)
+    own = search_index.write_index(texts, ["text"], str(tmp_path / "index"), bucket_docs=16)
+    assert shuffled(spark) - before < 100_000
+    options = {"terms": ["w1", "w2", "none"], "mode": "any", "limit": 10}
+    assert rows(own.search(**options)) == rows(fulltext.search_texts(texts, ["text"], **options))
